@@ -110,7 +110,7 @@ def pack(blocks: list[tuple[str, str]]) -> list[tuple[str, bool]]:
     return p.done
 
 
-SCHEMA = "segment_index int, raw_text string, n_words int, is_scene_break boolean"
+COLUMNS = {"segment_index": "integer", "raw_text": "string", "n_words": "integer", "is_scene_break": "boolean"}
 
 
 def segments(chapters: DataFrame) -> DataFrame:
@@ -124,11 +124,11 @@ def segments(chapters: DataFrame) -> DataFrame:
             for row in pdf.to_dict("records"):
                 blocks = [(b["type"] or "", b["text"] or "") for b in (row["blocks"] if row["blocks"] is not None else [])]
                 rows += [(*(row[c] for c in names), i, t, len(t.split()), s) for i, (t, s) in enumerate(pack(blocks), 1)]
-            yield pd.DataFrame(rows, columns=[*names, "segment_index", "raw_text", "n_words", "is_scene_break"])
+            yield pd.DataFrame(rows, columns=[*names, *COLUMNS])
 
     schema = kept.schema
-    for part in SCHEMA.split(", "):
-        schema = schema.add(*part.split())
+    for name, kind in COLUMNS.items():
+        schema = schema.add(name, kind)
     return chapters.mapInPandas(run, schema)
 
 

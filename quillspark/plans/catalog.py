@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import pipeline_state, text_queries  # noqa: F401
+from quillspark.plans import page_queries, pipeline_state, search_queries, text_queries  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL, Query
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, byte_grams, covered, member, mixed, packed, sharded, twice
+from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, byte_grams, covered, mixed, packed, sharded, twice, twice_as_bits
 
 LENGTH = 200
 
@@ -54,13 +54,16 @@ def removed_bytes(docs: DataFrame, finish, schema: str, length: int = LENGTH, ke
         groups = dict(zip(repeats["bucket"], repeats["found"]))
         hit = np.zeros(len(at), bool)
         for b, some in by_bucket(bucket):
-            if b in groups:
-                hit[some] = member(digest[some], np.frombuffer(groups[b], "<u8"))
+            _, back, counts = np.unique(digest[some], return_inverse=True, return_counts=True)
+            repeated = counts > 1
+            once = np.flatnonzero(~repeated)
+            repeated[once] = np.unpackbits(np.frombuffer(groups[b], np.uint8), count=len(once)).astype(bool)
+            hit[some] = repeated[back]
         return finish(pdf, data, windows.ends, covered(at[hit], length, len(data)))
 
     seeds = twice(rows.groupBy("shard").applyInPandas(minimisers, PACKED))
     repeated = rows.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInPandas(candidates, PACKED)
-    answers = twice(repeated).unionByName(seeds.withColumn("bucket", F.lit(-1)))
+    answers = twice_as_bits(repeated).unionByName(seeds.withColumn("bucket", F.lit(-1)))
     return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(remove, schema)
 
 

@@ -128,8 +128,8 @@ def is_toc_page() -> Column:
     n = F.size("blocks")
     toc = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["toc"].cast("int") + ((b["type"] == "heading") & b["text"].rlike(r"(?i)^(chapter|part|book)\b") & (b["words"] <= 10)).cast("int"))
     short, long = _share("blocks", lambda b: b["words"] <= 14), _share("blocks", lambda b: b["words"] >= 40)
-    dense = (toc >= 4) & (toc / n >= 0.45) & (long <= 1)
-    return (n > 0) & (F.col("heading").rlike("(?i)" + T.FRONT_HEADINGS) | ((n >= 3) & (dense | ((n >= 5) & (short / n >= 0.75) & (toc >= 3) & (long == 0)) | ((toc >= 3) & (toc / n >= 0.7)))))
+    dense = (toc >= 4) & (toc / F.greatest(n, F.lit(1)) >= 0.45) & (long <= 1)
+    return (n > 0) & (F.col("heading").rlike("(?i)" + T.FRONT_HEADINGS) | ((n >= 3) & (dense | ((n >= 5) & (short / F.greatest(n, F.lit(1)) >= 0.75) & (toc >= 3) & (long == 0)) | ((toc >= 3) & (toc / F.greatest(n, F.lit(1)) >= 0.7)))))
 
 
 def is_front_matter() -> Column:
@@ -138,7 +138,7 @@ def is_front_matter() -> Column:
     words = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["words"])
     short, long = _share("blocks", lambda b: b["words"] <= 25), _share("blocks", lambda b: b["words"] >= 60)
     quoted = _share("blocks", lambda b: b["type"].isin("poem", "letter") | b["text"].rlike('^\\s*["“]'))
-    quotes = (n >= 3) & (long == 0) & ((short / n >= 0.7) | (quoted / n >= 0.5))
+    quotes = (n >= 3) & (long == 0) & ((short / F.greatest(n, F.lit(1)) >= 0.7) | (quoted / F.greatest(n, F.lit(1)) >= 0.5))
     return F.col("heading").rlike("(?i)" + T.FRONT_HEADINGS) | ((n > 0) & (((n <= 2) & (words <= 60)) | quotes))
 
 
@@ -149,7 +149,7 @@ def is_link_list() -> Column:
     n = F.size("items")
     listed = _share("items", lambda t: T.is_toc_line(T.clean_text(t)) | ((T.count_words(t) <= 12) & t.rlike("(?i)chapter|part|book")))
     prose = F.aggregate("raw_blocks", F.lit(0), lambda a, b: a + F.when(b["tag"] == "p", T.count_words(b["text"])).otherwise(0))
-    return F.col("heading").rlike("(?i)" + T.FRONT_HEADINGS) | ((links >= 4) & (chapterish >= 3)) | (links >= 8) | ((n >= 5) & (listed >= 4) & (listed / n >= 0.5) & (prose < 80))
+    return F.col("heading").rlike("(?i)" + T.FRONT_HEADINGS) | ((links >= 4) & (chapterish >= 3)) | (links >= 8) | ((n >= 5) & (listed >= 4) & (listed / F.greatest(n, F.lit(1)) >= 0.5) & (prose < 80))
 
 
 def without_leading_toc() -> Column:

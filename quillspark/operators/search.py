@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Weights and bounds of the scores. Fixed values.
 WEIGHTS = {"isbn": 1000, "title": 180, "title_token": 18, "author_token": 12, "language": 25, "format": 40, "filesize": 10}
@@ -16,7 +17,7 @@ MIB = 1024 * 1024
 LIMIT = 25
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """NFKD without the combining accents U+0300 to U+036F; Spark has no such function."""
     return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"), na_action="ignore")

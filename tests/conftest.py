@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH")]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 

@@ -35,7 +35,9 @@ from quillspark.llm.scratch import stored
 
 SEED = 42
 SAMPLE = 8192
-LEAF_ROWS = 1000
+#: A fingerprint visits more leaves the more there are, and leaves hold more rows the fewer: their number grows with the root.
+LEAVES_OF_ROOT = 1 / 8
+LEAST_LEAVES, MOST_LEAVES = 16, 8192
 BLOCK = 64
 
 
@@ -183,7 +185,7 @@ def link_within(fp: np.ndarray, home: np.ndarray, guest: np.ndarray, max_bits: i
         stack.append((home[near], np.concatenate((home[crossing], guest[dg <= radius + max_bits]))))
 
 
-def links(vertices: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def links(vertices: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE) -> DataFrame:
     """Spanning links (a, b) between the nodes of ``vertices`` (fp, node), one row a distinct fingerprint.
 
     ``vertices`` is read several times and should be a stored table.
@@ -192,7 +194,7 @@ def links(vertices: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE, lea
     share = min(1.0, sample_rows / max(total, 1))
     drawn = vertices.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("fp").collect()  # about sample_rows
     sample = np.unique(np.array([r.fp for r in drawn], np.int64).view(np.uint64))
-    tree = build_tree(sample, max(1, min(-(-total // leaf_rows), 1024)))
+    tree = build_tree(sample, min(max(LEAST_LEAVES, int(total**0.5 * LEAVES_OF_ROOT)), MOST_LEAVES))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

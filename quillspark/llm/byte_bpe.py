@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quillspark.llm.scratch import slices
 
@@ -238,7 +239,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame
             yield pdf.assign(ids=[i.astype(np.int64) for i in ids], offsets=[c.offsets(i) for i in ids])
 
     docs = docs.drop("ids", "offsets")
-    return docs.mapInPandas(run, docs.schema.add("ids", "array<long>").add("offsets", "array<long>"))
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(LongType())), StructField("offsets", ArrayType(LongType()))]))
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -250,7 +251,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
             yield pdf.assign(decoded=[b"" if i is None else c.decode(np.asarray(i, np.int64)) for i in pdf["ids"]])
 
     encoded = encoded.drop("decoded")
-    return encoded.mapInPandas(run, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInPandas(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:

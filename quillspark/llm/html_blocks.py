@@ -51,7 +51,7 @@ ASIDE_TAGS = set("aside button dialog fieldset footer form header label legend m
 ASIDE_WORDS = set("ad ads advert advertisement author banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer footer form header login menu meta modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 MAIN_WORDS = set("article body content entry main post story text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")

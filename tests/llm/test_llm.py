@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, components, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
+from quillspark.llm import byte_bpe, components, flac_media, html_blocks, kk_packing, language_id, license_scan, near_copies, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,7 +31,7 @@ def empty(spark):
 
 def jobs():
     return [
-        language_id.identify, byte_bpe.round_trip, simhash_vptree.near_duplicates, kk_packing.pack_documents, license_scan.scan, phrase_automata.dedup_digest, suffix_radix.dedup_digest,
+        language_id.identify, byte_bpe.round_trip, simhash_vptree.near_duplicates, kk_packing.pack_documents, license_scan.scan, phrase_automata.dedup_digest, suffix_radix.dedup_digest, near_copies.near_copies, near_copies.one_of_each_group,
         lambda d: flac_media.read_back(flac_media.encode_texts(d.select("doc_id", "text"))),
     ]
 
@@ -38,7 +39,7 @@ def jobs():
 def test_odd_rows_do_not_crash(odd, empty):
     for job in jobs():
         n = job(odd).count()
-        assert n >= 9
+        assert n >= 9 or job is near_copies.one_of_each_group
         assert job(empty).count() == 0
 
 
@@ -93,6 +94,69 @@ def test_simhash_equals_brute_force(spark):
     assert [r.component_id for r in got] == label
 
 
+def similar_rows():
+    """Families of texts with more and more words changed, copies included."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(900)}" for _ in range(400)] for _ in range(6)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 4, 12, 60])):
+            w[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w).upper() if i % 7 == 0 else " ".join(w)))
+    return rows
+
+
+def shingle_sets(rows):
+    return [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+
+
+def test_near_copies_lose_no_similar_pair(spark):
+    rows = similar_rows()
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = shingle_sets(rows)
+    close = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for i in range(160):
+        assert got[i] == i or any(got[j] == got[i] and close(i, j) > 0.65 for j in range(160) if j != i)
+        for j in range(i):
+            assert close(i, j) < 0.8 or got[i] == got[j]
+    assert len(set(got.values())) > 6
+
+
+def test_near_copies_do_not_depend_on_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame(similar_rows(), "doc_id long, text string")
+    want = near_copies.near_copies(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(near_copies, "SHARD", 8)
+    assert near_copies.near_copies(docs).orderBy("doc_id").collect() == want
+
+
+def test_near_copies_shards_equal_all_comparisons():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (3, near_copies.WORDS), dtype=np.uint64)
+    rows = []
+    for _ in range(90):
+        bits = np.unpackbits(base[rng.integers(3)].view(np.uint8))
+        bits[rng.integers(0, near_copies.BITS, rng.choice([20, 90, 130, 300]))] ^= 1
+        rows.append(np.packbits(bits).view(np.uint64))
+    wide = np.array(rows)
+    frame = pd.DataFrame({"shard": 1, "i": 0, "j": 0, "node": range(90), "wide": [w.tobytes() for w in wide]})
+    whole, pairs = simhash_vptree.Forest(90), np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= 180
+    whole.link(*np.nonzero(pairs))
+    got = simhash_vptree.Forest(90)
+    links = near_copies._link_shards(frame, 180)
+    got.link(links.a.to_numpy(), links.b.to_numpy())
+    assert np.array_equal(got.roots(np.arange(90)), whole.roots(np.arange(90)))
+    assert len(links) < 90
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = [(3, "a b c d e f"), (1, "A b C d e  f"), (2, "g h i j k l"), (None, "g h i j k l"), (5, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    kept = near_copies.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 2, None, 4}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -54,7 +54,7 @@ def document_vectors(texts: list[str], dims: int = DIMS) -> np.ndarray:
         return out
     parts = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), np.uint32) for t in texts]
     codes = np.concatenate(parts)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(p) for p in parts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
     letter = _is_letter()[codes]
     codes = np.where(letter, codes, np.uint32(32))
     keep = letter.copy()
@@ -76,8 +76,8 @@ def document_vectors(texts: list[str], dims: int = DIMS) -> np.ndarray:
         seen = np.zeros(size**3, bool)
         seen[grams] = True
         vocabulary = np.flatnonzero(seen)
-        rank = np.zeros(size**3, np.int64)
-        rank[vocabulary] = np.arange(len(vocabulary))
+        rank = np.zeros(size**3, np.int32)
+        rank[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
         grams = rank[grams]
     else:
         vocabulary, grams = np.unique(grams, return_inverse=True)
@@ -87,7 +87,7 @@ def document_vectors(texts: list[str], dims: int = DIMS) -> np.ndarray:
         block = vocabulary[low : low + _BLOCK]
         bound = first[block // (size * size)] * second[block // size % size] * third[block % size]
         mine = slice(None) if len(vocabulary) <= _BLOCK else (grams >= low) & (grams < low + len(block))
-        cell = owner[mine] * len(block) + (grams[mine] - low)
+        cell = owner[mine] * np.int64(len(block)) + grams[mine] - low
         counts = np.bincount(cell, minlength=len(texts) * len(block)).reshape(len(texts), len(block))
         out += counts.astype(np.float32) @ bound.astype(np.float32)
     return out

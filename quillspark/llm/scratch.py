@@ -32,11 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str], max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` that hold about ``max_chars`` characters; a longer text stands alone."""
+def slices(texts: list[str], max_chars: int = 1_000_000, max_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Index ranges of at most ``max_rows`` ``texts`` that hold about ``max_chars`` characters; a longer text stands alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        if i > start and held + len(t) > max_chars:
+        if i > start and (held + len(t) > max_chars or i - start == max_rows):
             yield start, i
             start, held = i, 0
         held += len(t)

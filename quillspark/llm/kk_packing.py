@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 1024
 PIECE_LIMIT = 1024
-_CACHE_LIMIT = 800_000
+_CACHE_LIMIT = 400_000
 
 
 class WordEncoder:

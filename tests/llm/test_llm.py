@@ -130,6 +130,30 @@ def test_near_copies_do_not_depend_on_blocks(spark, monkeypatch):
     assert near_copies.near_copies(docs).orderBy("doc_id").collect() == want
 
 
+def brute_force_classes(rows):
+    """The smallest id that links of pairs at 0.8 or more reach."""
+    sets, label = shingle_sets(rows), [i for i, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(zip((i for i, _ in rows), label))
+
+
+@pytest.mark.parametrize("held", [near_copies.HELD, 2000])
+def test_near_copies_link_nothing_less_similar(spark, monkeypatch, held):
+    monkeypatch.setattr(near_copies, "HELD", held)
+    rng, rows = random.Random(11), similar_rows()
+    for i in range(160, 200):  # pairs at about 0.75: 50 shingles of 400 lost, as many new
+        w = rows[i - 1][1].split() if i % 2 else [f"y{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(0, 55 * (i % 2), 5):
+            w[k * 7] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force_classes(rows)
+
+
 def test_near_copies_shards_equal_all_comparisons():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (3, near_copies.WORDS), dtype=np.uint64)

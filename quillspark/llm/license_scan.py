@@ -1,13 +1,19 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-A text block is a line, and a template a short license notice, both as sets of
-words. A block meets a template if it contains at least ``threshold`` of the
+A text block is a run of words, and a template a short license notice, both as
+sets of words. A template of m words is looked for in all runs of 2 m words of a
+text, so that lines may be wrapped anywhere in a notice, and words scattered over
+a long line don't meet. Only templates under ``SHORT`` words stay inside single
+lines: their words stand by chance in neighbouring ones. Runs are first taken
+together in windows of four times the longest template's words, which overlap by
+half. A block meets a template if it contains at least ``threshold`` of the
 template's words. Template words are ordered by how many blocks have them, rarest
 first. A block that meets a template of n words, needing a of them, must have one
 of its first n - a + 1 words (prefix filter), at least a template words at all
 (length filter), and enough of them from the first common word on, counted on
-both sides (positional filter). Blocks are joined with the templates' prefix
-words by equality; what is left is verified by intersection. No pair is missed.
+both sides (positional filter). Windows are joined with the templates' prefix
+words by equality; what is left is verified by intersection, at last in each run
+of the window. No pair is missed.
 
 The templates are fixed and few, so their index is broadcast and their words'
 counts are the only rows that the driver sees.
@@ -21,6 +27,7 @@ the union of the labels that their blocks meet; null ids count as equal.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +48,8 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("all-rights-reserved", "all rights reserved"),
 ]
+#: Templates of fewer words don't go over line ends.
+SHORT = 5
 #: What stands between words: ASCII but for digits and letters, after A-Z became a-z.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,18 +89,34 @@ def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     )
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], key: str, text: str) -> DataFrame:
-    """(key, block number, its distinct words among ``vocabulary``) of every line with such a word."""
-    lines = docs.select(F.col(key), F.posexplode(F.split(lowered(F.col(text)), "\n")).alias("block", "line"))
-    found = F.array_intersect(F.split("line", GAP), F.lit(vocabulary))
-    return lines.select(key, "block", found.alias("words")).where(F.size("words") > 0)
+def blocks(docs: DataFrame, vocabulary: list[str], longest: int, key: str, text: str) -> DataFrame:
+    """(key, block number, its distinct words among ``vocabulary``, all its words) of every window with such a word; a run of 2 ``longest`` words is whole in one."""
+    words = docs.select(F.col(key), F.split(lowered(F.col(text)), GAP).alias("all"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - 2 * longest, F.lit(1)), F.lit(2 * longest))
+    window = F.transform(starts, lambda at: F.slice("all", at, 4 * longest))
+    return words.select(key, F.posexplode(window).alias("block", "run")).select(key, "block", F.array_intersect("run", F.lit(vocabulary)).alias("words"), "run").where(F.size("words") > 0)
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(key, block, label, containment) of every block that meets a template."""
+    longest = max(len(words.split()) for _, words in templates)
+    short = [(label, words) for label, words in templates if len(set(words.split())) < SHORT]
+    long = [t for t in templates if t not in short]
+    parts = [_meet(docs, long, longest, key, text, threshold)] if long else []
+    if short:
+        low = lowered(F.col(text))
+        least = [(set(w.split()), math.ceil(threshold * len(set(w.split())) - 1e-9)) for _, w in short]
+        likely = [sum((F.contains(low, F.lit(w)).cast("int") for w in sorted(words)), F.lit(0)) >= needed for words, needed in least]
+        lines = docs.select(key, text).where(functools.reduce(Column.__or__, likely)).select(key, F.explode(F.split(text, "\n")).alias(text))
+        parts.append(_meet(lines, short, longest, key, text, threshold))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _meet(docs: DataFrame, templates: list[tuple[str, str]], longest: int, key: str, text: str, threshold: float) -> DataFrame:
+    """(key, block, label, containment) of every window of the texts that meets a template."""
     sets = [(label, sorted(set(words.split()))) for label, words in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
-    counts = {r.word: r.n for r in blocks(docs, vocabulary, key, text).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # template words
+    counts = {r.word: r.n for r in blocks(docs, vocabulary, longest, key, text).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # template words
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     index, prefix = [], set()
@@ -100,18 +125,21 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         ordered = sorted(words, key=place.__getitem__)
         for at, w in enumerate(ordered[: len(words) - needed + 1]):
             prefix.add(w)
-            index.append((w, template, label, at, needed, ordered))
-    right = docs.sparkSession.createDataFrame(index, "token string, template int, label string, at int, needed int, tokens array<string>")
+            index.append((w, template, label, at, needed, ordered, 2 * len(templates[template][1].split())))
+    right = docs.sparkSession.createDataFrame(index, "token string, template int, label string, at int, needed int, tokens array<string>, room int")
     rank = F.create_map(*[F.lit(x) for w in order for x in (w, place[w])])
-    left = blocks(docs, vocabulary, key, text).where(F.arrays_overlap("words", F.lit(sorted(prefix))))
+    left = blocks(docs, vocabulary, longest, key, text).where(F.arrays_overlap("words", F.lit(sorted(prefix))))
     left = left.where(F.size("words") >= min(i[4] for i in index))
     left = left.withColumn("words", F.transform(F.array_sort(F.transform("words", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda s: s["w"]))
-    left = left.select(key, "block", "words", F.posexplode("words").alias("mine", "token")).where(F.col("token").isin(sorted(prefix)))
+    left = left.select(key, "block", "words", "run", F.posexplode("words").alias("mine", "token")).where(F.col("token").isin(sorted(prefix)))
     pairs = left.join(F.broadcast(right), "token").where(F.size("words") >= F.col("needed"))
     first = F.array_position("words", F.element_at(F.array_intersect("words", "tokens"), 1)) - 1 == F.col("mine")
     room = F.least(F.size("tokens") - F.col("at"), F.size("words") - F.col("mine")) >= F.col("needed")
     overlap = F.size(F.array_intersect("words", "tokens"))
-    return pairs.where(room & first & (overlap >= F.col("needed"))).select(key, "block", "label", (overlap / F.size("tokens")).alias("containment"))
+    runs = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("room") + 1, F.lit(1)))
+    best = F.array_max(F.transform(runs, lambda at: F.size(F.array_intersect(F.slice("run", at, F.col("room")), "tokens"))))
+    met = pairs.where(room & first & (overlap >= F.col("needed"))).select(key, "block", "label", "needed", "tokens", best.alias("best"))
+    return met.where(F.col("best") >= F.col("needed")).select(key, "block", "label", (F.col("best") / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

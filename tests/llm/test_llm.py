@@ -249,6 +249,22 @@ def test_license_phrases_and_templates(spark):
     assert got[5].base_labels == "apache-2" and got[5].score == 1.0
 
 
+def test_license_notices_over_line_ends(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    apache = " * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"
+    filler = "some other words stand here\n"
+    rows = [(4 * n + i, filler * n + "w " * (5 * n) + t + "\n" + filler * n) for n in range(12) for i, t in enumerate((mit, apache, bsd, gpl))]
+    scattered = ["nothing"] * 4000
+    for at, w in enumerate("released under the mit license all rights reserved".split()):
+        scattered[at * 450] = w
+    rows += [(100, " ".join(scattered)), (101, "All rights are\nwith us; reserved"), (102, "mit einer neuen und ganz anderen\nBezeichnung ist es:\nLicensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(48)] == [(x, 1.0) for x in ("mit", "apache-2", "bsd", "gpl-3")] * 12
+    assert got[100] == got[101] == ("", 0.0) and got[102] == ("apache-2", 1.0)
+
+
 def test_repeated_phrases(spark):
     rng = random.Random(7)
     make = lambda n: " ".join(rng.choice(["a", "b", "cc", "é", "\n"]) for _ in range(n))

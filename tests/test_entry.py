@@ -1,6 +1,10 @@
 """The driver contract, and the SQL twins on the smallest tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -42,3 +46,13 @@ def test_twins_agree(spark):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("gone", [["quillspark/llm", "tests/llm"], ["quillspark/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_works_without_the_optional_subpackage(tmp_path, gone):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda d, names: {n for n in names if n in (".git", "__pycache__") or str((Path(d) / n).relative_to(root)) in gone})
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'WN17_segment_summary' in q; assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -2,7 +2,8 @@
 
 A document's ids (with an end id) are cut into whole windows and a rest, a rest
 longer than ``piece_limit`` into pieces of at most that. Whole windows stand
-alone. Rests are dealt by a hash of the id into groups of about ``group_pieces``;
+alone. Pieces are numbered as they are written and dealt by a hash of the number
+into groups of about ``group_pieces``, so that no id or text makes a group large;
 in a group every rest starts as a partial partition with one filled window, and
 the two partial partitions with the largest imbalance are merged again and again,
 the fullest window of one with the emptiest of the other, until one partition is
@@ -10,7 +11,8 @@ left. Its windows are nearly equal. The window count starts at the least that
 could do and rises whenever a window exceeds the capacity.
 
 Rows: a null text is an empty one and still has its end id. Repeated rows are
-packed each; an empty table gives no pieces.
+packed each, null ids too; an empty table gives no pieces. A text that writes one
+of the vocabulary's own marks out gets the mark's id, as the tokenizer reads it.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ END_ID = 2
 GROUP_PIECES = 1024
 PIECE_LIMIT = 1024
 _CACHE_LIMIT = 400_000
+#: How the vocabulary's own marks begin. Fixed value.
+MARK = "<|"
 
 
 class WordEncoder:
@@ -44,7 +48,6 @@ class WordEncoder:
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.cached: dict[str, bytes] = {"": b""}
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -86,6 +89,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        if MARK in text:  # may hold one of the tokenizer's own marks, which it finds across words
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
         cached = self.cached
         try:
@@ -188,9 +193,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, piece_limit: int =
 
     Only the lengths are shuffled. Numbers are the group's number times 2^32, and the window's place in the group.
     """
-    cut = stored(pieces(docs, capacity, piece_limit))
+    cut = stored(pieces(docs, capacity, piece_limit).withColumn("number", F.monotonically_increasing_id()))
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("long")).drop("number")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -202,5 +207,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, piece_limit: int =
         pdf["offset"] = before - before.groupby(pdf["sequence_id"]).transform("first")
         return pdf.drop(columns="dealt")
 
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
+    schema = cut.drop("number").schema.add("sequence_id", "long").add("offset", "long")
     return dealt.groupBy("dealt").applyInPandas(place, schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -208,11 +209,42 @@ def test_packing_pieces_fit_and_cover(spark):
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_word_encoder_equals_the_tokenizer():
-    e, rng = kk_packing.encoder(), random.Random(4)
-    for _ in range(3000):
-        t = "".join(rng.choice(["'", "s", "re", " ", "\n", "É", "́", "1", "!", ".", ",", "日", "İ", "Σ", "ß", "ab"]) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    e, t, rng = kk_packing.encoder(), fresh_tokenizer(), random.Random(4)
+    pieces = ["'", "s", "re", " ", "\n", "É", "́", "1", "!", ".", ",", "日", "İ", "Σ", "ß", "ab", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["hi <|endoftext|> there", "a<|startoftext|>b <|endoftext|>", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000))]
+    for text in texts:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_equals_a_fresh_tokenizer(spark):
+    """Every piece's crc and place, recomputed; with a null id, repeated rows, marks and a text of several windows."""
+    texts = ["one <|endoftext|> two", None, "", "word " * 9000, "same", "same", "Ünïcode, it's here."]
+    rows = [(None if x == "same" else i, x) for i, x in enumerate(texts)]
+    got = kk_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    t, want = fresh_tokenizer(), Counter()
+    for i, x in rows:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        want.update((i, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)) for start, n in kk_packing.cuts(len(ids)))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    held = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 4096
+
+
+def test_equal_rows_make_no_large_group(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some equal words").alias("text"))
+    got = kk_packing.pack_documents(rows, group_pieces=500)
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 700
 
 
 def test_differencing_balances():

@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, components, flac_media, html_blocks, kk_packing, language_id, license_scan, near_copies, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
+from quillspark.llm import byte_bpe, components, flac_media, kk_packing, language_id, license_scan, near_copies, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -273,15 +273,6 @@ def test_nearest_is_exact_at_factor_one_and_close_above(spark):
         assert factor > 1 or got == want
 
 
-def test_html_main_text(spark):
-    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()]
-    model = html_blocks.train(pages)
-    page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head</h1><p>One &amp;\n two.<p>Three<script>x<y</script> four.</article><section id='comments'><p>Nice one!</p></section><footer>c</footer></body></html>"
-    assert html_blocks.texts_of([page, "", "<p", "<script>alone"], model) == ["Head\nOne & two.\nThree four.", "", "", ""]
-    df = spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string")
-    assert [(r.page_id, r.n_chars) for r in html_blocks.extract(df, model).orderBy("page_id").collect()] == [(1, 27), (2, 0)]
-
-
 def test_license_phrases_and_templates(spark):
     rows = [(1, "x Under the MIT license, under the mit license"), (2, "All rights\nreserved"), (3, "ALL rights reserved."), (4, None), (5, "Licensed: Apache License, Version 2.0 the under")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -52,6 +52,7 @@ class WordEncoder:
         self.cached: dict[str, bytes] = {"": b""}
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = [b for b in range(256) if b not in shown]
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.as_characters = {b: 256 + i for i, b in enumerate(hidden)}  # byte-level BPE writes other bytes as these
 
     def _word(self, word: str) -> bytes:
@@ -59,21 +60,27 @@ class WordEncoder:
         shown = word.lower()
         if not shown.isascii():
             shown = shown.encode().decode("latin-1").translate(self.as_characters)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
     def _learn(self, words: list[str]) -> None:
         """Cache the ids of words; letters before one full stop or comma are encoded apart, as the tokenizer splits there."""
-        plain: dict[str, None] = {}
+        cached, plain, marked = self.cached, {}, []
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].lower().isalpha() else (w, "")
-            for x in (stem, mark):
-                if x in self.cached:
-                    continue
-                if x.isalpha() and max(x) < "\u0250" and x.lower().isalpha():
-                    self.cached[x] = self._word(x)
-                else:
-                    plain[x] = None
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and w.lower().isalpha()):
+                cached[w] = self._word(w)
+                continue
+            stem = w[:-1]
+            if w[-1] in ".," and stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                marked.append(w)
+                if stem not in cached:
+                    if stem.isascii() or max(stem) < "\u0250":
+                        cached[stem] = self._word(stem)
+                    else:
+                        plain[stem] = None
+                if w[-1] not in cached:
+                    plain[w[-1]] = None
+            else:
+                plain[w] = None
         fresh = list(plain)
         for low in range(0, len(fresh), 2000):
             some = fresh[low : low + 2000]
@@ -82,16 +89,15 @@ class WordEncoder:
             ids = np.array(e.ids, "<u4").tobytes()
             bounds = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), np.append(starts, 1 << 40)).tolist()
             for w, i, j in zip(some, bounds, bounds[1:]):
-                self.cached[w] = ids[4 * i : 4 * j]
-        for w in words:
-            if w not in self.cached:
-                self.cached[w] = self.cached[w[:-1]] + self.cached[w[-1]]
+                cached[w] = ids[4 * i : 4 * j]
+        for w in marked:
+            cached[w] = cached[w[:-1]] + cached[w[-1]]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if MARK in text:  # may hold one of the tokenizer's own marks, which it finds across words
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
+        words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")  # the tokenizer reads lower case
         cached = self.cached
         try:
             return b"".join([cached[w] for w in words])

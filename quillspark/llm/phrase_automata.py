@@ -1,172 +1,278 @@
 """Substring dedup with repeated-phrase automata.
 
 A passage of ``length`` words that also begins earlier (smaller id, or the same
-document before) is removed. Recurring passages are confirmed first: each shard
-sends the minimiser phrases of its windows, and those met twice anywhere recur.
-Each shard of documents then compiles one Aho-Corasick automaton from just the
-recurring phrases that occur in it, over words written as single characters, and
-streams all its documents through it once. Every occurrence found opens the
-windows around it; their digests go to buckets, where the least (id, shard) of
-each decides which shard holds the first, and all other occurrences are removed.
-
-So a document is streamed once, through the automaton of its own shard, whose
-size the shard's text bounds; a phrase that a third of all documents share is
-sent once a shard.
-
-Rows: a null text has no words. Rows with a null id count as later than all
-others. Rows of one id are ordered by their shard, then their text. Nothing is
-removed from texts of fewer words than a window.
+document before) is removed. Recurring passages are confirmed first: shards send
+the contexts of their recurring minimisers as words, and a bucket compares them
+word by word (``windows``, ``contexts``): it answers which windows stand more
+than once anywhere, and which shard holds the first of each. Confirmed windows
+that follow one another are a passage. Each shard of documents compiles its own
+Aho-Corasick automaton of just the passages confirmed in it, over its words as
+single characters, and streams its documents through it: a hit is an occurrence
+of all windows of a passage. All occurrences go but the first of each window.
+
+So a document is streamed once, through an automaton whose size its shard's text
+bounds; a phrase that a third of all documents share is sent once a shard.
+Digests only sift: what is removed was compared as words.
+
+Rows: a null text has no words. Ids may be of any type; rows with a null id count
+as later than all others. Rows of one id are ordered by their text in a shard,
+by shard else. Nothing is removed from texts of fewer words than a window; of
+copies of a text all but the first go whole. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quillspark.llm.word_hash import BLANK, word_digests
-from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, covered, member, mixed, packed, seed_length, sharded, twice
+from quillspark.llm.contexts import chunks, classes, radix_order
+from quillspark.llm.scratch import stored
+from quillspark.llm.suffix_radix import spread
+from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, covered, dealt, packed, seed_length, twice
 
 LENGTH = 20
 _LAST = np.iinfo(np.int64).max
-#: The automaton reads a word as so many letters of 5 bits, cut from its digest: few branches a node. Words that share
-#: them only open more windows, which are then compared by their whole digests.
-_LETTERS = 2
+CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary, many binary, orders binary, places binary, body binary"
+ANSWERS = "bucket int, shard int, found binary, firsts binary"
+#: More distinct words than this are written as two characters each.
+_SINGLE = 1_000_000
 
-FIRSTS = "bucket int, shard int, digests binary, ids binary"
 
 class Words:
-    """A shard's documents in order of id and text, their words, and the windows of those."""
+    """A shard's distinct texts in order of their least id, as numbers of words, and the windows of those."""
+
+    def __init__(self, table: pa.Table, length: int):
+        self.rows, self.length = table, length
+        orders = [_LAST if i is None else i for i in table["id"].to_pylist()]
+        texts, copies = table["text"].to_pylist(), table["copies"].to_pylist()
+        least: dict[str, tuple] = {}
+        for row, (order, text, n) in enumerate(zip(orders, texts, copies)):
+            best, of, many = least.get(text, (order, row, 0))
+            least[text] = (*min((best, of), (order, row)), many + n)
+        self.texts = sorted(least, key=lambda t: (least[t][0], t))
+        self.orders = np.array([least[t][0] for t in self.texts], np.int64)
+        self.first_rows = [least[t][1] for t in self.texts]
+        self.copied = np.array([least[t][2] > 1 for t in self.texts], bool)
+        at = {t: i for i, t in enumerate(self.texts)}
+        self.row_text = [at[t] for t in texts]
+        numbers: dict[bytes, int] = {}
+        self.documents = [np.array([numbers.setdefault(w, len(numbers)) for w in t.encode("utf-8", "replace").split()], np.int32) for t in self.texts]
+        self.vocabulary = list(numbers)
+        digests = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(numbers))
+        self.grams = lambda some: digests[np.concatenate(some)]
+        self.windows = Shard(self.documents, self.grams, 1, length)
+        self.shard = table["shard"][0].as_py() if len(table) else 0
+
+    def minimisers(self, buckets: int) -> pa.Table:
+        """Packed minimisers; those of texts with copies recur."""
+        copied = [d for d, c in zip(self.documents, self.copied) if c]
+        again = Shard(copied, self.grams, 1, self.length).values() if copied else np.zeros(0, np.uint64)
+        return packed(self.windows.values(), again, buckets, self.shard)
+
+    def contexts(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """(first window, windows, offset, seed, bucket, whether it occurs twice) of the distinct contexts, each at its first place."""
+        at, count, offset, seed = self.windows.contexts(recurring)
+        everything = np.concatenate([np.zeros(0, np.int32), *self.documents])
+        known: dict[tuple, int] = {}
+        tail = self.length - 1
+        number = np.array([known.setdefault((o, everything[a : a + c + tail].tobytes()), len(known)) for a, c, o in zip(at.tolist(), count.tolist(), offset.tolist())], np.int64)
+        document = np.searchsorted(self.windows.ends, at, "right")
+        weight = np.bincount(number, 1 + self.copied[document].astype(np.int64), minlength=len(known)) if len(number) else np.zeros(0)
+        first = np.unique(number, return_index=True)[1]
+        return at[first], count[first], offset[first], seed[first], bucket_of(seed[first], buckets), weight > 1
 
-    def __init__(self, pdf: pd.DataFrame, key: str, text: str, length: int):
-        self.pdf = pdf.assign(order=pdf[key].fillna(_LAST).astype(np.int64)).sort_values(["order", text], kind="stable", ignore_index=True)
-        self.documents = [t.encode("utf-8", "replace") + b"\n" for t in self.pdf[text]]
-        numbers, starts, ends, base = [], [], [], 0
+    def characters(self, numbers: np.ndarray) -> str:
+        """Words written as one character each, or as one of two kinds of characters."""
+        if len(self.vocabulary) <= _SINGLE:
+            codes = numbers.astype("<u4") + 1
+            codes[codes >= 0xD800] += 0x800  # no surrogates
+        else:
+            codes = np.stack((1 + numbers // 500_000, 0x10000 + numbers % 500_000), axis=1).astype("<u4")
+        return codes.tobytes().decode("utf-32-le")
+
+    def occurrences(self, passages: set[bytes]) -> np.ndarray:
+        """Places of all windows of these passages (numbers of words), found by one automaton over the documents."""
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in passages:
+            automaton.add_word(self.characters(np.frombuffer(p, np.int32)), len(p) // 4)
+        if not passages:
+            return np.zeros(0, np.int64)
+        automaton.make_automaton()
+        width = 1 if len(self.vocabulary) <= _SINGLE else 2
+        starts, sizes, base = [], [], 0
         for d in self.documents:
-            start, end, digest = word_digests(np.frombuffer(d, np.uint8))
-            numbers.append(digest)
-            starts.append(start + base)
-            ends.append(end + base)
+            for end, size in automaton.iter(self.characters(d)):
+                starts.append(base + (end + 1) // width - size)
+                sizes.append(size)
             base += len(d)
-        self.starts, self.stops = np.concatenate(starts), np.concatenate(ends)
-        self.digests = np.concatenate(numbers)
-        self.windows = Shard(numbers, np.concatenate, 1, length)
-        self.seed = seed_length(length, 1)
-        self.order = np.repeat(self.pdf["order"].to_numpy(), [len(d) for d in numbers])
-
-    def letters(self) -> str:
-        """All words as one string of small letters."""
-        shifts = np.arange(_LETTERS, dtype=np.uint64) * np.uint64(5)
-        return ((self.digests[:, None] >> shifts) % np.uint64(32) + np.uint64(64)).astype(np.uint8).tobytes().decode("ascii")
-
-    def occurrences(self, recurring: np.ndarray) -> np.ndarray:
-        """Places of all recurring minimiser phrases, by one automaton over those that are in this shard."""
-        kept = self.windows.places[member(self.windows.values, recurring)]
-        if not len(kept):
-            return kept
-        text, width = self.letters(), self.seed * _LETTERS
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase in {text[p : p + width] for p in (kept * _LETTERS).tolist()}:
-            automaton.add_word(phrase)
-        automaton.make_automaton()
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) + 1
-        return ends[ends % _LETTERS == 0] // _LETTERS - self.seed
-
-    def opened(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, bucket, digest) of the windows whose minimiser phrase the automaton found."""
-        at = self.occurrences(recurring)
-        kept = member(self.windows.places, at)
-        return self.windows.candidates(np.unique(self.windows.values[kept]), buckets)
-
-
-def removed_words(docs: DataFrame, finish, schema: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``finish(words, removed)`` for each shard: its documents and which of their words go."""
-    rows, shards = sharded(docs, key, text)
-
-    def minimisers(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = Words(pdf, key, text, length).windows.values
-        return packed(bucket_of(mixed(values), shards), values, int(pdf["shard"].iloc[0]))
-
-    def occurrences(_, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"bucket": [], "shard": [], "digests": [], "ids": []}
-        if len(pdf) and len(seeds):
-            words = Words(pdf, key, text, length)
-            at, bucket, digest = words.opened(all_of(seeds["found"]), shards)
-            order = words.order[at]
-            for b, some in by_bucket(bucket):
-                values, first = np.unique(digest[some], return_index=True)  # places rise, so the first has the least id
-                out["bucket"].append(b)
-                out["shard"].append(int(pdf["shard"].iloc[0]))
-                out["digests"].append(values.astype("<u8").tobytes())
-                out["ids"].append(order[some[first]].astype("<i8").tobytes())
-        return pd.DataFrame(out).astype({"bucket": "int32", "shard": "int32"})
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(b) // 8 for b in pdf["digests"]]
-        digest = np.frombuffer(b"".join(pdf["digests"]), "<u8")
-        order = np.frombuffer(b"".join(pdf["ids"]), "<i8")
-        shard = np.repeat(pdf["shard"].to_numpy(), sizes)
-        by = np.lexsort((shard, order, digest))
-        later = np.zeros(len(by), bool)
-        later[by[1:]] = digest[by[1:]] == digest[by[:-1]]
-        bounds = np.cumsum([0, *sizes])
-        found = [digest[a:b][later[a:b]].tobytes() for a, b in zip(bounds, bounds[1:])]
-        return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found})[[bool(f) for f in found]]
-
-    def remove(_, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        words = Words(pdf, key, text, length)
-        at, bucket, digest = words.opened(all_of(answers.loc[answers["bucket"] < 0, "found"]), shards)
-        elsewhere = dict(zip(answers["bucket"], answers["found"]))
-        hit = np.zeros(len(at), bool)
-        for b, some in by_bucket(bucket):
-            values, first = np.unique(digest[some], return_index=True)
-            earlier = np.isin(values, np.frombuffer(elsewhere.get(b, b""), "<u8"))
-            hit[some] = True
-            hit[some[first[~earlier]]] = False
-        return finish(words, covered(at[hit], length, int(words.windows.ends[-1])))
+        return np.unique(spread(np.array(starts, np.int64), np.array(sizes, np.int64) - self.length + 1))
 
-    seeds = twice(rows.groupBy("shard").applyInPandas(minimisers, PACKED))
-    firsts = rows.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInPandas(occurrences, FIRSTS)
-    later = firsts.groupBy("bucket").applyInPandas(decide, "bucket int, shard int, found binary")
-    answers = later.unionByName(seeds.withColumn("bucket", F.lit(-1)))
-    return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(remove, schema)
 
+def send(words: Words, recurring: np.ndarray, buckets: int) -> pa.Table:
+    """The shard's distinct contexts as words, a row for each bucket."""
+    at, count, offset, seed, bucket, many = words.contexts(recurring, buckets)
+    everything, tail = np.concatenate([np.zeros(0, np.int32), *words.documents]), words.length - 1
+    order = words.orders[np.searchsorted(words.windows.ends, at, "right")] if len(at) else np.zeros(0, np.int64)
+    out: dict[str, list] = {name: [] for name in ("bucket", "shard", "seeds", "offsets", "counts", "many", "orders", "places", "body")}
+    for b, some in by_bucket(bucket):
+        values = (b, words.shard, seed[some].astype("<u8").tobytes(), offset[some].astype("<u4").tobytes(), count[some].astype("<u4").tobytes(), many[some].astype("u1").tobytes(), order[some].astype("<i8").tobytes(), (at + offset)[some].astype("<i8").tobytes())
+        body = b"\n".join([b" ".join([words.vocabulary[i] for i in everything[a : a + c + tail].tolist()]) for a, c in zip(at[some].tolist(), count[some].tolist())])
+        for name, value in zip(out, (*values, body)):
+            out[name].append(value)
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), types)})
 
-def _documents(words: Words, gone: np.ndarray, key: str):
-    """(id, words, words removed, kept words joined by one space) of each document."""
-    data = np.frombuffer(b"".join(words.documents), np.uint8)
-    sizes = np.cumsum([0, *map(len, words.documents)])
-    step = np.zeros(len(data) + 1, np.int8)
-    kept = ~gone
-    step[words.starts[kept]] += 1
-    step[words.stops[kept] + 1] -= 1  # with the blank after it; the next word begins later or just there
-    keep = np.cumsum(step[:-1], dtype=np.int8) > 0
-    joined = np.where(BLANK[data], np.uint8(0x20), data)
-    begin = 0
-    for doc_id, a, b, end in zip(words.pdf[key].tolist(), sizes, sizes[1:], words.windows.ends.tolist()):
-        yield None if pd.isna(doc_id) else int(doc_id), end - begin, int(gone[begin:end].sum()), joined[a:b][keep[a:b]].tobytes().rstrip(b" ")
-        begin = end
 
+def decide(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """(bucket, shard, found and firsts: a bit for each window of the contexts that the shard sent, in order)."""
+    known: dict[tuple, int] = {}
+    seeds, offsets, counts, weights, bodies, owners, sent = [], [], [], [], [], [], []
+    for number, row in enumerate(pdf.itertuples(index=False)):
+        values = [np.frombuffer(b, t).tolist() for b, t in ((row.seeds, "<u8"), (row.offsets, "<u4"), (row.counts, "<u4"), (row.many, "u1"), (row.orders, "<i8"), (row.places, "<i8"))]
+        mine = []
+        for s, o, c, m, order, place, body in zip(*values, row.body.split(b"\n")):
+            i = known.setdefault((s, o, body), len(known))
+            owner = (order, row.shard, place, number)
+            if i == len(weights):
+                seeds.append(s)
+                offsets.append(o)
+                counts.append(c)
+                weights.append(0)
+                bodies.append(body)
+                owners.append(owner)
+            weights[i] += 1 + m
+            owners[i] = min(owners[i], owner)
+            mine.append(i)
+        sent.append(np.array(mine, np.int64))
+    seed, offset, count, weight = np.array(seeds, np.uint64), np.array(offsets, np.int64), np.array(counts, np.int64), np.array(weights, np.int64)
+    rank = np.empty(len(owners), np.int64)
+    rank[sorted(range(len(owners)), key=owners.__getitem__)] = np.arange(len(owners))
+    start = np.cumsum(count) - count
+    repeated, first = np.zeros(int(count.sum()), bool), np.zeros(int(count.sum()), bool)
+    by = np.argsort(seed, kind="stable")
+    before = length - seed_length(length, 1)
+    for part in chunks(seed[by]):
+        rows = by[part]
+        if len(rows) == 1 and weight[rows[0]] < 2:
+            continue
+        names: dict[bytes, int] = {}
+        data = np.array([names.setdefault(w, len(names)) for i in rows.tolist() for w in bodies[i].split(b" ")], np.int64)
+        o, k, w, r = offset[rows], count[rows], weight[rows], rank[rows]
+        size = k + length - 1
+        at = np.cumsum(size) - size + o
+        right, left = np.arange(length), np.arange(max(before, 1))
+        ahead = np.where(right < (size - o)[:, None], data[np.minimum(at[:, None] + right, len(data) - 1)], -1)
+        behind = np.where(left < o[:, None], data[np.maximum(at[:, None] - 1 - left, 0)], -1)
+        for who, window, group in classes(radix_order(behind), radix_order(ahead), o, k, length):
+            _, back = np.unique(group, return_inverse=True)
+            total = np.bincount(back, w[who])
+            least = np.full(len(total), len(rank))
+            np.minimum.at(least, back, r[who])
+            repeated[start[rows[who]] + window] = total[back] > 1
+            first[start[rows[who]] + window] = least[back] == r[who]
+    found, firsts = [], []
+    for number, mine in enumerate(sent):
+        where = spread(start[mine], count[mine])
+        owns = np.repeat([owners[i][3] == number for i in mine.tolist()], count[mine]).astype(bool)
+        found.append(np.packbits(repeated[where]).tobytes())
+        firsts.append(np.packbits(first[where] & owns).tobytes())
+    return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found, "firsts": firsts})
 
-def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
 
-    def finish(words: Words, gone: np.ndarray) -> pd.DataFrame:
-        rows = [(i, all_, n, hashlib.sha256(kept).hexdigest()) for i, all_, n, kept in _documents(words, gone, "doc_id")]
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+def removed_words(rows, length: int, finish: Callable, schema: str) -> DataFrame:
+    """``finish(words, which words go, for each text)`` over the shards of ``dealt`` documents."""
+    shards, buckets, wide = rows.rows, rows.buckets, rows.context_buckets
 
-    return removed_words(docs, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", length)
+    def minimisers(table: pa.Table) -> pa.Table:
+        return Words(table, length).minimisers(buckets)
 
+    def candidates(table: pa.Table, seeds: pa.Table) -> pa.Table:
+        return send(Words(table, length), all_of(seeds["found"].to_pylist()), wide)
 
-def kept_texts(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, n_removed): the kept words joined by one space."""
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        words = Words(table, length)
+        given = answers.to_pydict()
+        recurring = all_of([f for b, f in zip(given["bucket"], given["found"]) if b < 0])
+        at, count, _, _, bucket, _ = words.contexts(recurring, wide)
+        found = {b: (f, g) for b, f, g in zip(given["bucket"], given["found"], given["firsts"]) if b >= 0}
+        start = np.cumsum(count) - count
+        repeated, first = np.zeros(int(count.sum()), bool), np.zeros(int(count.sum()), bool)
+        for b, some in by_bucket(bucket):
+            where = spread(start[some], count[some])
+            for bits, packed_bits in zip((repeated, first), found[b]):
+                bits[where] = np.unpackbits(np.frombuffer(packed_bits, np.uint8), count=len(where)).astype(bool)
+        places = spread(at, count)
+        edge = np.ones(len(places), bool)  # a passage: repeated windows of a context that follow one another
+        edge[1:] = ~repeated[:-1]
+        edge[start] = True
+        begins = np.flatnonzero(repeated & edge)
+        ends = np.flatnonzero(repeated & np.append(edge[1:] | ~repeated[1:], True)[: len(places)])
+        everything = np.concatenate([np.zeros(0, np.int32), *words.documents])
+        passages = {everything[places[a] : places[b] + length].tobytes() for a, b in zip(begins.tolist(), ends.tolist())}
+        hits = words.occurrences(passages)
+        later = hits[~np.isin(hits, places[first & repeated])]
+        gone = covered(later, length, len(everything))
+        return finish(words, [gone[e - len(d) : e] for d, e in zip(words.documents, words.windows.ends.tolist())])
+
+    seeds = twice(shards.groupBy("shard").applyInArrow(minimisers, PACKED))
+    sent = shards.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(candidates, CONTEXTS)
+    found = sent.groupBy("bucket").applyInPandas(lambda pdf: decide(pdf, length), ANSWERS)
+    answers = found.unionByName(seeds.select(F.lit(-1).alias("bucket"), "shard", "found", F.lit(None).cast("binary").alias("firsts")))
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, schema)
+
+
+def _deduplicated(docs: DataFrame, length: int, key: str, text: str, kept: str, value: Callable, of_text: Callable[[Column], Column]) -> DataFrame:
+    """(key, n_words, n_removed, ``kept``); ``value`` makes the last of the kept bytes, ``of_text`` of a column of them."""
+    kind = docs.schema[key].dataType
+    ranks = None
+    docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    if not isinstance(kind, IntegralType):  # numbers in the order of the ids
+        ranks = stored(docs.select("id").where("id IS NOT NULL").distinct().orderBy("id").withColumn("rank", F.monotonically_increasing_id()))
+        named = docs.join(ranks, "id").select(F.col("rank").alias("id"), "text")
+        docs = named.unionByName(docs.where("id IS NULL").select(F.lit(None).cast("long").alias("id"), "text"))
+    rows = dealt(docs.withColumn("id", F.col("id").cast("long")), "id", "text")
+
+    def finish(words: Words, gone: list[np.ndarray]) -> pa.Table:
+        judged = []
+        for text_, d, g in zip(words.texts, words.documents, gone):
+            left = [w for w, x in zip(text_.encode("utf-8", "replace").split(), g.tolist()) if not x]
+            judged.append((len(d), int(g.sum()), value(b" ".join(left))))
+        out = []
+        for row, at in enumerate(words.row_text):
+            n = len(words.documents[at])
+            out.append(judged[at] if row == words.first_rows[at] or n < length else (n, n, value(b"")))
+        columns = {"id": words.rows["id"]} | {name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate((("n_words", pa.int64()), ("n_removed", pa.int64()), (kept, pa.string())))}
+        return pa.table(columns)
 
-    def finish(words: Words, gone: np.ndarray) -> pd.DataFrame:
-        rows = [(i, kept.decode("utf-8", "replace"), n) for i, _, n, kept in _documents(words, gone, key)]
-        return pd.DataFrame(rows, columns=[key, text, "n_removed"]).astype({key: "Int64"})
+    out = removed_words(rows, length, finish, f"id long, n_words long, n_removed long, `{kept}` string")
+    if rows.heavy is not None:
+        n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+        goes = F.col("n_words") >= length
+        short = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+        copies = rows.heavy[0].select("id", "digest", n.alias("n_words"), "text").select("id", "digest", "n_words", F.when(goes, F.col("n_words")).otherwise(0).alias("n_removed"), of_text(F.when(goes, "").otherwise(short)).alias(kept))
+        copies = copies.join(rows.heavy[1], F.col("digest") == F.col("of"))
+        each = copies.groupBy("digest", "id").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("n_removed").alias("n_removed"), F.first(kept).alias(kept), F.first(F.col("id").eqNullSafe(F.col("first"))).alias("is_first"))
+        later = each.withColumn("n", F.col("n") - F.col("is_first").cast("long")).where("n > 0")
+        out = out.unionByName(later.select("id", "n_words", "n_removed", kept, F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col"))
+    if ranks is not None:
+        out = out.join(ranks.withColumnRenamed("id", "name"), F.col("id") == F.col("rank"), "left").drop("id", "rank").withColumnRenamed("name", "id")
+    return out.select(F.col("id").cast(kind).alias(key), "n_words", "n_removed", kept)
 
-    return removed_words(docs, finish, f"{key} long, {text} string, n_removed long", length, key, text)
+
+def dedup_digest(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words, n_removed, kept_sha256."""
+    return _deduplicated(docs, length, key, text, "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest(), lambda kept: F.sha2(kept, 256))
+
+
+def kept_texts(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words, n_removed, kept_text: the kept words joined by one space."""
+    return _deduplicated(docs, length, key, text, "kept_text", lambda kept: kept.decode("utf-8", "replace"), lambda kept: kept)

@@ -1,36 +1,43 @@
 """Repeated windows of a fixed length over many documents: what the two exact substring operators share.
 
-Documents are dealt into shards of a few MB by a hash of their text, so that copies meet; a text that is a
-noticeable share of all rows is spread evenly. A shard is worked on as one array of symbol hashes. Digests of
-the symbols' windows go to buckets by their leading digit, as packed arrays, one row for each shard and bucket:
-
-1. Every window has a minimiser: the least digest of its ``seed``-symbol substrings. Equal windows have equal
-   minimisers. Shards send the distinct minimisers; buckets answer which of them occur twice.
-2. Only windows with such a minimiser are candidates. Shards send their distinct digests, and buckets decide.
+Documents are dealt into shards of a few MB by a hash of their text, so that copies meet. Texts whose copies hold many
+characters are heavy: one row stands for all, grouped by the text itself, combined before the shuffle. A shard is worked
+on as arrays of symbol hashes, in runs that a processor's cache can hold; a long text is cut into runs that overlap.
+
+1. Every window has a minimiser: the least digest of its ``seed``-symbol substrings, the leftmost among equals. Equal
+   windows have equal minimisers at equal offsets. Shards send the distinct minimisers, packed, to buckets, which answer
+   which of them occur twice. Digests only sift: all that follows compares contents.
+2. Consecutive windows of one minimiser are a context: the symbols that they cover together. Shards send the distinct
+   contexts of recurring minimisers, and a bucket compares all contexts of a minimiser exactly (``contexts``).
 3. Shards turn the answers into spans.
 
-A shard sends a digest once however often it occurs there, so a hot passage is no hot key, and no pairs are made.
-Digests have 64 bits and the bucket's digit, which is drawn independently.
+A shard sends a minimiser or a context once however often it occurs there, so a hot passage is no hot key, and no pairs
+are made. There are as many buckets as the characters need (``BUCKET_CHARS``), and a shard packs what goes to a bucket
+into one row: there are never more rows than contexts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.scratch import stored
 
 SHARD_CHARS = 4_000_000
 LEAST_SHARDS = 48
-#: A text with more than this share of all rows is spread over the shards; so at most 1 / HOT texts are listed.
-HOT = 1 / 1000
+#: Characters of the documents for each bucket of minimisers and of contexts.
+BUCKET_CHARS, CONTEXT_CHARS = 64_000_000, 16_000_000
+#: A text is heavy if its copies hold more characters than this; heavy texts are told by so many slots of a hash.
+HEAVY, SLOTS = SHARD_CHARS // 16, 1 << 20
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_32 = np.uint64(32)
+_A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_32, _ONE = np.uint64(32), np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,9 +65,9 @@ def seed_length(length: int, gram: int) -> int:
 
 
 class Windows:
-    """The windows of ``length`` symbols of documents that stand one after another.
+    """The windows of ``length`` symbols of pieces of text that stand one after another.
 
-    ``grams``: digests of the ``gram``-symbol strings at each place. ``ends``: where each document ends.
+    ``grams``: digests of the ``gram``-symbol strings at each place. ``ends``: where each piece ends.
     Windows that would cross an end are left out: ``valid`` tells which places begin a window.
     """
 
@@ -71,18 +78,13 @@ class Windows:
         self.valid, self.least = np.zeros(n, bool), np.zeros(n, np.uint64)
         self.places, self.values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if n < length:
-            self.part, self.size = grams, gram
             return
-        levels, size, h = {gram: grams}, gram, grams
-        while size * 2 <= length:
+        h, size = grams, gram
+        while size < self.seed:
             longer = np.zeros(n, np.uint64)
             longer[: n - size] = h[: n - size] * _A + h[size:]
             h, size = mixed(longer), size * 2
-            levels[size] = h
-            if size // 2 not in (self.seed, gram):
-                levels.pop(size // 2, None)
-        self.part, self.size = h, size
-        seeds = levels[self.seed]
+        seeds = h | _ONE  # zero means none
         span = length - self.seed + 1
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         step = np.zeros(n + 1, np.int32)
@@ -110,51 +112,77 @@ class Windows:
             out = longer
         return out
 
-    def candidates(self, recurring: np.ndarray) -> np.ndarray:
-        """Places of the windows whose minimiser is in ``recurring`` (sorted)."""
-        if not len(recurring) or not self.valid.any():
-            return np.zeros(0, np.int64)
-        change = np.flatnonzero(self.least[1:] != self.least[:-1]) + 1
-        bounds = np.concatenate(([0], change, [len(self.least)]))
-        kept = member(self.least[bounds[:-1]], recurring)
-        return np.flatnonzero(np.repeat(kept, np.diff(bounds)) & self.valid)
-
-    def halves(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of two strings that together cover each window."""
-        return self.part[at], self.part[at + (self.length - self.size)]
+    def contexts(self, recurring: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first window, windows, offset of the seed in the first, seed's digest) of the contexts whose seed is in ``recurring`` (sorted)."""
+        at = np.zeros(0, np.int64)
+        if len(recurring) and self.valid.any():
+            change = np.flatnonzero(self.least[1:] != self.least[:-1]) + 1
+            bounds = np.concatenate(([0], change, [len(self.least)]))
+            at = np.flatnonzero(np.repeat(member(self.least[bounds[:-1]], recurring), np.diff(bounds)) & self.valid)
+        least = self.least[at]
+        k = np.searchsorted(self.places, at)
+        wrong = np.arange(len(at))
+        while len(wrong := wrong[self.values[k[wrong]] != least[wrong]]):
+            k[wrong] += 1
+        place = self.places[k]
+        new = np.ones(len(at), bool)
+        new[1:] = (place[1:] != place[:-1]) | (np.diff(at) != 1)
+        first = np.flatnonzero(new)
+        return at[first], np.diff(np.append(first, len(at))), (place - at)[first], least[first]
 
 
 class Shard:
-    """The windows of a shard's documents, made in runs of documents that the processor's cache can hold.
+    """The windows of a shard's documents, made in runs that the processor's cache can hold; long documents in several.
 
-    ``documents``: for each document its symbols; ``grams`` gives the digests of a run's symbols.
+    ``documents``: for each document its symbols; ``grams`` gives the digests of a list of pieces, joined.
     Places count from the shard's first symbol.
     """
 
-    def __init__(self, documents: list, grams, gram: int, length: int, run: int = 1 << 16):
+    def __init__(self, documents: list, grams: Callable, gram: int, length: int, run: int = 1 << 16):
         sizes = np.array([len(d) for d in documents], np.int64)
         self.length, self.ends = length, np.cumsum(sizes)
-        self.runs: list[tuple[int, Windows]] = []
-        begin = 0
-        while begin < len(documents):
-            base = int(self.ends[begin] - sizes[begin])
-            end = max(begin + 1, int(np.searchsorted(self.ends, base + run, "right")))
-            self.runs.append((base, Windows(grams(documents[begin:end]), gram, self.ends[begin:end] - base, length)))
-            begin = end
-        empty = [np.zeros(0, np.uint64)]
-        self.values = np.concatenate(empty + [w.values for _, w in self.runs])
-        self.places = np.concatenate([np.zeros(0, np.int64)] + [w.places + base for base, w in self.runs])
-
-    def candidates(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, bucket, digest) of the windows whose minimiser is in ``recurring`` (sorted)."""
-        at, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for base, w in self.runs:
-            here = w.candidates(recurring)
-            a, b = w.halves(here)
-            at.append(here + base)
-            one.append(mixed(a * _A + b))
-            two.append(mixed((a ^ _B) * _C + (b ^ _A) * _B))
-        return np.concatenate(at), bucket_of(np.concatenate(two), buckets), np.concatenate(one)
+        self.runs: list[tuple[np.ndarray, np.ndarray, Windows]] = []
+        pieces, froms, held = [], [], 0
+
+        def close() -> None:
+            nonlocal pieces, froms, held
+            if pieces:
+                ends = np.cumsum([len(p) for p in pieces])
+                self.runs.append((np.concatenate(([0], ends[:-1])), np.array(froms), Windows(grams(pieces), gram, ends, length)))
+            pieces, froms, held = [], [], 0
+
+        for document, n, end in zip(documents, sizes.tolist(), self.ends.tolist()):
+            if n < length:
+                continue
+            for low in range(0, n - length + 1, run):  # a piece begins ``run`` windows
+                piece = document[low : low + run + length - 1] if n > run else document
+                if held and held + len(piece) > run:
+                    close()
+                pieces.append(piece)
+                froms.append(end - n + low)
+                held += len(piece)
+        close()
+
+    def values(self) -> np.ndarray:
+        """The digests of all minimisers, one for each place of one."""
+        found = [self._from(run, run[2].places) for run in self.runs]
+        places, first = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_index=True)
+        return np.concatenate([np.zeros(0, np.uint64), *(w.values for _, _, w in self.runs)])[first]
+
+    @staticmethod
+    def _from(run: tuple, local: np.ndarray) -> np.ndarray:
+        starts, froms, _ = run
+        piece = np.searchsorted(starts, local, "right") - 1
+        return froms[piece] + local - starts[piece]
+
+    def contexts(self, recurring: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``Windows.contexts``, over the whole shard."""
+        parts = []
+        for run in self.runs:
+            at, count, offset, digest = run[2].contexts(recurring)
+            parts.append((self._from(run, at), count, offset, digest))
+        kinds = (np.int64, np.int64, np.int64, np.uint64)
+        return tuple(np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds))
 
 
 def member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -164,8 +192,7 @@ def member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
-    b = ((x >> _32) * np.uint64(buckets)) >> _32
-    return b.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    return (((mixed(x * _A) >> _32) * np.uint64(buckets)) >> _32).astype(np.int64)
 
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -177,17 +204,35 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(digits[a]), order[a:b]
 
 
-def sharded(docs: DataFrame, key: str, text: str, *rest: Column) -> tuple[DataFrame, int]:
-    """(rows of shard, key, text and ``rest``, with null texts empty; number of shards)."""
-    docs = docs.select(F.col(key).cast("long").alias(key), F.coalesce(text, F.lit("")).alias(text), *rest)
-    kinds = stored(docs.groupBy(F.xxhash64(text).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")))
-    rows, chars = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+class Dealt(NamedTuple):
+    """Documents as (id, text, none: whether it was null, c0, c1, ...: other columns), dealt out."""
+
+    rows: DataFrame  # shard, id, text, none, copies, ...; one row for each heavy text, with its least id
+    heavy: tuple[DataFrame, DataFrame] | None  # the documents of heavy texts with their digest; of (digest), first (least id) where there are copies
+    shards: int
+    buckets: int
+    context_buckets: int
+
+
+def dealt(docs: DataFrame, key: str, text: str, others: list[str] = []) -> Dealt:
+    """Documents by shard. Every text of which heavy copies are told apart from is compared by itself or its SHA-256."""
+    docs = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    kind = F.xxhash64("text")
+    kinds = stored(docs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
+    chars = kinds.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-chars // SHARD_CHARS))
-    hot = [r.kind for r in kinds.where(F.col("n") > max(16.0, rows * HOT)).select("kind").collect()]  # at most 1 / HOT
-    number = F.xxhash64(text)
-    if hot:
-        number = F.when(number.isin(hot), F.xxhash64(key)).otherwise(number)
-    return docs.select(F.pmod(number, F.lit(shards)).cast("int").alias("shard"), "*"), shards
+    slots = stored(kinds.where((F.col("n") > 1) & (F.col("chars") > HEAVY)).select(F.pmod("kind", F.lit(SLOTS)).alias("slot")).distinct())
+    light, heavy = docs.withColumn("copies", F.lit(1).cast("long")), None
+    if not slots.isEmpty():
+        marked = docs.join(F.broadcast(slots), F.pmod(kind, F.lit(SLOTS)) == F.col("slot"), "left")  # at most SLOTS rows
+        alone = [c for c in docs.columns if c not in ("id", "text")]
+        several = marked.where("slot IS NOT NULL").drop("slot")
+        one = several.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in alone])
+        light = marked.where("slot IS NULL").drop("slot").withColumn("copies", F.lit(1).cast("long")).unionByName(one)
+        firsts = one.where("copies > 1").select(F.sha2("text", 256).alias("of"), F.col("id").alias("first"))
+        heavy = several.withColumn("digest", F.sha2("text", 256)), firsts
+    rows = light.select(F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), "*")
+    return Dealt(rows, heavy, shards, max(LEAST_SHARDS, -(-chars // BUCKET_CHARS)), max(LEAST_SHARDS, -(-chars // CONTEXT_CHARS)))
 
 
 def twice(rows: DataFrame) -> DataFrame:
@@ -204,36 +249,23 @@ def twice(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(decide, "bucket int, shard int, found binary")
 
 
-def twice_as_bits(rows: DataFrame) -> DataFrame:
-    """As ``twice``, but a bit for each of a shard's ``once`` digests; its ``many`` digests need no answer."""
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = [np.frombuffer(b, "<u8") for b in pdf["once"]]
-        many = [np.frombuffer(b, "<u8") for b in pdf["many"]]
-        values, counts = np.unique(np.concatenate((*once, *many, *many)), return_counts=True)
-        repeated = values[counts > 1]
-        found = [np.packbits(member(a, repeated)).tobytes() for a in once]
-        return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found})
-
-    return rows.groupBy("bucket").applyInPandas(decide, "bucket int, shard int, found binary")
+PACKED = "bucket int, shard int, once binary, many binary"
 
 
-def packed(bucket: np.ndarray, digest: np.ndarray, shard: int) -> pd.DataFrame:
-    """A row for each bucket: the digests that occur once here, and those that occur more often."""
+def packed(values: np.ndarray, copied: np.ndarray, buckets: int, shard: int) -> pa.Table:
+    """A row for each bucket: the digests that occur once here, and those that occur more often or are in ``copied``."""
     out: dict[str, list] = {"bucket": [], "shard": [], "once": [], "many": []}
-    for b, at in by_bucket(bucket):
-        values, counts = np.unique(digest[at], return_counts=True)
+    values, counts = np.unique(values, return_counts=True)
+    several = (counts > 1) | member(values, np.unique(copied))
+    for b, at in by_bucket(bucket_of(values, buckets)):
         out["bucket"].append(b)
         out["shard"].append(shard)
-        out["once"].append(values[counts == 1].astype("<u8").tobytes())
-        out["many"].append(values[counts > 1].astype("<u8").tobytes())
-    return pd.DataFrame(out).astype({"bucket": "int32", "shard": "int32"})
-
-
-PACKED = "bucket int, shard int, once binary, many binary"
+        out["once"].append(values[at][~several[at]].astype("<u8").tobytes())
+        out["many"].append(values[at][several[at]].astype("<u8").tobytes())
+    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
 
-def all_of(blobs: pd.Series) -> np.ndarray:
+def all_of(blobs: list[bytes]) -> np.ndarray:
     """The sorted digests of packed arrays."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, "<u8") for b in blobs)]))
 
@@ -241,6 +273,6 @@ def all_of(blobs: pd.Series) -> np.ndarray:
 def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n places lie in a window that begins at one of the places ``at``."""
     step = np.zeros(n + 1, np.int32)
-    step[at] += 1  # places are distinct
-    step[at + length] -= 1
+    np.add.at(step, at, 1)
+    np.add.at(step, at + length, -1)
     return np.cumsum(step[:n]) > 0

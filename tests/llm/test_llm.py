@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, components, flac_media, kk_packing, language_id, license_scan, near_copies, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
+from quillspark.llm import byte_bpe, components, flac_media, kk_packing, language_id, license_scan, near_copies, phrase_automata, simhash_vptree, suffix_radix, vptree_ann, windows
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,43 +299,122 @@ def test_license_notices_over_line_ends(spark):
     assert got[100] == got[101] == ("", 0.0) and got[102] == ("apache-2", 1.0)
 
 
-def test_repeated_phrases(spark):
-    rng = random.Random(7)
-    make = lambda n: " ".join(rng.choice(["a", "b", "cc", "é", "\n"]) for _ in range(n))
-    base = [make(rng.randint(0, 90)) for _ in range(8)]
-    rows = [(i, rng.choice(base) + " " * rng.randint(0, 2) + (make(3) if rng.random() < 0.5 else rng.choice(base))) for i in range(40)] + [(50, "x " * 60), (51, None)]
-    rng.shuffle(rows)
-    seen, want = set(), {}
-    for i, t in sorted(rows):
+def without_repeated_words(rows, length, order=lambda i: (i is None, i)):
+    """By brute force: how often (id, words, words removed, digest of the rest) is the answer."""
+    seen, want = set(), Counter()
+    for i, t in sorted(rows, key=lambda r: (order(r[0]), r[1] or "")):
         w = (t or "").encode().split()
         gone = [False] * len(w)
-        for k in range(len(w) - 7):
-            x = tuple(w[k : k + 8])
+        for k in range(len(w) - length + 1):
+            x = tuple(w[k : k + length])
             if x in seen:
-                gone[k : k + 8] = [True] * 8
+                gone[k : k + length] = [True] * length
             seen.add(x)
-        want[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
-    got = phrase_automata.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), 8)
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == want
+        want[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()] += 1
+    return want
 
 
-def test_repeated_bytes(spark):
-    rng = random.Random(8)
-    make = lambda n: "".join(rng.choice("abé ") for _ in range(n))
-    base = [make(rng.randint(0, 300)) for _ in range(8)]
-    rows = [(i, rng.choice(base) + make(rng.randint(0, 9)) + rng.choice(base)) for i in range(30)] + [(40, "ab" * 60), (41, "x" * 25), (42, None)]
-    count = Counter(b[k : k + 24] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - 23))
-    want = {}
+def without_repeated_bytes(rows, length):
+    """The same for bytes: (id, bytes, bytes removed, spans, digest of the rest)."""
+    count = Counter(b[k : k + length] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - length + 1))
+    want = Counter()
     for i, t in rows:
         b = (t or "").encode()
         gone = [False] * len(b)
-        for k in range(len(b) - 23):
-            if count[b[k : k + 24]] > 1:
-                gone[k : k + 24] = [True] * 24
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = [True] * length
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        want[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    return want
+
+
+def repeating_rows(seed, alphabet, heavy):
+    """Texts that share passages, copies (many of one text, if heavy), a text that repeats itself, null and empty ones."""
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    base = [make(rng.randint(0, 300)) for _ in range(8)]
+    rows = [(i, rng.choice(base) + " " * rng.randint(0, 2) + (make(9) if rng.random() < 0.5 else rng.choice(base))) for i in range(40)]
+    rows += [(50, alphabet[0] * 120), (51, None), (52, "x " * 60), (53, ""), (None, base[0] + "q"), (54, "\0" * 60)]
+    if heavy:
+        rows += [(60 + i // 2, base[1] + base[2]) for i in range(30)] + [(None, base[1] + base[2])] * 2 + [(90 + i, alphabet[0] + " few") for i in range(30)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_repeated_phrases(spark, monkeypatch, heavy):
+    monkeypatch.setattr(windows, "HEAVY", 60 if heavy else windows.HEAVY)
+    rows = repeating_rows(7, ["a ", "b ", "cc ", "é ", "\n", "d"], heavy)
+    got = phrase_automata.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == without_repeated_words(rows, 8)
+
+
+def test_repeated_phrases_with_ids_of_letters(spark):
+    rows = [(None if i is None else f"k{i * 7 % 100:02d}", t) for i, t in repeating_rows(9, ["a ", "b ", "cc "], False)]
+    got = phrase_automata.dedup_digest(spark.createDataFrame(rows, "name string, text string"), 8, key="name")
+    assert Counter((r.name, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == without_repeated_words(rows, 8)
+
+
+def test_different_words_of_equal_sums_stay(spark):
+    """A Thue-Morse word and its complement have the same polynomial digest modulo 2^64 to any odd base."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    same = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{same} {bits}"), (2, f"{same} {bits.translate(str.maketrans('ab', 'ba'))}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in phrase_automata.dedup_digest(docs).collect()} == {0}
+    short = spark.createDataFrame([(1, bits), (2, bits.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(short).collect()} == {1: 1, 2: 2}
+
+
+def test_automaton_finds_all_occurrences():
+    table = pa.table({"shard": [0, 0], "id": [1, 2], "text": ["a b c d a b c", "z a b c d"], "copies": [1, 1]})
+    words = phrase_automata.Words(table, 3)
+    find = lambda t: np.array([words.vocabulary.index(w) for w in t.encode().split()], np.int32).tobytes()
+    assert words.occurrences({find("a b c"), find("b c d")}).tolist() == [0, 1, 4, 8, 9]
+    assert words.occurrences({find("a b c d")}).tolist() == [0, 1, 8, 9] and words.occurrences(set()).tolist() == []
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_repeated_bytes(spark, monkeypatch, heavy):
+    monkeypatch.setattr(windows, "HEAVY", 60 if heavy else windows.HEAVY)
+    rows = repeating_rows(8, "abé ", heavy)
     got = suffix_radix.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), 24)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == without_repeated_bytes(rows, 24)
+
+
+def test_windows_of_texts_in_pieces():
+    """A document cut into runs has the same minimisers and the same windows in its contexts."""
+    rng = np.random.default_rng(4)
+    data = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (3000, 10, 700, 24, 0, 23)]
+    make = lambda run: windows.Shard(data, lambda some: windows.byte_grams(b"".join(some)), 8, 24, run)
+    whole, cut = make(1 << 16), make(100)
+    every = np.unique(whole.values())
+    assert np.array_equal(np.sort(whole.values()), np.sort(cut.values()))
+    windows_of = lambda shard: sorted((a + t, o - t, s) for a, c, o, s in zip(*(x.tolist() for x in shard.contexts(every))) for t in range(c))
+    assert windows_of(whole) == windows_of(cut) and len(windows_of(cut)) == 2977 + 677 + 1
+
+
+def test_classes_equal_brute_force(monkeypatch):
+    """Windows around seeds, compared by radix orders, in small chunks and in one."""
+    rng, length = random.Random(6), 24
+    contexts = []
+    for _ in range(400):
+        o, k = rng.randint(0, 15), 1
+        k = rng.randint(1, o + 1)
+        seed = rng.choice([b"abcdefgh", b"hgfedcba"])
+        body = bytearray(rng.choice(b"xy") if rng.random() < 0.1 else 120 for _ in range(k + length - 1))
+        body[o : o + 8] = seed
+        contexts.append((seed == b"hgfedcba", o, k, 1 + (rng.random() < 0.05), bytes(body)))
+    seen = Counter()
+    for s, o, k, w, b in contexts:
+        for t in range(k):
+            seen[s, o - t, b[t : t + length]] += w
+    want = [seen[s, o - t, b[t : t + length]] > 1 for s, o, k, _, b in contexts for t in range(k)]
+    columns = [np.array(x, np.int64) for x in list(zip(*contexts))[:4]]
+    for size in (50, 20_000):
+        monkeypatch.setattr("quillspark.llm.contexts.CHUNK", size)
+        assert suffix_radix.repeated_in(columns[0].astype(np.uint64), *columns[1:], [b for *_, b in contexts], length).tolist() == want
 
 
 def test_without_repeats_keeps_columns(odd):

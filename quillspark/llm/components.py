@@ -32,3 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def least_of_each(vertices: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """(node, component_id: the least ``key`` in the component of each row of ``vertices`` (node, ``key``), null if there is none)."""
+    rooted = vertices.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", key, F.coalesce("label", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(key).alias("component_id")).withColumnRenamed("root", "of")
+    return rooted.join(least, F.col("root") == F.col("of")).select("node", "component_id")

@@ -9,20 +9,21 @@ guest, so every linked pair meets in some leaf (triangle inequality; exact). In
 a leaf the same recursion goes on in memory down to small blocks. A leaf task
 keeps a spanning forest of its links, and the forests are joined into components.
 
-A leaf far larger than the mean (a swarm of near copies closer than the radius
-can tell apart) is dealt into blocks and every pair of blocks is a task of its
-own. Documents with equal fingerprints are one vertex throughout.
+A leaf far larger than the mean, or than a task can hold, is split by further
+vantage points from a sample of its own. What no point separates (a swarm of near
+copies closer than the radius can tell apart) is dealt into blocks and every pair
+of blocks is a task of its own. Documents with equal fingerprints are one vertex throughout.
 
 Rows: a null or wordless text has fingerprint zero and is linked like any other.
 Ties and repeated rows share a vertex; repeated ids keep their rows. Rows with a
-null id are kept, with the component of their fingerprint. An empty table gives
-an empty result.
+null id are linked like others and have the component of their fingerprint, which
+is null if no id is in it. Other columns are never read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.components import components
+from quillspark.llm.components import components, least_of_each
 from quillspark.llm.scratch import stored
 
 SEED = 42
@@ -38,6 +39,8 @@ SAMPLE = 8192
 #: A fingerprint visits more leaves the more there are, and leaves hold more rows the fewer: their number grows with the root.
 LEAVES_OF_ROOT = 1 / 8
 LEAST_LEAVES, MOST_LEAVES = 16, 8192
+#: Rows of a leaf that one task can hold, and how often leaves of more (or of twice the mean) are split by further vantage points.
+LEAF_ROWS, SPLITS = 1 << 20, 2
 BLOCK = 64
 
 
@@ -98,9 +101,9 @@ def _vantage(points: np.ndarray) -> tuple[np.uint64, int] | None:
     return found
 
 
-def build_tree(sample: np.ndarray, leaves: int) -> Node:
-    """A tree of about ``leaves`` leaves over a sample of distinct fingerprints; the largest part is split first."""
-    root = Node()
+def build_tree(sample: np.ndarray, leaves: int, root: Node | None = None, number: int = 0) -> Node:
+    """A tree of about ``leaves`` leaves, numbered from ``number`` on, over a sample of distinct fingerprints; the largest part is split first."""
+    root = root or Node()
     parts = [(root, sample)]
     stuck = []
     while parts and len(parts) + len(stuck) < leaves:
@@ -111,13 +114,24 @@ def build_tree(sample: np.ndarray, leaves: int) -> Node:
             continue
         node.vantage, node.radius = split
         near = np.bitwise_count(points ^ node.vantage) <= node.radius
-        node.near, node.far = Node(), Node()
+        node.leaf, node.near, node.far = -1, Node(), Node()
         parts += [(node.near, points[near]), (node.far, points[~near])]
     for i, (node, _) in enumerate(parts + stuck):
-        node.leaf = i
+        node.leaf = number + i
     return root
 
 
+def leaves_of(root: Node) -> dict[int, Node]:
+    found, stack = {}, [root]
+    while stack:
+        node = stack.pop()
+        if node.leaf >= 0:
+            found[node.leaf] = node
+        else:
+            stack += [node.near, node.far]
+    return found
+
+
 def route(root: Node, fp: np.ndarray, max_bits: int) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(leaf, places in ``fp``, whether they are guests) for all leaves that they reach."""
     everyone = np.arange(len(fp))
@@ -185,65 +199,83 @@ def link_within(fp: np.ndarray, home: np.ndarray, guest: np.ndarray, max_bits: i
         stack.append((home[near], np.concatenate((home[crossing], guest[dg <= radius + max_bits]))))
 
 
-def links(vertices: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE) -> DataFrame:
-    """Spanning links (a, b) between the nodes of ``vertices`` (fp, node), one row a distinct fingerprint.
+def links(vertices: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Spanning links (a, b) between the distinct fingerprints of ``vertices`` (node).
 
     ``vertices`` is read several times and should be a stored table.
     """
     total = vertices.count()
     share = min(1.0, sample_rows / max(total, 1))
-    drawn = vertices.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("fp").collect()  # about sample_rows
-    sample = np.unique(np.array([r.fp for r in drawn], np.int64).view(np.uint64))
+    drawn = vertices.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).collect()  # about sample_rows
+    sample = np.unique(np.array([r.node for r in drawn], np.int64).view(np.uint64))
     tree = build_tree(sample, min(max(LEAST_LEAVES, int(total**0.5 * LEAVES_OF_ROOT)), MOST_LEAVES))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = pdf["fp"].to_numpy().view(np.uint64)
-            for leaf, at, guest in route(tree, fp, max_bits):
-                yield pd.DataFrame({"leaf": np.int32(leaf), "guest": guest, "fp": pdf["fp"].to_numpy()[at], "node": pdf["node"].to_numpy()[at]})
-
-    node_type = vertices.schema["node"].dataType.simpleString()
-    dealt = vertices.mapInPandas(deal, f"leaf int, guest boolean, fp long, node {node_type}")
-    counts = {r.leaf: r.n for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
-    fair = max(2 * sum(counts.values()) // max(len(counts), 1), 256)
-    blocks = {leaf: -(-2 * n // fair) for leaf, n in counts.items() if n > fair}
-    if blocks:
-        number = F.create_map(*chain.from_iterable((F.lit(leaf), F.lit(g)) for leaf, g in blocks.items()))
-        g = F.coalesce(number[F.col("leaf")], F.lit(1))
-        mine = F.pmod(F.xxhash64("fp", F.lit(7)), g).cast("int")
+    def dealt_by(tree: Node) -> DataFrame:
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                node = pdf["node"].to_numpy()
+                for leaf, at, guest in route(tree, node.view(np.uint64), max_bits):
+                    yield pd.DataFrame({"leaf": np.int32(leaf), "guest": guest, "node": node[at]})
+
+        return vertices.mapInPandas(deal, "leaf int, guest boolean, node long")
+
+    for last in (*[False] * SPLITS, True):
+        dealt = dealt_by(tree)
+        counts = {r.leaf: r.n for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
+        fair = min(max(2 * sum(counts.values()) // max(len(counts), 1), 256), leaf_rows)
+        large = {leaf: n for leaf, n in counts.items() if n > fair}
+        if last or not large or not _split(tree, large, dealt, fair, sample_rows):
+            break
+    if large:
+        blocks = dealt.sparkSession.createDataFrame([(leaf, -(-2 * n // fair)) for leaf, n in large.items()], "of int, g int")  # at most a row a leaf
+        g = F.coalesce("g", F.lit(1))
+        mine = F.pmod(F.xxhash64("node", F.lit(7)), g).cast("int")
         pair = F.transform(F.filter(F.sequence(F.lit(0), g - 1), lambda i: i != mine), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
-        dealt = dealt.select("*", F.explode(F.when(g == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pair)).alias("part"))
+        placed = dealt.join(F.broadcast(blocks), F.col("leaf") == F.col("of"), "left")
+        dealt = placed.select("leaf", "guest", "node", F.explode(F.when(g == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pair)).alias("part"))
     else:
         dealt = dealt.withColumn("part", F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, guest = pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy().astype(bool)
-        forest = Forest(len(fp))
-        link_within(fp, np.flatnonzero(~guest), np.flatnonzero(guest), max_bits, forest)
-        root = forest.roots(np.arange(len(fp)))
-        linked = root != np.arange(len(fp))
-        node = pdf["node"].to_numpy()
+        node, guest = pdf["node"].to_numpy(), pdf["guest"].to_numpy().astype(bool)
+        forest = Forest(len(node))
+        link_within(node.view(np.uint64), np.flatnonzero(~guest), np.flatnonzero(guest), max_bits, forest)
+        root = forest.roots(np.arange(len(node)))
+        linked = root != np.arange(len(node))
         return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
 
-    return dealt.groupBy("leaf", "part").applyInPandas(search, f"a {node_type}, b {node_type}")
+    return dealt.groupBy("leaf", "part").applyInPandas(search, "a long, b long")
+
+
+def _split(tree: Node, large: dict[int, int], dealt: DataFrame, fair: int, sample_rows: int) -> bool:
+    """Split leaves of too many rows by further vantage points, chosen from a sample of those that are at home there; whether any could be."""
+    leaves, number, done = leaves_of(tree), max(leaves_of(tree)) + 1, False
+    rows = sum(large.values())
+    share = int(min(1.0, sample_rows / rows) * (1 << 30))
+    drawn = dealt.where(F.col("leaf").isin(list(large)) & ~F.col("guest") & (F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) < share)).select("leaf", "node").collect()
+    points: dict[int, list[int]] = {}
+    for r in drawn:
+        points.setdefault(r.leaf, []).append(r.node)
+    for leaf, some in points.items():
+        sample = np.unique(np.array(some, np.int64).view(np.uint64))
+        build_tree(sample, -(-2 * large[leaf] // fair), leaves[leaf], number)
+        if leaves[leaf].leaf < 0:
+            number, done = number + len(leaves_of(leaves[leaf])), True
+        else:
+            leaves[leaf].leaf = leaf
+    return done
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp, component_id (the smallest key that links reach, the document's own included) for every row."""
     prints = stored(fingerprints(docs, width, key, text))
-    vertices = stored(prints.groupBy("fp").agg(F.min(key).alias("node")))
-    labels = components(links(vertices.where("node is not null"), max_bits))
-    classes = stored(vertices.join(labels, "node", "left").select(F.col("fp").alias("of"), F.coalesce("label", "node").alias("component_id")))
-    return prints.join(classes, F.col("fp") == F.col("of"), "left").select(key, "fp", "component_id")
+    vertices = stored(prints.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias(key)))
+    labels = components(links(vertices.select("node"), max_bits))
+    classes = stored(least_of_each(vertices, labels, key))
+    return prints.join(classes, F.col("fp") == F.col("node")).select(key, "fp", "component_id")
 
 
 def hexadecimal(fp) -> F.Column:
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def one_of_each_group(docs: DataFrame, width: int = 5, max_bits: int = 3) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest id stays. Null ids stay."""
-    found = near_duplicates(docs, width, max_bits)
-    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")

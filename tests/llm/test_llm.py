@@ -96,6 +96,44 @@ def test_simhash_equals_brute_force(spark):
     assert [r.component_id for r in got] == label
 
 
+def test_links_go_through_rows_without_an_id(spark):
+    """Two documents that only a row with a null id links are of one class, in both operators."""
+    rng = random.Random(21)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    ends = [" ".join(w[:187]), " ".join(w[13:])]  # 0.87 to the middle each, 0.76 to each other
+    docs = spark.createDataFrame([(5, ends[0]), (None, " ".join(w)), (8, ends[1]), (None, "quite alone")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert (got[5], got[8]) == (5, 5)
+    print_of = simhash_vptree.fingerprint(" ".join(w), 3)
+    apart = lambda a, b: bin(a ^ b).count("1")
+    found = None
+    for i in range(4000):  # texts whose fingerprints lie on either side of the middle one's
+        t = " ".join(w[:i % 200] + [f"x{i}"] + w[i % 200 + 1 :])
+        near = simhash_vptree.fingerprint(t, 3)
+        if 2 <= apart(near, print_of) <= 3:
+            if found and apart(found[1], near) > 3:
+                break
+            found = found or (t, near)
+    docs = spark.createDataFrame([(5, found[0]), (None, " ".join(w)), (8, t)], "doc_id long, text string")
+    assert {r.component_id for r in simhash_vptree.near_duplicates(docs).collect()} == {5}
+
+
+def test_large_leaves_are_split(spark):
+    """Few leaves and a small sample: leaves are split by further vantage points, a swarm that none separates by blocks."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    prints = {int(base[i % 40] ^ np.uint64(1) << np.uint64(rng.integers(63))) for i in range(600)} | {int(base[0]) ^ 1 << i ^ 1 << j for i in range(25) for j in range(i)}
+    nodes = np.array(sorted(prints), np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in nodes.view(np.int64)], "node long")
+    got = simhash_vptree.Forest(len(nodes))
+    links = simhash_vptree.links(frame, 3, sample_rows=100, leaf_rows=64).toPandas()
+    place = {int(x): i for i, x in enumerate(nodes.view(np.int64))}
+    got.link(links.a.map(place).to_numpy(), links.b.map(place).to_numpy())
+    want = simhash_vptree.Forest(len(nodes))
+    want.link(*np.nonzero(np.bitwise_count(nodes[:, None] ^ nodes[None]) <= 3))
+    assert np.array_equal(got.roots(np.arange(len(nodes))), want.roots(np.arange(len(nodes))))
+
+
 def similar_rows():
     """Families of texts with more and more words changed, copies included."""
     rng = random.Random(5)

@@ -6,9 +6,9 @@ the contexts of their recurring minimisers as words, and a bucket compares them
 word by word (``windows``, ``contexts``): it answers which windows stand more
 than once anywhere, and which shard holds the first of each. Confirmed windows
 that follow one another are a passage. Each shard of documents compiles its own
-Aho-Corasick automaton of just the passages confirmed in it, over its words as
-single characters, and streams its documents through it: a hit is an occurrence
-of all windows of a passage. All occurrences go but the first of each window.
+Aho-Corasick automaton of just the passages confirmed in it, and streams its
+documents through it, words joined by one space: a hit is an occurrence of all
+windows of a passage. All occurrences go but the first of each window.
 
 So a document is streamed once, through an automaton whose size its shard's text
 bounds; a phrase that a third of all documents share is sent once a shard.
@@ -43,12 +43,10 @@ LENGTH = 20
 _LAST = np.iinfo(np.int64).max
 CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary, many binary, orders binary, places binary, body binary"
 ANSWERS = "bucket int, shard int, found binary, firsts binary"
-#: More distinct words than this are written as two characters each.
-_SINGLE = 1_000_000
 
 
 class Words:
-    """A shard's distinct texts in order of their least id, as numbers of words, and the windows of those."""
+    """A shard's distinct texts in order of their least id, their words one after another, and the windows of those."""
 
     def __init__(self, table: pa.Table, length: int):
         self.rows, self.length = table, length
@@ -64,68 +62,64 @@ class Words:
         self.copied = np.array([least[t][2] > 1 for t in self.texts], bool)
         at = {t: i for i, t in enumerate(self.texts)}
         self.row_text = [at[t] for t in texts]
-        numbers: dict[bytes, int] = {}
-        self.documents = [np.array([numbers.setdefault(w, len(numbers)) for w in t.encode("utf-8", "replace").split()], np.int32) for t in self.texts]
-        self.vocabulary = list(numbers)
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(numbers))
-        self.grams = lambda some: digests[np.concatenate(some)]
-        self.windows = Shard(self.documents, self.grams, 1, length)
+        documents = [t.encode("utf-8", "replace").split() for t in self.texts]
+        self.words = [w for d in documents for w in d]
+        digests = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.ends = np.cumsum([0, *map(len, documents)])[1:]
+        self.digests = np.split(digests, self.ends[:-1]) if documents else []
+        self.windows = Shard(self.digests, np.concatenate, 1, length)
         self.shard = table["shard"][0].as_py() if len(table) else 0
 
     def minimisers(self, buckets: int) -> pa.Table:
         """Packed minimisers; those of texts with copies recur."""
-        copied = [d for d, c in zip(self.documents, self.copied) if c]
-        again = Shard(copied, self.grams, 1, self.length).values() if copied else np.zeros(0, np.uint64)
+        copied = [d for d, c in zip(self.digests, self.copied) if c]
+        again = Shard(copied, np.concatenate, 1, self.length).values() if copied else np.zeros(0, np.uint64)
         return packed(self.windows.values(), again, buckets, self.shard)
 
+    def passage(self, begin: int, windows: int) -> bytes:
+        """The words of so many windows from a place on, joined by one space."""
+        return b" ".join(self.words[begin : begin + windows + self.length - 1])
+
     def contexts(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """(first window, windows, offset, seed, bucket, whether it occurs twice) of the distinct contexts, each at its first place."""
         at, count, offset, seed = self.windows.contexts(recurring)
-        everything = np.concatenate([np.zeros(0, np.int32), *self.documents])
         known: dict[tuple, int] = {}
-        tail = self.length - 1
-        number = np.array([known.setdefault((o, everything[a : a + c + tail].tobytes()), len(known)) for a, c, o in zip(at.tolist(), count.tolist(), offset.tolist())], np.int64)
-        document = np.searchsorted(self.windows.ends, at, "right")
+        number = np.array([known.setdefault((o, self.passage(a, c)), len(known)) for a, c, o in zip(at.tolist(), count.tolist(), offset.tolist())], np.int64)
+        document = np.searchsorted(self.ends, at, "right")
         weight = np.bincount(number, 1 + self.copied[document].astype(np.int64), minlength=len(known)) if len(number) else np.zeros(0)
         first = np.unique(number, return_index=True)[1]
         return at[first], count[first], offset[first], seed[first], bucket_of(seed[first], buckets), weight > 1
 
-    def characters(self, numbers: np.ndarray) -> str:
-        """Words written as one character each, or as one of two kinds of characters."""
-        if len(self.vocabulary) <= _SINGLE:
-            codes = numbers.astype("<u4") + 1
-            codes[codes >= 0xD800] += 0x800  # no surrogates
-        else:
-            codes = np.stack((1 + numbers // 500_000, 0x10000 + numbers % 500_000), axis=1).astype("<u4")
-        return codes.tobytes().decode("utf-32-le")
-
     def occurrences(self, passages: set[bytes]) -> np.ndarray:
-        """Places of all windows of these passages (numbers of words), found by one automaton over the documents."""
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p in passages:
-            automaton.add_word(self.characters(np.frombuffer(p, np.int32)), len(p) // 4)
+        """Places of all windows of these passages, found by one automaton over the documents, their words joined by one space."""
         if not passages:
             return np.zeros(0, np.int64)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in passages:
+            automaton.add_word(f" {p.decode('latin-1')} ", p.count(b" ") + 1)  # a letter for each byte
         automaton.make_automaton()
-        width = 1 if len(self.vocabulary) <= _SINGLE else 2
-        starts, sizes, base = [], [], 0
-        for d in self.documents:
-            for end, size in automaton.iter(self.characters(d)):
-                starts.append(base + (end + 1) // width - size)
-                sizes.append(size)
-            base += len(d)
-        return np.unique(spread(np.array(starts, np.int64), np.array(sizes, np.int64) - self.length + 1))
+        found: list[np.ndarray] = []
+        begin = 0
+        for end in self.ends.tolist():
+            if end - begin >= self.length:
+                words = self.words[begin:end]
+                hits = np.array(list(automaton.iter(f" {b' '.join(words).decode('latin-1')} ")), np.int64).reshape(-1, 2)
+                if len(hits):
+                    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # of the space behind each word
+                    last = np.searchsorted(stops, hits[:, 0])
+                    found.append(spread(begin + last + 1 - hits[:, 1], hits[:, 1] - self.length + 1))
+            begin = end
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
 
 
 def send(words: Words, recurring: np.ndarray, buckets: int) -> pa.Table:
     """The shard's distinct contexts as words, a row for each bucket."""
     at, count, offset, seed, bucket, many = words.contexts(recurring, buckets)
-    everything, tail = np.concatenate([np.zeros(0, np.int32), *words.documents]), words.length - 1
-    order = words.orders[np.searchsorted(words.windows.ends, at, "right")] if len(at) else np.zeros(0, np.int64)
+    order = words.orders[np.searchsorted(words.ends, at, "right")] if len(at) else np.zeros(0, np.int64)
     out: dict[str, list] = {name: [] for name in ("bucket", "shard", "seeds", "offsets", "counts", "many", "orders", "places", "body")}
     for b, some in by_bucket(bucket):
         values = (b, words.shard, seed[some].astype("<u8").tobytes(), offset[some].astype("<u4").tobytes(), count[some].astype("<u4").tobytes(), many[some].astype("u1").tobytes(), order[some].astype("<i8").tobytes(), (at + offset)[some].astype("<i8").tobytes())
-        body = b"\n".join([b" ".join([words.vocabulary[i] for i in everything[a : a + c + tail].tolist()]) for a, c in zip(at[some].tolist(), count[some].tolist())])
+        body = b"\n".join([words.passage(a, c) for a, c in zip(at[some].tolist(), count[some].tolist())])
         for name, value in zip(out, (*values, body)):
             out[name].append(value)
     types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
@@ -216,12 +210,11 @@ def removed_words(rows, length: int, finish: Callable, schema: str) -> DataFrame
         edge[start] = True
         begins = np.flatnonzero(repeated & edge)
         ends = np.flatnonzero(repeated & np.append(edge[1:] | ~repeated[1:], True)[: len(places)])
-        everything = np.concatenate([np.zeros(0, np.int32), *words.documents])
-        passages = {everything[places[a] : places[b] + length].tobytes() for a, b in zip(begins.tolist(), ends.tolist())}
+        passages = {words.passage(a, b - a + 1) for a, b in zip(places[begins].tolist(), places[ends].tolist())}
         hits = words.occurrences(passages)
         later = hits[~np.isin(hits, places[first & repeated])]
-        gone = covered(later, length, len(everything))
-        return finish(words, [gone[e - len(d) : e] for d, e in zip(words.documents, words.windows.ends.tolist())])
+        gone = covered(later, length, len(words.words))
+        return finish(words, np.split(gone, words.ends[:-1]) if len(words.ends) else [])
 
     seeds = twice(shards.groupBy("shard").applyInArrow(minimisers, PACKED))
     sent = shards.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(candidates, CONTEXTS)
@@ -243,12 +236,13 @@ def _deduplicated(docs: DataFrame, length: int, key: str, text: str, kept: str,
 
     def finish(words: Words, gone: list[np.ndarray]) -> pa.Table:
         judged = []
-        for text_, d, g in zip(words.texts, words.documents, gone):
-            left = [w for w, x in zip(text_.encode("utf-8", "replace").split(), g.tolist()) if not x]
-            judged.append((len(d), int(g.sum()), value(b" ".join(left))))
+        for end, g in zip(words.ends.tolist(), gone):
+            some = words.words[end - len(g) : end]
+            left = [w for w, x in zip(some, g.tolist()) if not x] if g.any() else some
+            judged.append((len(g), int(g.sum()), value(b" ".join(left))))
         out = []
         for row, at in enumerate(words.row_text):
-            n = len(words.documents[at])
+            n = judged[at][0]
             out.append(judged[at] if row == words.first_rows[at] or n < length else (n, n, value(b"")))
         columns = {"id": words.rows["id"]} | {name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate((("n_words", pa.int64()), ("n_removed", pa.int64()), (kept, pa.string())))}
         return pa.table(columns)

@@ -1,21 +1,25 @@
 """FLAC media columns: lossless storage of 8-bit samples, decoded to seekable PCM blocks.
 
-Streams are mono, 8 bits, with frames of 576 samples. Every frame is coded by
-the smallest of: a constant, a fixed linear predictor of order 0 to 2 (or, on
-request, a quantised linear predictor of any order up to 12) with Rice residuals,
-or plain samples. The decoder reads constants, plain samples, fixed predictors
-of order 0 to 4, linear predictors up to order 32, and Rice partitions of any
-order with both parameter sizes and escapes. Many frames of many streams are
-worked on together: the i-th residual of all frames at once, then the i-th
-sample, so that each step is one numpy operation.
-
-Header and frame checksums and the MD5 of all samples are verified; a stream that
-fails raises ``ValueError`` with the reason. ``pcm_blocks`` gives, for each frame,
-its first sample, sample count, byte offset in the stream and PCM bytes, so a
-reader can seek to a sample.
+Streams are written mono, 8 bits, with frames of 576 samples. Every frame is
+coded by the smallest of: a constant, a fixed linear predictor of order 0 to 2,
+a quantised linear predictor (of order ``LINEAR_ORDER``, up to 12) with Rice
+residuals, or plain samples. The decoder reads mono streams of 8 bits with frames
+of any size, fixed or varying: constants, plain samples, fixed predictors of
+order 0 to 4, linear predictors up to order 32, and Rice partitions of any order
+with both parameter sizes and escapes. Many frames of many streams are worked on
+together: the i-th residual of all frames at once, then the i-th sample, so that
+each step is one numpy operation.
+
+A frame ends where the next header verifies and the frame's own checksum does:
+bytes that only look like a header are passed over. Header and frame checksums,
+seek points and the MD5 of all samples are verified; a stream that fails raises
+``ValueError`` with the reason. Every frame is a PCM block: its first sample,
+sample count, byte offset in the stream and PCM bytes, so a reader can seek to a
+sample.
 
 Rows: a null text is an empty payload, which is padded like any other; equal
-texts give equal streams.
+texts give equal streams. A null stream has no blocks. Columns of the input named
+like a result are replaced, others kept; repeated rows are each coded.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 FRAME = 576
 PAD = 255
 RATE = 8000
+LINEAR_ORDER = 4
 _GROUP = 2048
 _FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
@@ -168,7 +173,7 @@ def _subframes(x: np.ndarray, linear_order: int) -> list[bytes]:
     return out
 
 
-def encode_streams(payloads: list[bytes], linear_order: int = 0) -> list[bytes]:
+def encode_streams(payloads: list[bytes], linear_order: int = LINEAR_ORDER) -> list[bytes]:
     """FLAC streams of payloads (8-bit unsigned, a positive multiple of 576 bytes each)."""
     counts = [len(p) // FRAME for p in payloads]
     x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
@@ -310,79 +315,167 @@ def _decode_subframes(data: bytes, at: np.ndarray, size: int) -> tuple[np.ndarra
             x[rows] = y
         rows = coded[(order[coded] == o) & linear[coded]]
         if len(rows):
-            c = coefficients[rows, :o][:, ::-1]
+            c, y, moved = np.ascontiguousarray(coefficients[rows, :o].T), np.ascontiguousarray(residual[rows].T), shift[rows]
+            y[:o] = x[rows, :o].T
             for i in range(o, size):
-                x[rows, i] = residual[rows, i] + ((c * x[rows, i - o : i]).sum(axis=1) >> shift[rows])
+                total = c[0] * y[i - 1]
+                for j in range(1, o):
+                    total += c[j] * y[i - 1 - j]
+                y[i] += total >> moved
+            x[rows] = y.T
     return x, bits.at
 
 
-def _read_info(stream: bytes) -> tuple[int, int, bytes, list[int], int]:
-    """(frame size, samples, MD5, seek offsets, where frames begin) of one stream."""
+def _read_info(stream: bytes) -> tuple[int, int, bytes, list[tuple[int, int]], int]:
+    """(smallest frame, samples, MD5, seek points as (sample, offset), where frames begin) of one stream."""
     if stream[:4] != b"fLaC":
         raise ValueError("FLAC: no stream marker")
-    at, info, points = 4, None, []
-    while True:
+    at, info, points, last = 4, None, [], False
+    while not last:
+        if at + 4 > len(stream):
+            raise ValueError("FLAC: the stream ends within its metadata")
         kind, length = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + length]
+        if len(body) < length:
+            raise ValueError("FLAC: the stream ends within its metadata")
         if kind & 0x7F == 0:
             info = body
         elif kind & 0x7F == 3:
-            points = [int.from_bytes(body[i + 8 : i + 16], "big") for i in range(0, length, 18)]
+            points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big")) for i in range(0, length - 17, 18)]
         at += 4 + length
-        if kind & 0x80:
-            break
-    if info is None:
+        last = bool(kind & 0x80)
+    if info is None or len(info) < 34:
         raise ValueError("FLAC: no stream information")
     packed = int.from_bytes(info[10:18], "big")
-    return int.from_bytes(info[2:4], "big"), packed & (1 << 36) - 1, info[18:34], points, at
+    if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
+        raise ValueError("FLAC: only streams of one channel and 8 bits are read")
+    return int.from_bytes(info[0:2], "big"), packed & (1 << 36) - 1, info[18:34], [p for p in points if p[0] != (1 << 64) - 1], at
+
+
+#: Samples of a frame by their code, where the code tells them. Fixed values of the format.
+_SIZES = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
+
+
+def _header(stream: bytes, at: int) -> tuple[int, int, int, bool] | None:
+    """(samples, number, length of the header, whether the number counts samples) of the frame header at ``at``; None if there is none."""
+    head = stream[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8 or head[3] & 0xF1 or head[3] >> 1 not in (0, 1):
+        return None
+    lead = 8 - (~head[4] & 0xFF).bit_length()  # ones that lead the number's first byte
+    extra = max(0, lead - 1)
+    if lead == 1 or lead == 8 or len(head) < 6 + extra or any(b >> 6 != 2 for b in head[5 : 5 + extra]):
+        return None
+    number = head[4] & (0x7F >> lead)
+    for b in head[5 : 5 + extra]:
+        number = number << 6 | b & 0x3F
+    end = 5 + extra
+    code = head[2] >> 4
+    if code in (6, 7):
+        size = int.from_bytes(head[end : end + code - 5], "big") + 1
+        end += code - 5
+    else:
+        size = _SIZES.get(code, 0)
+    end += {12: 1, 13: 2, 14: 2}.get(head[2] & 15, 0)
+    if not size or head[2] & 15 == 15 or end >= len(head) or _crc8(head[: end + 1]):
+        return None
+    return size, number, end + 1, bool(head[1] & 1)
+
+
+class _Frame:
+    __slots__ = ("begin", "end", "size", "head")
+
+    def __init__(self, begin: int, end: int, size: int, head: int):
+        self.begin, self.end, self.size, self.head = begin, end, size, head
+
+
+def _frames(stream: bytes, at: int, samples: int, checked: bool = False) -> list[_Frame]:
+    """The frames of a stream by their headers; ``checked``: a frame's own checksum must be right where it is ended, too."""
+    out: list[_Frame] = []
+    done, number, same = 0, 0, b""
+    while done < samples:
+        found = _header(stream, at)
+        if not found:
+            raise ValueError("FLAC: a frame header is missing or fails its checksum")
+        size, told, length, varying = found
+        if told != (done if varying else number):
+            raise ValueError("FLAC: a frame is missing")
+        done, number = done + size, number + 1
+        end, from_ = len(stream), at + length
+        while done < samples:
+            follows = _coded_number(done if varying else number)
+            same = stream[at : at + 4] + follows  # most often the next header is like this one
+            end = stream.find(same, from_) if stream[at + 2] >> 4 not in (6, 7) else -1
+            if end < 0 or checked:
+                end = stream.find(stream[at : at + 2], from_)
+            if end < 0:
+                raise ValueError("FLAC: a frame header is missing or fails its checksum")
+            then = _header(stream, end)
+            if then and then[1] == (done if varying else number) and not (checked and _crc([stream[at:end]], 16).any()):
+                break
+            from_ = end + 1
+        out.append(_Frame(at, end, size, length))
+        at = end
+    return out
 
 
-def decode_streams(streams: list[bytes]) -> list[tuple[bytes, list[int]]]:
-    """(samples as 8-bit unsigned bytes, byte offset of every frame) of each stream, all checksums verified.
+def _decoded(streams: list[bytes], frames: list[list[_Frame]]) -> list[list[bytes]] | int:
+    """The PCM bytes of every frame of every stream; or the place of a stream whose frames don't verify."""
+    flat = [(i, j) for i, some in enumerate(frames) for j in range(len(some))]
+    pcm: list[list[bytes]] = [[b""] * len(some) for some in frames]
+    flat.sort(key=lambda p: frames[p[0]][p[1]].size)  # stable: frames of one size stand together
+    low = 0
+    while low < len(flat):
+        size = frames[flat[low][0]][flat[low][1]].size
+        most = max(1, _GROUP * FRAME // size)
+        part = [p for p in flat[low : low + most] if frames[p[0]][p[1]].size == size]
+        low += len(part)
+        mine = [frames[i][j] for i, j in part]
+        some = [streams[i][f.begin : f.end] for (i, _), f in zip(part, mine)]
+        wrong = np.flatnonzero(_crc(some, 16))  # a frame with its own checksum behind it leaves nothing
+        if len(wrong):
+            return part[wrong[0]][0]
+        begin = np.cumsum([0, *map(len, some)])
+        x, end = _decode_subframes(b"".join(some), (begin[:-1] + [f.head for f in mine]) * 8, size)
+        wrong = np.flatnonzero((end + 7) // 8 != begin[1:] - 2)
+        if len(wrong):
+            return part[wrong[0]][0]
+        data = (x + 128).astype(np.uint8).tobytes()
+        for k, (i, j) in enumerate(part):
+            pcm[i][j] = data[k * size : (k + 1) * size]
+    return pcm
 
-    Frames are found through the next frame's header: a frame ends where the following one's header verifies or the
-    stream ends, so the frames of all streams can be decoded side by side; a wrong guess would fail the decode.
+
+def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, int, int, bytes]]]:
+    """(first sample, samples, byte offset, PCM as 8-bit unsigned bytes) of every frame of each stream, all checksums verified.
+
+    The frames of all streams are decoded side by side. Where a frame doesn't verify, its stream is looked through again
+    for headers that stand behind a right checksum: bytes within a frame may look like a header.
     """
     infos = [_read_info(s) for s in streams]
-    starts: list[list[int]] = []
-    for s, (size, samples, _, _, at) in zip(streams, infos):
-        if size != FRAME or samples % FRAME:
-            raise ValueError("FLAC: only frames of 576 samples are read")
-        found = [at]
-        for i in range(1, samples // FRAME):
-            head = b"\xff\xf8\x24\x02" + _coded_number(i)
-            head += bytes([_crc8(head)])
-            at = s.find(head, at + len(head))
-            if at < 0:
-                raise ValueError("FLAC: a frame header is missing or fails its checksum")
-            found.append(at)
-        starts.append(found)
-    frames = [s[a:b] for s, found in zip(streams, starts) for a, b in zip(found, [*found[1:], len(s)])]
-    numbers = [i for found in starts for i in range(len(found))]
-    pcm = np.zeros((len(frames), FRAME), np.uint8)
-    for low in range(0, len(frames), _GROUP):
-        some = frames[low : low + _GROUP]
-        if _crc(some, 16).any():  # a frame with its own checksum behind it leaves nothing
-            raise ValueError("FLAC: a frame fails its checksum")
-        heads = [4 + len(_coded_number(i)) + 1 for i in numbers[low : low + _GROUP]]
-        for f, i, h in zip(some, numbers[low : low + _GROUP], heads):
-            if f[: h - 1] != b"\xff\xf8\x24\x02" + _coded_number(i) or _crc8(f[:h]):
-                raise ValueError("FLAC: a frame header fails its checksum")
-        begin = np.cumsum([0, *map(len, some)])
-        x, end = _decode_subframes(b"".join(some), (begin[:-1] + heads) * 8, FRAME)
-        if ((end + 7) // 8 != begin[1:] - 2).any():
-            raise ValueError("FLAC: a frame's length is wrong")
-        pcm[low : low + len(some)] = (x + 128).astype(np.uint8)
-    out, at = [], 0
-    for (_, samples, md5, _, _), found in zip(infos, starts):
-        data = pcm[at : at + len(found)].tobytes()
-        at += len(found)
-        if hashlib.md5((np.frombuffer(data, np.uint8) ^ 0x80).tobytes()).digest() != md5:
+    frames, checked = [_frames(s, at, samples) for s, (_, samples, _, _, at) in zip(streams, infos)], set()
+    while isinstance(pcm := _decoded(streams, frames), int):
+        if pcm in checked:
+            raise ValueError("FLAC: a frame fails its checksum or has a wrong length")
+        checked.add(pcm)
+        frames[pcm] = _frames(streams[pcm], infos[pcm][4], infos[pcm][1], True)
+    out = []
+    for (_, samples, md5, points, at), some, blocks in zip(infos, frames, pcm):
+        firsts = np.cumsum([0, *(f.size for f in some)])[:-1].tolist()
+        offset = {first: f.begin - at for first, f in zip(firsts, some)}
+        if any(offset.get(sample) != place for sample, place in points):
+            raise ValueError("FLAC: a seek point is wrong")
+        signed = np.frombuffer(b"".join(blocks), np.uint8) ^ 0x80
+        if md5 != bytes(16) and hashlib.md5(signed.tobytes()).digest() != md5:
             raise ValueError("FLAC: the samples' MD5 differs")
-        out.append((data, found))
+        out.append([(first, f.size, f.begin, data) for first, f, data in zip(firsts, some, blocks)])
     return out
 
 
+def decode_streams(streams: list[bytes]) -> list[bytes]:
+    """All samples of each stream as 8-bit unsigned bytes."""
+    return [b"".join([data for *_, data in blocks]) for blocks in decode_blocks(streams)]
+
+
 def _crc8(data: bytes) -> int:
     crc = 0
     for b in data:
@@ -399,7 +492,7 @@ def payload_of(text: str | None) -> bytes:
     return data.ljust(max(1, -(-len(data) // FRAME)) * FRAME, bytes([PAD]))
 
 
-def _runs(sizes: list[int], most: int = 4 << 20) -> Iterator[slice]:
+def _runs(sizes: list[int], most: int = 2 << 20) -> Iterator[slice]:
     begin = held = 0
     for i, n in enumerate(sizes):
         if i > begin and held + n > most:
@@ -410,18 +503,18 @@ def _runs(sizes: list[int], most: int = 4 << 20) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def encode_texts(docs: DataFrame, text: str = "text", linear_order: int = 0) -> DataFrame:
+def encode_texts(docs: DataFrame, text: str = "text", linear_order: int = LINEAR_ORDER) -> DataFrame:
     """``docs`` with ``n_bytes`` and ``media`` binary instead of ``text``; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-            payloads = [payload_of(t) for t in texts]
-            for part in _runs([len(p) for p in payloads]):
-                yield pdf.drop(columns=text)[part].assign(n_bytes=[len(t.encode("utf-8", "replace")) for t in texts[part]], media=encode_streams(payloads[part], linear_order))
+            for part in _runs([len(t) for t in texts]):
+                payloads = [payload_of(t) for t in texts[part]]
+                yield pdf.drop(columns=text)[part].assign(n_bytes=[len(t.encode("utf-8", "replace")) for t in texts[part]], media=encode_streams(payloads, linear_order))
 
-    schema = docs.drop(text, "n_bytes", "media").schema.add("n_bytes", "long").add("media", "binary")
-    return docs.drop("n_bytes", "media").mapInPandas(run, schema)
+    docs = docs.drop(*{"n_bytes", "media"} - {text})
+    return docs.mapInPandas(run, docs.drop(text).schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -431,38 +524,56 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for pdf in batches:
             pdf = pdf[pdf["media"].notna()]
             for part in _runs([len(m) for m in pdf["media"]]):
-                for k, (data, offsets) in zip(pdf[key][part], decode_streams(pdf["media"][part].tolist())):
-                    at = np.arange(len(offsets), dtype=np.int64)
-                    yield pd.DataFrame({key: k, "frame": at, "first_sample": at * FRAME, "n_samples": FRAME, "byte_offset": offsets, "pcm": [data[i : i + FRAME] for i in range(0, len(data), FRAME)]})
+                for k, blocks in zip(pdf[key][part], decode_blocks(pdf["media"][part].tolist())):
+                    first, n, offset, pcm = zip(*blocks) if blocks else ((),) * 4
+                    yield pd.DataFrame({key: [k] * len(blocks), "frame": np.arange(len(blocks)), "first_sample": first, "n_samples": n, "byte_offset": offset, "pcm": pcm})
 
     return media.select(key, "media").mapInPandas(run, f"{key} {media.schema[key].dataType.simpleString()}, frame long, first_sample long, n_samples long, byte_offset long, pcm binary")
 
 
-def features(samples: bytes) -> str:
-    """Peak, mean, energy and zero crossings of 8-bit samples, in whole numbers."""
-    x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
+def features(blocks: list[tuple[int, int, int, bytes]]) -> str:
+    """Of a stream's blocks: samples, peak, sum, energy and zero crossings in whole numbers, blocks and where the last begins."""
+    x = np.frombuffer(b"".join([data for *_, data in blocks]), np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={len(x)};peak={int(np.abs(x).max())};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings}"
+    return f"n={len(x)};peak={int(np.abs(x).max(initial=0))};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};blocks={len(blocks)};last={blocks[-1][0] if blocks else 0}@{blocks[-1][2] if blocks else 0}"
+
 
+def _facts(stored: list[bytes]) -> dict[str, list]:
+    decoded = decode_blocks(stored)
+    payloads = [b"".join([data for *_, data in blocks]) for blocks in decoded]
+    return {
+        "payload_bytes": [len(p) for p in payloads],
+        "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
+        "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
+        "media_bytes": [len(m) for m in stored],
+        "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
+        "feature": [features(blocks) for blocks in decoded],
+    }
 
-def read_back(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored streams."""
+
+FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored streams (null ones left out)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[pdf["media"].notna()]
             for part in _runs([len(m) for m in pdf["media"]]):
-                stored = pdf["media"][part].tolist()
-                payloads = [data for data, _ in decode_streams(stored)]
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"][part],
-                    "n_bytes": pdf["n_bytes"][part],
-                    "payload_bytes": [len(p) for p in payloads],
-                    "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                    "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
-                    "media_bytes": [len(m) for m in stored],
-                    "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-                    "feature": [features(p) for p in payloads],
-                })
-
-    schema = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+                yield pd.DataFrame({key: pdf[key][part], "n_bytes": pdf["n_bytes"][part]} | _facts(pdf["media"][part].tolist()))
+
+    return media.select(key, "n_bytes", "media").mapInPandas(run, f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, {FACTS}")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``read_back`` of ``encode_texts``, in one pass of one Python worker a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
+            for part in _runs([len(t) for t in texts]):
+                stored = encode_streams([payload_of(t) for t in texts[part]])
+                yield pd.DataFrame({key: pdf[key][part], "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts[part]]} | _facts(stored))
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, {FACTS}")

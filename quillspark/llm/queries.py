@@ -59,8 +59,7 @@ def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a FLAC stream and read back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return flac_media.read_back(flac_media.encode_texts(docs))
+    return flac_media.round_trip(table(spark, sf_dir, "documents"))
 
 
 _OP5 = """

@@ -34,7 +34,7 @@ def empty(spark):
 def jobs():
     return [
         language_id.identify, byte_bpe.round_trip, simhash_vptree.near_duplicates, kk_packing.pack_documents, license_scan.scan, phrase_automata.dedup_digest, suffix_radix.dedup_digest, near_copies.near_copies, near_copies.one_of_each_group,
-        lambda d: flac_media.read_back(flac_media.encode_texts(d.select("doc_id", "text"))),
+        flac_media.round_trip, lambda d: flac_media.read_back(flac_media.encode_texts(d)),
     ]
 
 
@@ -463,13 +463,63 @@ def test_without_repeats_keeps_columns(odd):
 def test_flac_round_trips_and_checksums():
     rng = np.random.default_rng(9)
     payloads = [flac_media.payload_of(t) for t in (None, "a" * 576, "hello " * 300, "é日" * 400)] + [rng.integers(0, 256, 1152, dtype=np.uint8).tobytes(), (np.sin(np.arange(2880) / 9) * 100 + 128).astype(np.uint8).tobytes()]
-    for order in (0, 2, 8):
+    for order in (0, 2, 4, 8):
         streams = flac_media.encode_streams(payloads, order)
-        assert [d for d, _ in flac_media.decode_streams(streams)] == payloads
-    broken = bytearray(streams[2])
-    broken[-40] ^= 1
-    with pytest.raises(ValueError):
-        flac_media.decode_streams([bytes(broken)])
+        assert flac_media.decode_streams(streams) == payloads
+    kinds = {frame[6] >> 1 for s in streams for b in flac_media.decode_blocks([s])[0][:1] for frame in [s[b[2] :]]}
+    assert 31 + 8 in kinds and 0 in kinds  # a linear predictor of the eighth order, a constant
+    for at in (-40, -1, 5, 40):
+        broken = bytearray(streams[2])
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            flac_media.decode_streams([bytes(broken)])
+    for cut in range(0, 90, 7):
+        with pytest.raises(ValueError):
+            flac_media.decode_streams([streams[2][:cut]])
+
+
+def test_flac_frames_may_hold_what_looks_like_a_header():
+    """Plain samples that equal the next frames' headers, checksum of the header included."""
+    rng, header = np.random.default_rng(10), lambda i: b"\xff\xf8\x24\x02" + bytes([i])
+    noise = bytearray(rng.integers(0, 256, 576 * 4, dtype=np.uint8).tobytes())
+    for i in range(1, 4):
+        like = header(i) + bytes([flac_media._crc8(header(i))])
+        noise[576 * (i - 1) + 100 : 576 * (i - 1) + 106] = bytes(b ^ 0x80 for b in like)
+    stream = flac_media.encode_streams([bytes(noise)])[0]
+    assert stream.count(header(1)) == 2 and flac_media.decode_streams([stream, stream]) == [bytes(noise)] * 2
+
+
+def test_flac_reads_other_frame_sizes():
+    """A stream written here by hand: frames of 192, 300 (told in one byte more) and 1000 (in two), numbered by samples."""
+    samples = np.random.default_rng(11).integers(0, 256, 1492, dtype=np.uint8).tobytes()
+    body, at = b"", 0
+    for size, code, tail in ((192, 1, b""), (300, 7, (299).to_bytes(2, "big")), (1000, 7, (999).to_bytes(2, "big"))):
+        head = bytes([0xFF, 0xF9, code << 4 | 4, 0x02]) + flac_media._coded_number(at) + tail
+        frame = head + bytes([flac_media._crc8(head)]) + b"\x02" + bytes(b ^ 0x80 for b in samples[at : at + size])
+        body += frame + int(flac_media._crc([frame], 16)[0]).to_bytes(2, "big")
+        at += size
+    signed = bytes(b ^ 0x80 for b in samples)
+    info = (192).to_bytes(2, "big") + (1000).to_bytes(2, "big") + bytes(6) + (8000 << 44 | 7 << 36 | 1492).to_bytes(8, "big") + hashlib.md5(signed).digest()
+    stream = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + body
+    blocks = flac_media.decode_blocks([stream])[0]
+    assert [b[:2] for b in blocks] == [(0, 192), (192, 300), (492, 1000)] and b"".join(b[3] for b in blocks) == samples
+
+
+def test_flac_columns(spark):
+    """Every column of the query, recomputed from the texts; equal texts, equal values."""
+    texts = [None, "", "a" * 576, "a" * 577, "héllo wörld " * 300, "héllo wörld " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = flac_media.round_trip(docs).orderBy("doc_id").collect()
+    stored = {r.doc_id: bytes(r.media) for r in flac_media.encode_texts(docs).collect()}
+    for r, t in zip(rows, texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert r.feature.startswith(f"n={len(x)};peak={abs(x).max()};sum={x.sum()};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};blocks={len(x) // 576};")
+    assert rows[4][1:] == rows[5][1:] and rows[0][1:] == rows[1][1:]
+    assert flac_media.read_back(flac_media.encode_texts(docs)).orderBy("doc_id").collect() == rows
 
 
 def test_flac_blocks_can_be_sought(spark):

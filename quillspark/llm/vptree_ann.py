@@ -3,20 +3,23 @@
 Vectors become points of a metric space in which the nearest point has the
 largest inner product: each gets one more coordinate, the root of what its
 squared length lacks to the largest squared length; queries get a zero there.
-Rows are dealt evenly into shards by a hash of their id, queries into blocks,
-and each (shard, block) is a task: it builds the shard's tree and runs the
-block's queries through it together. A ball is skipped when the triangle
-inequality, its bound multiplied by ``factor``, says that nothing in it comes
-nearer than the k found so far; factor 1 is exact, a larger one skips more.
-Queries start with a bound from a bounded sample of rows. Per query at most k
-rows a shard are merged into the answer.
+The upper levels of one tree, built from a bounded sample, deal every row to one
+shard; a shard far larger than asked (equal or crowded vectors) is dealt on by
+row numbers. A query goes to the shards whose ball its bound reaches, with the
+bound that the sample gives it. A shard's task builds the shard's own tree once
+and streams the queries through it, so it holds the shard's rows only. A ball is
+skipped when the triangle inequality, its gap multiplied by ``factor``, says that
+nothing in it comes nearer than the k found so far; factor 1 is exact, a larger
+one skips more. Per query at most k rows a shard are merged into the answer.
 
 Scores are summed in double precision over the dimensions in order, so equal
 vectors have equal scores and ties go to the smaller id.
 
 Rows: vectors that are null, empty, zero, of another length than most of the
 sample, or that hold a null or non-finite component take no part, as do null
-ids. Repeated ids keep their rows; a query skips all rows of its own id.
+ids. Repeated ids keep their rows; a query skips all rows of its own id. Queries
+of one id share one answer's places, so ids of queries should differ. Other
+columns are never read; with no rows there are no neighbours.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ K = 20
 #: Rows whose distances give each query its first bound.
 SAMPLE = 2048
 SHARD_ROWS = 4096
-BLOCK_QUERIES = 4096
+#: Shards that the sample's tree makes; further ones by row numbers.
+MOST_SHARDS = 256
 LEAF = 128
 FACTOR = 1.0
 _STRIDE = 1 << 22
@@ -127,6 +131,58 @@ class Tree:
         self.worst[rows] = np.maximum(self.worst[rows], self.score[rows, -1])
 
 
+class Part:
+    """A split of the upper tree: vantage point, radius, both sides; a leaf has only its number."""
+
+    __slots__ = ("leaf", "vantage", "radius", "near", "far")
+
+    def __init__(self):
+        self.leaf, self.vantage, self.radius, self.near, self.far = 0, None, 0.0, None, None
+
+
+def upper_tree(points: np.ndarray, leaves: int) -> Part:
+    """About ``leaves`` parts of like numbers of sample points; the largest is split first. Points that stand in one place stay together."""
+    root = Part()
+    parts, done = [(root, points)], []
+    while parts and len(parts) + len(done) < leaves:
+        parts.sort(key=lambda p: len(p[1]))
+        part, some = parts.pop()
+        far = np.linalg.norm(some - some.mean(axis=0), axis=1).argmax() if len(some) >= 8 else 0
+        d = np.linalg.norm(some - some[far], axis=1) if len(some) else np.zeros(0)
+        radius = float(np.median(d)) if len(d) else 0.0
+        near = d <= radius
+        if near.all() or len(some) < 8:
+            near = d < radius
+            radius = float(d[near].max()) if near.any() else radius
+        if not near.any() or near.all() or len(some) < 8:
+            done.append((part, some))
+            continue
+        part.vantage, part.radius, part.near, part.far = some[far], radius, Part(), Part()
+        parts += [(part.near, some[near]), (part.far, some[~near])]
+    for i, (part, _) in enumerate(parts + done):
+        part.leaf = i
+    return root
+
+
+def reached(root: Part, points: np.ndarray, reach: np.ndarray | None, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, places in ``points``): the one leaf of each point, or all whose balls lie within its ``reach``."""
+    stack = [(root, np.arange(len(points)))]
+    while stack:
+        part, who = stack.pop()
+        if not len(who):
+            continue
+        if part.vantage is None:
+            yield part.leaf, who
+            continue
+        d = np.linalg.norm(points[who] - part.vantage, axis=1)
+        if reach is None:
+            near, far = d <= part.radius, d > part.radius
+        else:  # a little wider, for rounding
+            limit = reach[who] * (1 + 1e-9) + 1e-9
+            near, far = (d - part.radius) * factor <= limit, (part.radius - d) * factor <= limit
+        stack += [(part.near, who[near]), (part.far, who[far])]
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector as array<double>) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
@@ -134,43 +190,66 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), v.alias(vector)).where(F.coalesce(fine, F.lit(False)))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, sample_rows: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", factor: float = FACTOR, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE) -> DataFrame:
     """(query_id, rank, key, score): for each query its k rows of largest inner product, its own id's rows left out."""
     rows, queries = usable(rows, key, vector), usable(queries, key, vector)
     total, top, dims = rows.agg(F.count("*"), F.max(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)), F.mode(F.size(vector))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-queries.count() // block_queries))
-    rows, queries = rows.where(F.size(vector) == (dims or 0)), queries.where(F.size(vector) == (dims or 0))
+    top, dims = top or 0.0, dims or 0
+    rows, queries = rows.where(F.size(vector) == dims), queries.where(F.size(vector) == dims)
     share = int(min(1.0, sample_rows / max(total, 1)) * (1 << 30))
     drawn = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < share).collect()  # about sample_rows
     sample_ids = np.array([r[key] for r in drawn], np.int64)
-    sample = np.array([r[vector] for r in drawn], float).reshape(len(drawn), dims or 0)
+    sample = np.array([r[vector] for r in drawn], float).reshape(len(drawn), dims)
+
+    def placed(x: np.ndarray) -> np.ndarray:
+        return np.column_stack((x, np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0))))
 
-    def first_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tree = upper_tree(placed(sample), min(MOST_SHARDS, max(1, -(-total // shard_rows))))
+
+    def deal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                for leaf, at in reached(tree, placed(np.stack(pdf[vector].to_numpy())), None, factor):
+                    yield pdf.iloc[at].assign(leaf=np.int32(leaf))
+
+    def deal_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bound = np.full(len(pdf), -np.inf)
             for low in range(0, len(pdf), 1024):
-                some = slice(low, low + 1024)
-                score = np.stack(pdf[vector].to_numpy()[some]) @ sample.T
-                score[pdf[key].to_numpy()[some, None] == sample_ids] = -np.inf
+                some = pdf.iloc[low : low + 1024]
+                x = np.stack(some[vector].to_numpy())
+                score = x @ sample.T
+                score[some[key].to_numpy()[:, None] == sample_ids] = -np.inf
+                bound = np.full(len(x), -np.inf)
                 if score.shape[1] >= k:
-                    bound[some] = np.partition(score, -k, axis=1)[:, -k] - 1e-9 * max(1.0, top)  # rounding
-            yield pdf.assign(bound=bound)
-
-    def search(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], key: [], "score": []}
-        if len(left) and len(right):
-            tree = Tree(left[key].to_numpy(), np.stack(left[vector].to_numpy()), top)
-            ids = right[key].to_numpy()
-            score, found = tree.search(ids, np.stack(right[vector].to_numpy()), right["bound"].to_numpy(), k, factor)
-            q, place = np.nonzero(score > -np.inf)
-            out = {"query_id": ids[q], key: found[q, place], "score": score[q, place]}
-        return pd.DataFrame(out).astype({"query_id": "int64", key: "int64", "score": "float64"})
-
-    shard = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(shards)).alias("shard")
-    block = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(blocks)).alias("block")
-    left = rows.select("*", shard, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    bounded = queries.mapInPandas(first_bound, f"{key} long, {vector} array<double>, bound double")
-    right = bounded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, f"query_id long, {key} long, score double")
+                    bound = np.partition(score, -k, axis=1)[:, -k] - 1e-9 * max(1.0, top)  # rounding
+                reach = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x) + top - 2 * bound, 0))
+                for leaf, at in reached(tree, np.column_stack((x, np.zeros(len(x)))), reach, factor):
+                    yield some.iloc[at].assign(bound=bound[at], leaf=np.int32(leaf))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, ids, points, made = None, [], [], None
+        for pdf in batches:
+            for (leaf, part, asks), some in pdf.groupby(["leaf", "part", "asks"], sort=True):
+                if held != (leaf, part):
+                    held, ids, points, made = (leaf, part), [], [], None
+                if not asks:
+                    ids.append(some[key].to_numpy())
+                    points.append(np.stack(some[vector].to_numpy()))
+                elif ids:
+                    made = made or Tree(np.concatenate(ids), np.concatenate(points), top)
+                    who = some[key].to_numpy()
+                    score, found = made.search(who, np.stack(some[vector].to_numpy()), some["bound"].to_numpy(float), k, factor)
+                    q, place = np.nonzero(score > -np.inf)
+                    yield pd.DataFrame({"query_id": who[q], key: found[q, place], "score": score[q, place]})
+
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    homes = numbered.mapInPandas(deal_rows, f"{key} long, {vector} array<double>, number long, leaf int")
+    large = {r.leaf: -(-r.n // shard_rows) for r in homes.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows).collect()}  # at most MOST_SHARDS rows
+    parts = F.coalesce(F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("leaf")], F.lit(1)) if large else F.lit(1)
+    left = homes.select("leaf", F.pmod(F.xxhash64("number"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), key, vector, F.lit(0.0).alias("bound"))
+    asked = queries.mapInPandas(deal_queries, f"{key} long, {vector} array<double>, bound double, leaf int")
+    right = asked.select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("asks"), key, vector, "bound")
+    met = left.unionByName(right).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks")
+    found = met.mapInPandas(search, f"query_id long, {key} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -312,6 +312,24 @@ def test_nearest_is_exact_at_factor_one_and_close_above(spark):
         assert factor > 1 or got == want
 
 
+def test_nearest_with_crowded_vectors_and_odd_rows(spark):
+    """A third of all rows at one place, repeated ids, clashing columns, few rows, none."""
+    rng = np.random.default_rng(16)
+    x = np.concatenate((rng.normal(size=(200, 5)), np.repeat([[0.5, 0.0, 0, 0, 1]], 400, axis=0), np.repeat([[3.0, 0, 0, 0, 0]], 3, axis=0)))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(7, x[3].tolist()), (None, x[4].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'clash' AS leaf", "'clash' AS score")
+    ids, all_ = np.array([i for i, _ in rows[:-1]]), np.array([v for _, v in rows[:-1]])
+    got: dict = {}
+    for r in vptree_ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=32).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 603, 50):
+        s = vptree_ann.paired(np.repeat(x[q : q + 1], len(all_), axis=0), all_)
+        want = sorted((-float(v), int(i)) for v, i in zip(s, ids) if i != q)[:20]
+        assert got[q] == [(i, -v) for v, i in want]
+    few = df.where("vec_id < 5")
+    assert vptree_ann.nearest(few, few).count() == 20 and vptree_ann.nearest(df.where("false"), df.where("false")).count() == 0
+
+
 def test_license_phrases_and_templates(spark):
     rows = [(1, "x Under the MIT license, under the mit license"), (2, "All rights\nreserved"), (3, "ALL rights reserved."), (4, None), (5, "Licensed: Apache License, Version 2.0 the under")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a group minimum (combined before the shuffle) and an equi-join of the edges with the minima; both sides
-of a join are plain tables, so that Spark may split a hot vertex. Steps are written to the shared folder. Nothing but
-two numbers a round reaches the driver.
+of a join are plain tables, so that Spark may split a hot vertex. Steps are written to the shared folder and deleted after
+the next. Nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.scratch import stored
+from quillspark.llm.scratch import delete, stored_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,17 +19,20 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b) but the smallest of each component; label is that smallest."""
+    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stored(pairs.distinct())
+    now, path = stored_at(pairs.distinct())
     state = _state(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-        large = stored(both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "w"))
+        least, one = stored_at(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        large, two = stored_at(both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        least, three = stored_at(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "w"))
         moved = large.join(least, F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(moved.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct())
-        before, state = state, _state(now)
+        before, last = state, path
+        now, path = stored_at(moved.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct())
+        delete(spark, last, one, two, three)
+        state = _state(now)
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 

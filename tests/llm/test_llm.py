@@ -231,6 +231,22 @@ def test_one_document_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 2, None, 4}
 
 
+def test_stored_tables_go(spark):
+    """Steps of components are deleted; a stored table stays readable until it is."""
+    from pathlib import Path
+
+    from quillspark.llm import scratch
+
+    folder = Path(scratch.shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(folder.iterdir())
+    components.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")).count()
+    assert len(set(folder.iterdir()) - before) == 1  # the result
+    df, path = scratch.stored_at(spark.range(3))
+    assert df.count() == 3
+    scratch.delete(spark, path)
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -7,7 +7,7 @@ a long line don't meet. Only templates under ``SHORT`` words stay inside single
 lines: their words stand by chance in neighbouring ones. Runs are first taken
 together in windows of four times the longest template's words, which overlap by
 half. A block meets a template if it contains at least ``threshold`` of the
-template's words. Template words are ordered by how many blocks have them, rarest
+template's words. Template words are ordered by how many texts have them, rarest
 first. A block that meets a template of n words, needing a of them, must have one
 of its first n - a + 1 words (prefix filter), at least a template words at all
 (length filter), and enough of them from the first common word on, counted on
@@ -15,8 +15,9 @@ both sides (positional filter). Windows are joined with the templates' prefix
 words by equality; what is left is verified by intersection, at last in each run
 of the window. No pair is missed.
 
-The templates are fixed and few, so their index is broadcast and their words'
-counts are the only rows that the driver sees.
+The templates are a parameter: their index is broadcast up to ``BROADCAST`` words,
+and joined otherwise; the counts of their words are the only rows that the driver
+sees.
 
 Beside that, phrases that stand word by word are counted in whole texts: those
 give the base labels.
@@ -50,13 +51,19 @@ TEMPLATES = [
 ]
 #: Templates of fewer words don't go over line ends.
 SHORT = 5
+#: An index of templates of more words than this isn't broadcast.
+BROADCAST = 100_000
 #: What stands between words: ASCII but for digits and letters, after A-Z became a-z.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    """A-Z in lower case. Other letters may change too, but not into ASCII: the Kelvin sign, which would, gives way to another letter."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(lowered(text), GAP), lambda w: w != "")
 
 
 def _spaces(x: Column) -> Column:
@@ -66,11 +73,12 @@ def _spaces(x: Column) -> Column:
 def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base (array of labels); no shuffle.
 
-    Words are written with a space on either side, so that places never share a character.
+    Words are written with a space on either side, so that places never share a character; only of texts that hold all
+    words of a phrase.
     """
-    words = F.trim(F.regexp_replace(lowered(F.col(text)), GAP, "  "))
-    df = docs.select(F.col(key), F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" "))).alias("w"))
-    df = df.withColumn("n_words", (_spaces(F.col("w")) / 2).cast("long"))
+    likely = functools.reduce(Column.__or__, [functools.reduce(Column.__and__, [F.array_contains("words", w) for w in phrase.split()]) for phrase in phrases])
+    df = docs.select(F.col(key), words_of(F.col(text)).alias("words"))
+    df = df.select(key, F.size("words").cast("long").alias("n_words"), F.when(likely, F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))).otherwise("").alias("w"))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in phrases.items():
         pattern = "".join(f" {w} " for w in phrase.split())
@@ -89,12 +97,12 @@ def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     )
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], longest: int, key: str, text: str) -> DataFrame:
-    """(key, block number, its distinct words among ``vocabulary``, all its words) of every window with such a word; a run of 2 ``longest`` words is whole in one."""
-    words = docs.select(F.col(key), F.split(lowered(F.col(text)), GAP).alias("all"))
+def blocks(docs: DataFrame, vocabulary: list[str], prefix: list[str], longest: int, key: str, text: str) -> DataFrame:
+    """(key, block number, its distinct words among ``vocabulary``, all its words) of every window with a word of ``prefix``; a run of 2 ``longest`` words is whole in one."""
+    words = docs.select(F.col(key), words_of(F.col(text)).alias("all")).where(F.arrays_overlap("all", F.lit(prefix)))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - 2 * longest, F.lit(1)), F.lit(2 * longest))
     window = F.transform(starts, lambda at: F.slice("all", at, 4 * longest))
-    return words.select(key, F.posexplode(window).alias("block", "run")).select(key, "block", F.array_intersect("run", F.lit(vocabulary)).alias("words"), "run").where(F.size("words") > 0)
+    return words.select(key, F.posexplode(window).alias("block", "run")).where(F.arrays_overlap("run", F.lit(prefix))).select(key, "block", F.array_intersect("run", F.lit(vocabulary)).alias("words"), "run")
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -116,7 +124,8 @@ def _meet(docs: DataFrame, templates: list[tuple[str, str]], longest: int, key:
     """(key, block, label, containment) of every window of the texts that meets a template."""
     sets = [(label, sorted(set(words.split()))) for label, words in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
-    counts = {r.word: r.n for r in blocks(docs, vocabulary, longest, key, text).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # template words
+    held = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), F.lit(vocabulary))).alias("word"))
+    counts = {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # template words
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     index, prefix = [], set()
@@ -128,11 +137,10 @@ def _meet(docs: DataFrame, templates: list[tuple[str, str]], longest: int, key:
             index.append((w, template, label, at, needed, ordered, 2 * len(templates[template][1].split())))
     right = docs.sparkSession.createDataFrame(index, "token string, template int, label string, at int, needed int, tokens array<string>, room int")
     rank = F.create_map(*[F.lit(x) for w in order for x in (w, place[w])])
-    left = blocks(docs, vocabulary, longest, key, text).where(F.arrays_overlap("words", F.lit(sorted(prefix))))
-    left = left.where(F.size("words") >= min(i[4] for i in index))
+    left = blocks(docs, vocabulary, sorted(prefix), longest, key, text).where(F.size("words") >= min(i[4] for i in index))
     left = left.withColumn("words", F.transform(F.array_sort(F.transform("words", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda s: s["w"]))
     left = left.select(key, "block", "words", "run", F.posexplode("words").alias("mine", "token")).where(F.col("token").isin(sorted(prefix)))
-    pairs = left.join(F.broadcast(right), "token").where(F.size("words") >= F.col("needed"))
+    pairs = left.join(F.broadcast(right) if len(index) <= BROADCAST else right, "token").where(F.size("words") >= F.col("needed"))
     first = F.array_position("words", F.element_at(F.array_intersect("words", "tokens"), 1)) - 1 == F.col("mine")
     room = F.least(F.size("tokens") - F.col("at"), F.size("words") - F.col("mine")) >= F.col("needed")
     overlap = F.size(F.array_intersect("words", "tokens"))

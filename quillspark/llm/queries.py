@@ -81,21 +81,27 @@ _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def _op7_sql() -> str:
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"({i}, {sorted(set(words.split()))}, '{label}')" for i, (label, words) in enumerate(license_scan.TEMPLATES))
+    templates = ", ".join(f"({i}, {sorted(set(words.split()))}, '{label}', {2 * len(words.split())})" for i, (label, words) in enumerate(license_scan.TEMPLATES))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH phrase(words, label) AS (VALUES {phrases}),
-template(id, words, label) AS (VALUES {templates}),
+template(id, words, label, room) AS (VALUES {templates}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_GAP}'), lambda x: x <> '') AS words FROM d),
 place AS (
   SELECT doc_id, i, phrase.label FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w) x, phrase
   WHERE x.words[i + 1] = phrase.words[1] AND x.words[i + 1 : i + len(phrase.words)] = phrase.words),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM place GROUP BY doc_id),
+sized AS (SELECT *, len(words) AS n, CAST(ceil({license_scan.THRESHOLD} * len(words) - 1e-9) AS BIGINT) AS needed FROM template),
 line AS (SELECT doc_id, list_distinct(regexp_split_to_array(unnest(string_split(t, chr(10))), '{_GAP}')) AS words FROM d),
+near AS (  -- texts and templates with enough common words in all, then each run of twice the template's words
+  SELECT w.doc_id, w.words AS all_words, sized.* FROM w, sized WHERE n >= {license_scan.SHORT} AND len(list_intersect(w.words, sized.words)) >= needed),
+run AS (SELECT doc_id, label, n, needed, words, all_words[i : i + room - 1] AS part FROM (
+  SELECT *, unnest(range(1, greatest(len(all_words) - room + 1, 1) + 1)) AS i FROM near)),
 met AS (
-  SELECT doc_id, template.label, len(list_intersect(line.words, template.words)) / len(template.words) AS share FROM line, template
-  WHERE len(list_intersect(line.words, template.words)) >= ceil({license_scan.THRESHOLD} * len(template.words) - 1e-9)),
+  SELECT doc_id, label, len(list_intersect(part, words)) / n AS share FROM run WHERE len(list_intersect(part, words)) >= needed
+  UNION ALL
+  SELECT doc_id, label, len(list_intersect(line.words, sized.words)) / n FROM line, sized WHERE n < {license_scan.SHORT} AND len(list_intersect(line.words, sized.words)) >= needed),
 more AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS score FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
        CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

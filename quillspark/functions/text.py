@@ -15,9 +15,9 @@ MATTER_WORDS = (
     "foreword epigraph praise imprint glossary appendix endnotes footnotes chronology intro desc blurb teaser half title excerpt sample"
 ).split()
 MATTER_STEMS = (
-    r"copy\d+ title\d+ map\d+ half[-_]?title front[-_]?matter frontmatter table[-_]?of[-_]?contents acknowledg dedicat synops glossar "
-    "chronolog illustrat appendices bibliograph"
-).split()
+    r"copy\d+|title\d+|map\d+|half[-_]?title|front[-_]?matter|frontmatter|table[-_]?of[-_]?contents|acknowledg|dedicat|synops|glossar"
+    "|chronolog|illustrat|appendices|bibliograph"
+)
 #: Heading patterns, to be matched without regard to case. Fixed values.
 FRONT_HEADINGS = (
     r"^\s*(synopsis|contents|table of contents|list of (chapters|illustrations)|index|preface|foreword|introduction|dedication|epigraph|acknowledg"
@@ -32,9 +32,9 @@ BACK_HEADINGS = (
 START_HEADINGS = r"^\s*(prologue|chapter|volume|part|book)\s+"
 START_PATHS = r"ch(?:apter)?[_-]?\d|part[_-]?\d|prologue"
 #: Lines that stand in a table of contents. Fixed values.
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 TOC_LINES = [
-    r"^(?:chapter|part|book|section|prologue|epilogue|canto|act|volume|story)\s+(?:[ivxlcdm]+|\d+|[a-z]|" + "|".join(NUMBER_WORDS) + r")(?:\b|[.:)\-–—])",
+    r"^(?:chapter|part|book|section|prologue|epilogue|canto|act|volume|story)\s+(?:[ivxlcdm]+|\d+|[a-z]|one|two|three|four|five|six|seven|eight|nine|ten"
+    r"|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)(?:\b|[.:)\-–—])",
     r"^(?:[ivxlcdm]+|\d{1,3})[\.\)\:\-–—]\s+\S+",
     r"^chapter\s+([ivxlcdm]+|\d+)\s*$",
     r"\S.{2,80}\s+[\.·…]{2,}\s*\d{1,4}\s*$",
@@ -42,7 +42,7 @@ TOC_LINES = [
 PAGE_NUMBER = r"^\d{1,4}$"
 PAGE_TAIL = r"^[.…·•\-\s]*\d{1,4}\s*$"
 SPACES = r"(?U)\s+"
-SENTENCE_GAP = r"(?<!(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)(?<=[.!?])(?U:\s)+(?=[" + OPENERS + "])"
+SENTENCE_GAP = r"(?<=[.!?])(?<!(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)(?U:\s)+(?=[" + OPENERS + "])"  # the cheap test stands first
 
 
 def trimmed(text: Column) -> Column:
@@ -89,7 +89,7 @@ def is_toc_line(text: Column) -> Column:
 def is_matter_path(path: Column) -> Column:
     """the file's stem begins as matter does, or holds a matter word as a whole token."""
     stem = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.[a-z0-9]+$", ""))
-    return stem.rlike("^(?:" + "|".join(MATTER_STEMS) + ")") | F.arrays_overlap(F.split(stem, "[^a-z0-9]+"), F.lit(MATTER_WORDS))
+    return stem.rlike("^(?:" + MATTER_STEMS + ")") | F.arrays_overlap(F.split(stem, "[^a-z0-9]+"), F.lit(MATTER_WORDS))
 
 
 def heading_class(heading: Column) -> Column:
@@ -97,12 +97,12 @@ def heading_class(heading: Column) -> Column:
     return F.when(heading.rlike("(?i)" + FRONT_HEADINGS), "front").when(heading.rlike("(?i)" + BACK_HEADINGS), "back").when(heading.rlike("(?i)" + START_HEADINGS), "start")
 
 
-def block_type(tag: Column, names: Column, text: Column) -> Column:
-    """by tag, class or type names, then dialogue."""
+def block_type(tag: Column, classes: Column, kinds: Column, text: Column) -> Column:
+    """by tag, class names (footnotes by type names too), then dialogue."""
+    named = lambda *words: F.greatest(*[F.contains(classes, F.lit(w)) for w in words], F.lit(False))
     return (
-        F.when(tag.rlike("^h[1-6]$"), "heading").when(F.contains(names, F.lit("footnote")), "footnote")
-        .when((tag == "blockquote") | F.contains(names, F.lit("poem")), "poem")
-        .when(F.contains(names, F.lit("letter")) | F.contains(names, F.lit("epistle")), "letter")
+        F.when(tag.rlike("^h[1-6]$"), "heading").when(named("footnote") | F.contains(kinds, F.lit("footnote")), "footnote")
+        .when((tag == "blockquote") | named("poem"), "poem").when(named("letter", "epistle"), "letter")
         .when(is_dialogue(text), "dialogue").otherwise("narration")
     )
 

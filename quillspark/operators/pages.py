@@ -19,10 +19,11 @@ from quillspark.functions import text as T
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 SILENT = {"script", "style", "svg"}
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Words of a book, words of a chapter, share of the pages behind which back matter may begin. Fixed values, as are the bounds in the page tests.
 LEAST_WORDS, LEAST_PROSE, LATE = 500, 50, 0.6
 _SPACE = re.compile(r"\s+")
 
-BLOCK = "array<struct<tag:string,names:string,text:string>>"
+BLOCK = "array<struct<tag:string,classes:string,kinds:string,text:string>>"
 PARSED = f"raw_blocks {BLOCK}, headings array<string>, titled array<string>, page_type string, nav_links array<string>, items array<string>"
 
 
@@ -34,7 +35,7 @@ class _Reader(HTMLParser):
         self.open: list[dict] = []
         self.found: list[dict] = []
         self.quiet = 0
-        self.page_type = ""
+        self.page_type: str | None = None
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -46,8 +47,10 @@ class _Reader(HTMLParser):
             self.page_type = a.get("epub:type", "")
         if tag in BLOCK_TAGS and self.open and self.open[-1]["tag"] == "p":
             self.handle_endtag("p")
-        names = " ".join(filter(None, (a.get("class", ""), a.get("epub:type", ""))))
-        item = {"tag": tag, "class": a.get("class", ""), "names": names, "id": a.get("id", ""), "text": [], "skip": "pagebreak" in a.get("epub:type", "") or "pagebreak" in a.get("role", ""), "link": tag == "a"}
+        classes, kinds = a.get("class", ""), a.get("epub:type", "")
+        names = f"{classes} {kinds}"
+        item = {"tag": tag, "classes": classes, "kinds": kinds, "id": a.get("id", ""), "text": [], "link": tag == "a", "gone": False, "place": len(self.found)}
+        item["skip"] = kinds == "pagebreak" or not {"pagebreak", "page"}.isdisjoint(classes.split())
         item["contents"] = tag == "nav" or "toc" in names.split() or item["id"] in ("toc", "contents")
         item["in_list"] = tag == "li" and any(x["tag"] in ("ol", "ul") for x in self.open[-1:])
         item["in_contents"] = any(x["contents"] for x in self.open)
@@ -64,12 +67,13 @@ class _Reader(HTMLParser):
         self._closed(item)
 
     def _closed(self, item):
-        if item["skip"] or item["tag"] == "sup" and item["link"]:
-            item["text"] = []
+        if item["skip"] or item["tag"] == "sup" and item["link"]:  # goes with all that stands in it
+            for inner in self.found[item["place"] :]:
+                inner["gone"] = True
             return
         if self.open:
             self.open[-1]["text"] += item["text"]
-            self.open[-1]["link"] |= item["link"] and item["tag"] in ("a", "sup")
+            self.open[-1]["link"] |= item["link"]
 
     def handle_data(self, data):
         if self.open and not self.quiet:
@@ -83,13 +87,14 @@ def read_page(html: str) -> tuple:
     r.close()
     while r.open:
         r._closed(r.open.pop())
-    whole = {id(x): "".join(x["text"]) for x in r.found}
-    blocks = [{"tag": x["tag"], "names": x["names"], "text": whole[id(x)]} for x in r.found if x["tag"] in BLOCK_TAGS]
-    headings = [whole[id(x)].strip() for x in r.found if x["tag"] in ("h1", "h2", "h3")]
-    titled = [whole[id(x)].strip() for x in r.found if x["tag"] in ("p", "div", "span") and re.search("title|head", x["class"], re.I)]
-    links = [whole[id(x)] for x in r.found if x["tag"] == "a" and x["in_contents"]]
-    items = [whole[id(x)] for x in r.found if x["in_list"]]
-    return blocks, headings, titled, r.page_type, links, items
+    found = [x for x in r.found if not x["gone"]] if r.page_type is not None else []  # a page without a body is empty
+    whole = {id(x): "".join(x["text"]) for x in found}
+    blocks = [{"tag": x["tag"], "classes": x["classes"], "kinds": x["kinds"], "text": whole[id(x)]} for x in found if x["tag"] in BLOCK_TAGS]
+    headings = [whole[id(x)].strip() for x in found if x["tag"] in ("h1", "h2", "h3")]
+    titled = [whole[id(x)].strip() for x in found if x["tag"] in ("p", "div", "span") and re.search("title|head", x["classes"], re.I)]
+    links = [whole[id(x)] for x in found if x["tag"] == "a" and x["in_contents"]]
+    items = [whole[id(x)] for x in found if x["in_list"]]
+    return blocks, headings, titled, r.page_type or "", links, items
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -114,9 +119,9 @@ def heading(title: Column) -> Column:
 
 def typed_blocks(title: Column) -> Column:
     """cleaned blocks with their types; dropped ones left out."""
-    made = F.transform("raw_blocks", lambda b: F.struct(b["tag"].alias("tag"), b["names"].alias("names"), T.clean_text(b["text"]).alias("text")))
+    made = F.transform("raw_blocks", lambda b: F.struct(b["tag"].alias("tag"), b["classes"].alias("classes"), b["kinds"].alias("kinds"), T.clean_text(b["text"]).alias("text")))
     kept = F.filter(made, lambda b: ~T.is_dropped_block(b["text"], title))
-    return F.transform(kept, lambda b: F.struct(T.block_type(b["tag"], b["names"], b["text"]).alias("type"), b["text"].alias("text"), T.count_words(b["text"]).alias("words"), T.is_toc_line(b["text"]).alias("toc")))
+    return F.transform(kept, lambda b: F.struct(T.block_type(b["tag"], b["classes"], b["kinds"], b["text"]).alias("type"), b["text"].alias("text"), T.count_words(b["text"]).alias("words"), T.is_toc_line(b["text"]).alias("toc")))
 
 
 def _share(array: str, test) -> Column:
@@ -180,7 +185,7 @@ def page_facts(pages: DataFrame, title: str | None = None) -> DataFrame:
 
 
 def chapters(pages: DataFrame, title: str | None = None) -> DataFrame:
-    """WN1 to WN3: (book_id, chapter_index, title, path, words, blocks) of the pages that are chapters."""
+    """WN1 to WN3, AG4: (book_id, chapter_index, title, path, words, blocks) of the pages that are chapters; books of under 500 words have none."""
     p = page_facts(pages, title)
     order = Window.partitionBy("book_id").orderBy("spine_index")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -193,6 +198,7 @@ def chapters(pages: DataFrame, title: str | None = None) -> DataFrame:
     starts = F.col("heading").rlike("(?i)" + T.START_HEADINGS) | F.col("path").rlike("(?i)" + T.START_PATHS) | ((F.col("words") >= 400) & ~F.col("front_body"))
     p = p.where(F.col("counted") & ~F.col("over") & (F.col("words") > LEAST_PROSE)).withColumn("starts", starts)
     p = p.withColumn("begun", F.max("starts").over(so_far)).where("begun")
+    p = p.withColumn("book_words", F.sum("words").over(Window.partitionBy("book_id"))).where(F.col("book_words") >= LEAST_WORDS)
     number = F.row_number().over(order)
     name = F.when((F.col("heading") != "") & ~F.col("front_heading"), F.col("heading")).otherwise(F.concat(F.lit("Chapter "), number.cast("string")))
     if title:

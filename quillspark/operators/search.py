@@ -15,6 +15,8 @@ WEIGHTS = {"isbn": 1000, "title": 180, "title_token": 18, "author_token": 12, "l
 STOP_WORDS = ["the", "and", "for", "with"]
 MIB = 1024 * 1024
 LIMIT = 25
+#: Candidates that a title token may have before it counts as a common word.
+COMMON = 100_000
 
 
 @F.pandas_udf(StringType())
@@ -66,15 +68,26 @@ def _count_inside(words: Column, text: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.when(F.contains(text, w), 1).otherwise(0))
 
 
+def prepared_queries(queries: DataFrame) -> DataFrame:
+    """Queries (q_title, q_author, q_isbn, ...) with their normalised forms, each made once."""
+    bare = F.regexp_replace(F.lower("q_isbn"), "[^a-z0-9]", "")
+    return queries.withColumns({"_q": normalized(F.col("q_title")), "_qa": normalized(F.col("q_author")), "_qi": bare})
+
+
+def prepared_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates (title, subtitle, authors, isbn, language, format, ...) with their normalised forms, each made once."""
+    bare = F.regexp_replace(F.lower("isbn"), "[^a-z0-9]", "")
+    whole = F.concat_ws(" ", "title", F.coalesce("subtitle", F.lit("")))
+    return candidates.withColumns({"_t": normalized(whole), "_tt": tokens(normalized(F.col("title"))), "_a": normalized(F.concat_ws(" ", "authors")), "_l": normalized(F.col("language")), "_f": normalized(F.col("format")), "_ci": bare})
+
+
 def score(pairs: DataFrame, languages: tuple[str, ...] = ("en",), formats: tuple[str, ...] = ("epub",)) -> DataFrame:
-    """F16: ``pairs`` of queries (q_title, q_author, q_isbn, q_languages, q_formats) and candidates (title, subtitle, authors, isbn, language, format, filesize) with ``score``."""
+    """F16: pairs of prepared queries (with q_languages, q_formats) and prepared candidates, with ``score``."""
     w = WEIGHTS
-    p = pairs.withColumns({"_t": normalized(F.concat_ws(" ", "title", F.coalesce("subtitle", F.lit("")))), "_q": normalized(F.col("q_title")), "_a": normalized(F.concat_ws(" ", "authors")), "_qa": normalized(F.col("q_author")), "_l": normalized(F.col("language")), "_f": normalized(F.col("format"))})
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     given = lambda c, default: F.when(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(F.lit(list(default)))
     place = F.array_position(F.transform(given("q_formats", formats), F.lower), F.col("_f"))
     total = (
-        F.when((F.col("q_isbn") != "") & (F.col("isbn") != "") & (bare("q_isbn") == bare("isbn")), w["isbn"]).otherwise(0)
+        F.when((F.col("q_isbn") != "") & (F.col("isbn") != "") & (F.col("_qi") == F.col("_ci")), w["isbn"]).otherwise(0)
         + F.when((F.col("_q") != "") & (F.col("_t") == F.col("_q")), w["title"]).otherwise(0)
         + w["title_token"] * _count_inside(tokens(F.col("_q")), F.col("_t"))
         + w["author_token"] * _count_inside(tokens(F.col("_qa")), F.col("_a"))
@@ -82,14 +95,24 @@ def score(pairs: DataFrame, languages: tuple[str, ...] = ("en",), formats: tuple
         + F.when(place > 0, F.greatest(F.lit(1), w["format"] - 5 * (place - 1))).otherwise(0)
         + F.when((F.col("filesize") > 10_000) & (F.col("filesize") < 100 * MIB), w["filesize"]).otherwise(0)
     )
-    return p.withColumn("score", total.cast("int")).drop("_t", "_q", "_a", "_qa", "_l", "_f")
-
-
-def blocked_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """JN8: pairs of a query and a candidate that share a title token or the ISBN; an equi-join on the token, never all with all."""
-    q = queries.withColumn("token", F.explode(F.array_distinct(F.concat(tokens(normalized(F.col("q_title"))), F.array_compact(F.array(F.concat(F.lit("isbn:"), "q_isbn")))))))
-    c = candidates.withColumn("token", F.explode(F.array_distinct(F.concat(tokens(normalized(F.col("title"))), F.array_compact(F.array(F.concat(F.lit("isbn:"), "isbn")))))))
-    pairs = q.select("query_id", "token").join(c.select("id", "token"), "token").select("query_id", "id").distinct()
+    return pairs.withColumn("score", total.cast("int")).drop("_t", "_tt", "_q", "_qa", "_a", "_l", "_f", "_qi", "_ci")
+
+
+def blocked_pairs(queries: DataFrame, candidates: DataFrame, common: int = COMMON) -> DataFrame:
+    """JN8: prepared pairs of a query and a candidate that share a title token or the ISBN; an equi-join on the token, never all with all.
+
+    A token that more than ``common`` candidates have joins only queries without a rarer one, so that a word like "the"
+    doesn't bring nearly all candidates to nearly all queries; its candidates would rank behind those of a rarer token.
+    """
+    queries, candidates = prepared_queries(queries), prepared_candidates(candidates)
+    with_isbn = lambda words, isbn: F.explode(F.array_distinct(F.concat(words, F.array_compact(F.array(F.concat(F.lit("isbn:"), isbn))))))
+    q = queries.select("query_id", with_isbn(tokens(F.col("_q")), "q_isbn").alias("token"))
+    c = candidates.select("id", with_isbn(F.col("_tt"), "isbn").alias("token"))
+    often = c.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > common).select("token", F.lit(True).alias("often"))
+    q = q.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    rarer = q.groupBy("query_id").agg(F.bool_or(~F.col("often")).alias("rarer"))
+    q = q.join(rarer, "query_id").where(~(F.col("often") & F.col("rarer"))).select("query_id", "token")
+    pairs = q.join(c, "token").select("query_id", "id").distinct()
     return pairs.join(queries, "query_id").join(candidates, "id")
 
 
@@ -105,6 +128,7 @@ def all_sources(sources: dict[str, DataFrame], enabled: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+# The numbers in the release score and its gate are fixed values.
 def release_score(pairs: DataFrame) -> DataFrame:
     """(q_title, q_author) against releases (name, hash, size, seeds): ``score``, and ``fits`` for the gate."""
     p = pairs.withColumns({"_n": F.lower("name"), "_nt": name_tokens(F.col("name")), "_tt": name_tokens(F.col("q_title")), "_at": name_tokens(F.col("q_author"))})

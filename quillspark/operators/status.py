@@ -47,11 +47,12 @@ def book_progress(chapters: DataFrame, segments: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ready").alias("ready"), F.count("*").alias("chapters"))
 
 
-def size_caps(chapters: DataFrame, segments: DataFrame, per_chapter: int = 5000, per_book: int = 100_000, chapters_per_book: int = 2000) -> DataFrame:
+def size_caps(chapters: DataFrame, segments: DataFrame, per_chapter: int = 5000, per_book: int = 100_000, chapters_per_book: int = 2000, bytes_per_book: int = 256 << 20) -> DataFrame:
     """AG5: book_id with its sizes and the first reason to reject it, or null."""
-    c = counters_of_all(chapters, segments)
-    b = c.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum("total").alias("n_segments"), F.max("total").alias("largest_chapter"))
-    reason = F.when(F.col("n_chapters") > chapters_per_book, "too many chapters").when(F.col("largest_chapter") > per_chapter, "too many segments in a chapter").when(F.col("n_segments") > per_book, "too many segments")
+    text = segments.groupBy("chapter_id").agg(F.sum(F.octet_length("raw_text")).alias("n_bytes"))
+    c = counters_of_all(chapters, segments).join(text, "chapter_id", "left")
+    b = c.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum("total").alias("n_segments"), F.max("total").alias("largest_chapter"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
+    reason = F.when(F.col("n_bytes") > bytes_per_book, "too much text").when(F.col("n_chapters") > chapters_per_book, "too many chapters").when(F.col("largest_chapter") > per_chapter, "too many segments in a chapter").when(F.col("n_segments") > per_book, "too many segments")
     return b.withColumn("reason", reason)
 
 
@@ -94,11 +95,12 @@ def owned(chapters: DataFrame, books: DataFrame, user_id) -> DataFrame:
     return chapters.join(books.where(F.col("user_id") == user_id), "book_id", "left_semi")
 
 
-def orphans(segments: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """JN6: processing or annotated rows without a live job, and what becomes of them."""
-    live = F.coalesce(F.col("job_state").isin("active", "waiting"), F.lit(False))
-    tries = F.col("attempts") + F.when(F.col("job_state") == "failed", 1).otherwise(0)
-    return segments.where(F.col("status").isin("processing", "annotated") & ~live).select(
+def orphans(segments: DataFrame, jobs: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """JN6: processing or annotated rows without a live job (chapter_id, segment_index, state), and what becomes of them."""
+    rows = segments.where(F.col("status").isin("processing", "annotated")).select("chapter_id", "segment_index", "attempts")
+    rows = rows.join(jobs.select("chapter_id", "segment_index", "state"), ["chapter_id", "segment_index"], "left")
+    tries = F.col("attempts") + F.when(F.col("state") == "failed", 1).otherwise(0)
+    return rows.where(~F.coalesce(F.col("state").isin("active", "waiting"), F.lit(False))).select(
         "chapter_id", "segment_index", tries.alias("effective_attempts"), F.when(tries >= max_attempts, "failed").otherwise("queued").alias("new_status"))
 
 
@@ -125,3 +127,42 @@ def chapter_playable(counted: DataFrame) -> DataFrame:
     done = F.col("voiced") + F.col("failed")
     ok = F.col("status").isin("ready", "partial_ready") | ((done > 0) & F.col("status").isin("processing", "queued"))
     return counted.select("chapter_id", F.coalesce(ok, F.lit(False)).alias("playable"))
+
+
+def valid_sessions(sessions: DataFrame, users: DataFrame, as_of: Column, max_days: int = 7) -> DataFrame:
+    """JN3: sessions (user_id, created_at, expires_at) that hold at ``as_of`` and are young enough, of users that aren't disabled."""
+    holds = (F.col("created_at") <= as_of) & (F.col("expires_at") > as_of) & (F.col("created_at") > as_of - F.make_interval(days=F.lit(max_days)))
+    return sessions.where(holds).join(users.where(~F.col("disabled")).select("user_id"), "user_id")
+
+
+def stored_keys(books: DataFrame, chapters: DataFrame, segments: DataFrame) -> DataFrame:
+    """(key, book_id) of the four columns that hold keys: a book's cover and file, a chapter's and a segment's audio."""
+    below = segments.join(chapters.select("chapter_id", "book_id"), "chapter_id")
+    parts = [books.select(F.col(c).alias("key"), "book_id") for c in ("cover_key", "file_key")] + [t.select(F.col("audio_key").alias("key"), "book_id") for t in (chapters, below)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("key IS NOT NULL")
+
+
+def storage_keys(books: DataFrame, chapters: DataFrame, segments: DataFrame) -> DataFrame:
+    """SO2: all keys of all books."""
+    return stored_keys(books, chapters, segments)
+
+
+def key_owners(keys: DataFrame, books: DataFrame, chapters: DataFrame, segments: DataFrame, pattern: str) -> DataFrame:
+    """JN4: ``keys`` with ``owner``, the user of the book that a key names by ``pattern``, or else that holds it in one of four columns.
+
+    A key under the pattern whose book is unknown has no owner, whatever the columns hold.
+    """
+    named = keys.withColumn("book", F.regexp_extract("key", pattern, 1))
+    users = books.select(F.col("book_id").cast("string").alias("book"), F.col("user_id").alias("owner"))
+    direct = named.where("book <> ''").join(users, "book", "left").select(*keys.columns, "owner")
+    other = named.where("book = ''").drop("book")
+    held = stored_keys(books, chapters, segments).join(books.select("book_id", F.col("user_id").alias("owner")), "book_id").groupBy("key").agg(F.min("owner").alias("owner"))
+    return direct.unionByName(other.join(held, "key", "left").select(*keys.columns, "owner"))
+
+
+def submissions(new: DataFrame, books: DataFrame) -> DataFrame:
+    """JN12: ``new`` (user_id, source_hash, ...) with the least book of that user and hash, and ``kind``: new, existing, retryable (failed, with its file) or conflict (failed, without)."""
+    first = books.groupBy("user_id", "source_hash").agg(F.min_by(F.struct("book_id", "status", "file_key"), "book_id").alias("known"))
+    failed = F.col("known.status") == "failed"
+    kind = F.when(F.col("known").isNull(), "new").when(failed & F.col("known.file_key").isNotNull(), "retryable").when(failed, "conflict").otherwise("existing")
+    return new.join(first, ["user_id", "source_hash"], "left").select(*new.columns, F.col("known.book_id").alias("book_id"), kind.alias("kind"))

@@ -47,10 +47,11 @@ def ag3(spark, d):
     return O.book_progress(M.chapters(spark, d), M.segments(spark, d))
 
 
-@query("AG5_size_caps", CHAPTERS + """SELECT book_id, count(*) AS n_chapters, CAST(sum(total) AS BIGINT) AS n_segments, max(total) AS largest_chapter,
-CASE WHEN count(*) > 20 THEN 'too many chapters' WHEN max(total) > 9 THEN 'too many segments in a chapter' WHEN sum(total) > 60 THEN 'too many segments' END AS reason FROM counted GROUP BY book_id""")
+@query("AG5_size_caps", CHAPTERS + """, held AS (SELECT chapter_id, sum(strlen(raw_text)) AS n_bytes FROM segments GROUP BY chapter_id)
+SELECT book_id, count(*) AS n_chapters, CAST(sum(total) AS BIGINT) AS n_segments, max(total) AS largest_chapter, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS n_bytes,
+CASE WHEN coalesce(sum(n_bytes), 0) > 700 THEN 'too much text' WHEN count(*) > 20 THEN 'too many chapters' WHEN max(total) > 9 THEN 'too many segments in a chapter' WHEN sum(total) > 60 THEN 'too many segments' END AS reason FROM counted LEFT JOIN held USING (chapter_id) GROUP BY book_id""")
 def ag5(spark, d):
-    return O.size_caps(M.chapters(spark, d), M.segments(spark, d), per_chapter=9, per_book=60, chapters_per_book=20)
+    return O.size_caps(M.chapters(spark, d), M.segments(spark, d), per_chapter=9, per_book=60, chapters_per_book=20, bytes_per_book=700)
 
 
 @query("AG6_played_share", with_model("segments") + ", " + POSITIONS + """SELECT s.chapter_id, CAST(total_ms AS BIGINT) AS total_ms, voiced * 100.0::DOUBLE / n AS buffered_pct,
@@ -99,7 +100,9 @@ def jn5(spark, d):
 CASE WHEN attempts + CASE WHEN job_state = 'failed' THEN 1 ELSE 0 END >= 5 THEN 'failed' ELSE 'queued' END AS new_status
 FROM segments WHERE status IN ('processing', 'annotated') AND NOT coalesce(job_state IN ('active', 'waiting'), false)""")
 def jn6(spark, d):
-    return O.orphans(M.segments(spark, d))
+    s = M.segments(spark, d)
+    jobs = s.where("job_state IS NOT NULL").select("chapter_id", "segment_index", F.col("job_state").alias("state"))
+    return O.orphans(s.drop("job_state"), jobs)
 
 
 @query("JN7_lineage_errors", with_model("chapters", "segments") + """SELECT s.chapter_id, segment_index, s.book_id, c.book_id AS true_book FROM (

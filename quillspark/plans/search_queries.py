@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import validity as V
 from quillspark.operators import annotations as A
 from quillspark.operators import search as S
+from quillspark.operators import status as O
 from quillspark.plans.registry import query
 from quillspark.sources import model as M
 from quillspark.sources.model import with_model
@@ -90,20 +91,23 @@ def releases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_pairs(spark, d):
-    """Releases paired with the queries whose first title token they name; the gate asks for all of them anyway."""
-    q = queries_in(spark, d).select("query_id", "q_title", "q_author").withColumn("token", F.try_element_at(S.name_tokens(F.col("q_title")), F.lit(1)))
+    """Releases paired with the queries whose first title token they name, as the gate asks for all of them; or any author token, where the title has none."""
+    title, author = S.name_tokens(F.col("q_title")), F.array_distinct(S.name_tokens(F.col("q_author")))
+    q = queries_in(spark, d).select("query_id", F.when(F.col("query_id") % 9 == 4, "of it").otherwise(F.col("q_title")).alias("q_title"), "q_author")
+    q = q.withColumn("token", F.explode(F.when(F.size(title) > 0, F.slice(title, 1, 1)).otherwise(author)))
     r = releases(spark, d).withColumn("token", F.explode(F.array_distinct(S.name_tokens(F.col("name")))))
-    return S.release_score(q.join(r, "token"))
+    pairs = q.join(r, "token").drop("token").dropDuplicates(["query_id", "id"])
+    return S.release_score(pairs)
 
 
 _R = """WITH r AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || [' epub', '.pdf', ' audiobook mp3 epub', '.mobi epub'][p_size % 4 + 1] AS name, CAST(p_retailprice * 40000 AS BIGINT) AS size, p_size AS seeds, p_size % 3 AS source_rank FROM part),
-q AS (SELECT min(p_partkey) AS query_id, p_name AS q_title FROM part GROUP BY p_name),
+q AS (SELECT min(p_partkey) AS query_id, CASE WHEN min(p_partkey) % 9 = 4 THEN 'of it' ELSE p_name END AS q_title FROM part GROUP BY p_name),
 tok AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')) AS nt FROM r),
 qtok AS (SELECT *, list_filter(string_split(q_title, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')) AS tt FROM q),
 sc AS (SELECT query_id, id, seeds, source_rank, CASE WHEN regexp_matches(lower(name), '\\bepub\\b') THEN 50 ELSE 0 END - CASE WHEN regexp_matches(lower(name), '\\.pdf\\b') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(lower(name), '\\.mobi\\b|\\.azw') THEN 5 ELSE 0 END
  - CASE WHEN regexp_matches(lower(name), '\\baudiobook\\b|\\bmp3\\b|\\bm4b\\b') THEN 40 ELSE 0 END + 8 * len(list_filter(tt, lambda w: contains(lower(name), w))) + 4 * CASE WHEN contains(lower(name), 'brand') THEN 1 ELSE 0 END + least(seeds, 50)
  + CASE WHEN size > 0 AND size < 20971520 THEN 10 ELSE 0 END - CASE WHEN size > 52428800 THEN 10 ELSE 0 END AS score,
- size <= 209715200 AND regexp_matches(lower(name), '\\bepub\\b') AND list_has_all(nt, tt) AS gate FROM qtok JOIN tok ON list_contains(tok.nt, qtok.tt[1])),
+ size <= 209715200 AND regexp_matches(lower(name), '\\bepub\\b') AND CASE WHEN len(tt) > 0 THEN list_has_all(nt, tt) ELSE list_contains(nt, 'brand') END AS gate FROM qtok JOIN tok ON list_contains(tok.nt, coalesce(qtok.tt[1], 'brand'))),
 fit AS (SELECT * FROM sc WHERE gate AND score > 0)
 """
 
@@ -182,22 +186,27 @@ AS_OF = "2024-01-20 00:00:00"
 
 @query("JN3_valid_sessions", f"""SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal >= 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts + to_hours(CAST(floor(value) AS BIGINT)) > TIMESTAMP '{AS_OF}' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
 def jn3(spark, d):
-    now = F.lit(AS_OF).cast("timestamp")
-    s = M.table(spark, d, "events").withColumn("expires", F.col("ts") + F.make_interval(hours=F.floor("value").cast("int")))
-    s = s.where((F.col("ts") <= now) & (F.col("expires") > now) & ~V.is_older(F.col("ts"), now, 7 * 86400) & (F.col("ts") > now - F.make_interval(days=F.lit(7))))
-    return s.join(M.table(spark, d, "customer").where("c_acctbal >= 0"), F.col("user_id") == F.col("c_custkey")).select("event_id", "user_id")
+    e = M.table(spark, d, "events")
+    sessions = e.select("event_id", "user_id", F.col("ts").alias("created_at"), (F.col("ts") + F.make_interval(hours=F.floor("value").cast("int"))).alias("expires_at"))
+    users = M.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("disabled"))
+    return O.valid_sessions(sessions, users, F.lit(AS_OF).cast("timestamp")).select("event_id", "user_id")
 
 
-@query("JN4_key_owners", with_model("books", "chapters") + """, k AS (SELECT chapter_id, CASE WHEN chapter_id % 3 = 0 THEN 'books/' || book_id || '/x' WHEN chapter_id % 3 = 1 THEN 'legacy/' || chapter_id ELSE 'lost/' || chapter_id END AS key, book_id FROM chapters)
-SELECT key, CASE WHEN k.chapter_id % 3 < 2 THEN CAST(b.user_id AS VARCHAR) END AS owner FROM k JOIN books b USING (book_id)""")
+@query("JN4_key_owners", with_model("books", "chapters", "segments") + """, b AS (SELECT *, 'cover-' || book_id AS cover_key, 'file-' || book_id AS file_key FROM books), c AS (SELECT *, 'audio-' || chapter_id AS audio_key FROM chapters),
+s AS (SELECT chapter_id, 'part-' || chapter_id || '-' || segment_index AS audio_key, segment_index FROM segments),
+stored AS (SELECT cover_key AS key, user_id FROM b UNION ALL SELECT file_key, user_id FROM b UNION ALL SELECT audio_key, user_id FROM c JOIN b USING (book_id) UNION ALL SELECT s.audio_key, user_id FROM s JOIN c USING (chapter_id) JOIN b USING (book_id)),
+k AS (SELECT CASE chapter_id % 5 WHEN 0 THEN 'books/' || book_id || '/x' WHEN 1 THEN 'cover-' || book_id WHEN 2 THEN 'file-' || book_id WHEN 3 THEN 'audio-' || chapter_id ELSE 'books/0/' || chapter_id END AS key FROM chapters UNION ALL SELECT audio_key FROM s WHERE segment_index = 2),
+o AS (SELECT key, min(user_id) AS owner FROM stored GROUP BY key)
+SELECT k.key, CASE WHEN regexp_matches(k.key, '^books/') THEN b.user_id ELSE o.owner END AS owner FROM k LEFT JOIN o USING (key) LEFT JOIN b ON regexp_extract(k.key, '^books/([0-9]+)/', 1) = CAST(b.book_id AS VARCHAR)""")
 def jn4(spark, d):
-    c, b = M.chapters(spark, d), M.books(spark, d).select(F.col("book_id").cast("string").alias("of"), F.col("user_id").cast("string").alias("owner"))
-    m, i = F.col("chapter_id") % 3, F.col("chapter_id").cast("string")
-    keys = c.select(F.when(m == 0, F.concat(F.lit("books/"), F.col("book_id").cast("string"), F.lit("/x"))).when(m == 1, F.concat(F.lit("legacy/"), i)).otherwise(F.concat(F.lit("lost/"), i)).alias("key"))
-    direct = keys.withColumn("of", F.regexp_extract("key", "^books/([0-9]+)/", 1))
-    stored = c.select(F.concat(F.lit("legacy/"), i).alias("key"), F.col("book_id").cast("string").alias("found"))
-    resolved = direct.join(stored, "key", "left").withColumn("of", F.coalesce(F.nullif("of", F.lit("")), "found"))
-    return resolved.join(b, "of", "left").select("key", "owner")
+    text = lambda p, *c: F.concat_ws("-", F.lit(p), *[F.col(x).cast("string") for x in c])
+    books = M.books(spark, d).select("book_id", "user_id", text("cover", "book_id").alias("cover_key"), text("file", "book_id").alias("file_key"))
+    chapters = M.chapters(spark, d).select("chapter_id", "book_id", text("audio", "chapter_id").alias("audio_key"))
+    segments = M.segments(spark, d).select("chapter_id", "segment_index", text("part", "chapter_id", "segment_index").alias("audio_key"))
+    m, book, i = F.col("chapter_id") % 5, F.col("book_id").cast("string"), F.col("chapter_id").cast("string")
+    key = F.when(m == 0, F.concat(F.lit("books/"), book, F.lit("/x"))).when(m == 1, text("cover", "book_id")).when(m == 2, text("file", "book_id")).when(m == 3, text("audio", "chapter_id")).otherwise(F.concat(F.lit("books/0/"), i))
+    keys = chapters.select(key.alias("key")).unionByName(segments.where("segment_index = 2").select(F.col("audio_key").alias("key")))
+    return O.key_owners(keys, books, chapters, segments, "^books/([0-9]+)/").select("key", "owner")
 
 
 @query("PF6_row_validation", """SELECT event_id, list_filter([CASE WHEN NOT (event_id % 3 <> 0) THEN 'id' END, CASE WHEN NOT (event_type <> 'error') THEN 'email' END, CASE WHEN NOT (value * 1000 BETWEEN 0 AND 100000) THEN 'position' END,
@@ -269,9 +278,9 @@ def st4(spark, d):
     return e.select("event_id", "book_id", "in_window", (F.col("in_window") > 3).alias("over_limit"))
 
 
-@query("ST5_throttle", _anchored_sql(6, "SELECT event_id, user_id AS book_id FROM r WHERE n = first"))
+@query("ST5_throttle", _anchored_sql(6, "SELECT event_id, user_id AS book_id FROM r WHERE n = first UNION ALL SELECT event_id, user_id FROM events WHERE event_id % 10 = 3").replace("FROM events),", "FROM events WHERE event_id % 10 <> 3),", 1))
 def st5(spark, d):
-    return K.anchored(M.playback(spark, d), "book_id", 6 * 3600).where("opens").select("event_id", "book_id")
+    return K.throttled(M.playback(spark, d), "book_id", 6 * 3600, F.col("event_id") % 10 == 3).select("event_id", "book_id")
 
 
 @query("ST6_cache_labels", _anchored_sql(12, "SELECT event_id, CASE WHEN n = first THEN 'miss' ELSE 'hit' END AS label FROM r"))
@@ -284,17 +293,26 @@ def st1(spark, d):
     return K.subscribed(M.event_log(spark, d), 7, ["ready", "failed"]).select("event_id", "book_id", "status")
 
 
-@query("ST2_current_status", with_model("event_log") + """, p AS (SELECT book_id, arg_max(status, event_id) FILTER (status <> 'segment_ready') AS s, max(event_id) FILTER (status <> 'segment_ready') AS a, max(event_id) FILTER (status = 'segment_ready') AS r FROM event_log GROUP BY book_id)
-SELECT book_id, CASE WHEN coalesce(s, 'queued') IN ('queued', 'processing', 'discovering', 'in_progress') AND r IS NOT NULL AND (a IS NULL OR r > a) THEN 'partial_ready' ELSE coalesce(s, 'queued') END AS status FROM p""")
+def chapter_log(spark: SparkSession, d: str) -> DataFrame:
+    """The event log with a duration and an audio key on some of the events that set a status."""
+    given = F.col("status") != "segment_ready"
+    return M.event_log(spark, d).withColumns({"duration_ms": F.when(given & (F.col("event_id") % 3 == 0), F.floor("value").cast("int")), "audio_key": F.when(given & (F.col("event_id") % 4 == 1), F.concat(F.lit("a"), F.col("event_id").cast("string")))})
+
+
+@query("ST2_current_status", with_model("event_log") + """, p AS (SELECT book_id, arg_max(status, event_id) FILTER (status <> 'segment_ready') AS s, max(event_id) FILTER (status <> 'segment_ready') AS a, max(event_id) FILTER (status = 'segment_ready') AS r,
+arg_max(CAST(floor(value) AS INTEGER), event_id) FILTER (status <> 'segment_ready' AND event_id % 3 = 0) AS duration_ms, arg_max('a' || event_id, event_id) FILTER (status <> 'segment_ready' AND event_id % 4 = 1) AS audio_key FROM event_log GROUP BY book_id)
+SELECT book_id, CASE WHEN coalesce(s, 'queued') NOT IN ('ready', 'partial_ready', 'failed') AND r IS NOT NULL AND (a IS NULL OR r > a) THEN 'partial_ready' ELSE coalesce(s, 'queued') END AS status, duration_ms, audio_key FROM p""")
 def st2(spark, d):
-    return K.current_status(M.event_log(spark, d))
+    return K.current_status(chapter_log(spark, d))
 
 
-@query("ST3_progress", with_model("event_log") + """, p AS (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) % 4 AS total, CAST(floor(value) AS INTEGER) % 9 AS done FROM event_log)
-SELECT book_id, coalesce(arg_max(total, event_id) FILTER (total > 0), 0) AS total, least(coalesce(arg_max(total, event_id) FILTER (total > 0), 0), arg_max(done, event_id)) AS done FROM p GROUP BY book_id""")
+@query("ST3_progress", with_model("event_log") + """, p AS (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) % 4 * CAST(book_id % 5 > 0 AS INTEGER) AS total, CAST(floor(value) AS INTEGER) % 9 AS done FROM event_log)
+SELECT book_id, total, CASE WHEN total > 0 THEN least(total, done) ELSE done END AS done FROM (
+SELECT book_id, coalesce(arg_max(total, event_id) FILTER (total > 0), 0) AS total, arg_max(done, event_id) AS done FROM p GROUP BY book_id)""")
 def st3(spark, d):
     e = M.event_log(spark, d)
-    return K.progress(e.withColumns({"total": F.from_json("props", "k int")["k"] % 4, "done": F.floor("value").cast("int") % 9}))
+    total = F.from_json("props", "k int")["k"] % 4 * (F.col("book_id") % 5 > 0).cast("int")
+    return K.progress(e.withColumns({"total": total, "done": F.floor("value").cast("int") % 9}))
 
 
 @query("ST7_once_only", """WITH p AS (SELECT user_id AS book_id, event_id % 20 AS part, bool_or(event_type = 'purchase') AS v, bool_or(event_type = 'error') AS f FROM events GROUP BY ALL)
@@ -316,3 +334,9 @@ def st9(spark, d):
     e = M.event_log(spark, d)
     live = e.where("book_id % 2 <> 0").select("book_id").distinct()
     return K.stuck(e, live, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@query("SS5_event_source", with_model("event_log") + "SELECT event_id, book_id, status AS type FROM event_log WHERE status <> 'in_progress'")
+def ss5(spark, d):
+    sent = M.event_log(spark, d).select(F.to_json(F.struct("event_id", "book_id", F.col("status").alias("type"))).alias("value"))
+    return K.parsed_events(sent, "event_id long, book_id long, type string").where("type <> 'in_progress'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import formats, text
 from quillspark.operators import packing
+from quillspark.operators import status as O
 from quillspark.plans.registry import query
 from quillspark.sources import model as M
 from quillspark.sources import sinks
@@ -49,10 +50,12 @@ def ag4(spark, d):
 _PROTECT = "(^|[^A-Za-z0-9_])(" + "|".join(text.ABBREVIATIONS) + r")\."
 
 
-@query("F8_sentences", f"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_PROTECT}', '\\1\\2' || chr(57344), 'g'),
-'([.!?])\\s+([A-Z"“''‘—])', '\\1' || chr(57345) || '\\2', 'g'), chr(57344), '.', 'g'), chr(57345)), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences FROM documents""")
+@query("F8_sentences", f"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(10) || chr(10))) AS sentences_md5 FROM (
+SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_PROTECT}', '\\1\\2' || chr(57344), 'g'),
+'([.!?])\\s+([A-Z"“''‘—])', '\\1' || chr(57345) || '\\2', 'g'), chr(57344), '.', 'g'), chr(57345)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents)""")
 def f8(spark, d):
-    return M.table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
+    s = M.table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n\n").cast("binary")).alias("sentences_md5"))
 
 
 _TOC = " OR ".join(f"regexp_matches(trim(line), '(?i){p}')" for p in text.TOC_LINES)
@@ -67,16 +70,16 @@ def f10(spark, d):
 _q = lambda p: p.replace("'", "''")
 
 
-@query("F12_matter_paths", with_model("pages_in") + f"""SELECT page_id, regexp_matches(stem, '^(?:{'|'.join(text.MATTER_STEMS)})') OR len(list_intersect(regexp_split_to_array(stem, '[^a-z0-9]+'), {text.MATTER_WORDS})) > 0 AS matter
+@query("F12_matter_paths", with_model("pages_in") + f"""SELECT page_id, regexp_matches(stem, '^(?:{text.MATTER_STEMS})') OR len(list_intersect(regexp_split_to_array(stem, '[^a-z0-9]+'), {text.MATTER_WORDS})) > 0 AS matter
 FROM (SELECT page_id, lower(regexp_replace(string_split(path, '/')[-1], '(?i)\\.[a-z0-9]+$', '')) AS stem FROM pages_in)""")
 def f12(spark, d):
     return M.pages(spark, d).select("page_id", text.is_matter_path(F.col("path")).alias("matter"))
 
 
-@query("F13_heading_classes", f"""WITH {LINES} SELECT doc_id, CASE WHEN regexp_matches(line, '(?i){_q(text.FRONT_HEADINGS)}') THEN 'front' WHEN regexp_matches(line, '(?i){_q(text.BACK_HEADINGS)}') THEN 'back'
-WHEN regexp_matches(line, '(?i){text.START_HEADINGS}') THEN 'start' END AS heading_class FROM lines WHERE pos = 0""")
+@query("F13_heading_classes", f"""WITH {LINES} SELECT * FROM (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '(?i){_q(text.FRONT_HEADINGS)}') THEN 'front' WHEN regexp_matches(line, '(?i){_q(text.BACK_HEADINGS)}') THEN 'back'
+WHEN regexp_matches(line, '(?i){text.START_HEADINGS}') THEN 'start' END AS heading_class FROM lines) WHERE heading_class IS NOT NULL""")
 def f13(spark, d):
-    return lines(spark, d).where("pos = 0").select("doc_id", text.heading_class(F.col("line")).alias("heading_class"))
+    return lines(spark, d).select("doc_id", "pos", text.heading_class(F.col("line")).alias("heading_class")).where("heading_class IS NOT NULL")
 
 
 @query("F23_durations", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN ms < 0 THEN '--:--' ELSE (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS short,
@@ -160,9 +163,10 @@ def ss6(spark, d):
     return M.table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SS1_page_source", with_model("pages_in") + "SELECT book_id, spine_index, page_id, path FROM pages_in")
+@query("SS1_page_source", with_model("pages_in") + "SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_index) AS INTEGER) AS spine_index, page_id, path FROM pages_in WHERE page_id % 7 <> 3")
 def ss1(spark, d):
-    return M.pages(spark, d).select("book_id", "spine_index", "page_id", "path")
+    marked = M.pages(spark, d).withColumn("linear", F.when(F.col("page_id") % 7 == 3, "no").when(F.col("page_id") % 2 == 0, "yes"))
+    return sinks.reading_order(marked).select("book_id", "spine_index", "page_id", "path")
 
 
 @query("AG10_exact_duplicates", "SELECT doc_id, md5(text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS place FROM documents) WHERE place = 1")
@@ -171,25 +175,29 @@ def ag10(spark, d):
     return sinks.first_of_each(docs, ["hash"], "doc_id")
 
 
-@query("JN12_submissions", """SELECT d.doc_id, CASE WHEN o.first_id IS NULL THEN 'new' WHEN o.first_id = d.doc_id THEN 'existing' WHEN d.lang = o.lang THEN 'retryable' ELSE 'conflict' END AS kind
-FROM documents d LEFT JOIN (SELECT md5(text) AS hash, min(doc_id) AS first_id, arg_min(lang, doc_id) AS lang FROM documents WHERE doc_id % 3 <> 0 GROUP BY md5(text)) o ON md5(d.text) = o.hash""")
+@query("JN12_submissions", """WITH b AS (SELECT doc_id AS book_id, lang AS user_id, md5(text) AS source_hash, CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ready' WHEN 2 THEN 'failed' ELSE 'in_progress' END AS status, CASE WHEN doc_id % 4 = 0 THEN 'k' END AS file_key FROM documents WHERE doc_id % 3 <> 0),
+o AS (SELECT user_id, source_hash, min(book_id) AS book_id, arg_min(status, book_id) AS status, bool_or(book_id % 4 = 0 AND book_id = m) AS has_file FROM (SELECT *, min(book_id) OVER (PARTITION BY user_id, source_hash) AS m FROM b) GROUP BY ALL)
+SELECT d.doc_id, o.book_id, CASE WHEN o.book_id IS NULL THEN 'new' WHEN status = 'failed' AND has_file THEN 'retryable' WHEN status = 'failed' THEN 'conflict' ELSE 'existing' END AS kind
+FROM documents d LEFT JOIN o ON d.lang = o.user_id AND md5(d.text) = o.source_hash""")
 def jn12(spark, d):
-    docs = M.table(spark, d, "documents").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("hash"))
-    known = docs.where("doc_id % 3 <> 0").groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.min_by("lang", "doc_id").alias("first_lang"))
-    kind = F.when(F.col("first_id").isNull(), "new").when(F.col("first_id") == F.col("doc_id"), "existing").when(F.col("lang") == F.col("first_lang"), "retryable").otherwise("conflict")
-    return docs.join(known, "hash", "left").select("doc_id", kind.alias("kind"))
+    docs = M.table(spark, d, "documents").select("doc_id", F.col("lang").alias("user_id"), F.md5(F.col("text").cast("binary")).alias("source_hash"))
+    i = F.col("doc_id")
+    books = docs.where(i % 3 != 0).select(i.alias("book_id"), "user_id", "source_hash", F.when(i % 4 == 1, "ready").when(i % 4 == 3, "in_progress").otherwise("failed").alias("status"), F.when(i % 4 == 0, "k").alias("file_key"))
+    return O.submissions(docs, books).select("doc_id", "book_id", "kind")
 
 
 @query("SO2_storage_keys", with_model("books", "chapters", "segments") + """SELECT 'books/' || book_id || '/cover' AS key FROM books WHERE status <> 'discovering' UNION ALL SELECT 'books/' || book_id || '/source' FROM books
 UNION ALL SELECT 'books/' || book_id || '/chapters/' || chapter_id FROM chapters WHERE status = 'ready'
 UNION ALL SELECT 'books/' || book_id || '/chapters/' || chapter_id || '/' || segment_index || '.wav' FROM segments s JOIN chapters c USING (chapter_id) WHERE s.status = 'voiced'""")
 def so2(spark, d):
-    b, c, s = M.books(spark, d), M.chapters(spark, d), M.segments(spark, d)
-    at = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p]).alias("key")
+    return O.storage_keys(*keyed_tables(spark, d)).select("key")
+
+
+def keyed_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Books, chapters and segments with their storage keys."""
+    at = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     k = F.col("book_id")
-    keys = b.select(F.when(F.col("status") != "discovering", at("books/", k, "/cover")).alias("key"))
-    keys = keys.unionByName(b.select(at("books/", k, "/source")))
-    keys = keys.unionByName(c.select(F.when(F.col("status") == "ready", at("books/", k, "/chapters/", F.col("chapter_id"))).alias("key")))
-    voiced = s.where("status = 'voiced'").join(c.select("chapter_id", "book_id"), "chapter_id")
-    keys = keys.unionByName(voiced.select(formats.storage_key(k, F.col("chapter_id"), F.col("segment_index")).alias("key")))
-    return keys.where("key IS NOT NULL")
+    books = M.books(spark, d).select(k, "user_id", F.when(F.col("status") != "discovering", at("books/", k, "/cover")).alias("cover_key"), at("books/", k, "/source").alias("file_key"))
+    chapters = M.chapters(spark, d).select("chapter_id", k, F.when(F.col("status") == "ready", at("books/", k, "/chapters/", F.col("chapter_id"))).alias("audio_key"))
+    voiced = M.segments(spark, d).where("status = 'voiced'").join(chapters.select("chapter_id", "book_id"), "chapter_id")
+    return books, chapters, voiced.select("chapter_id", formats.storage_key(k, F.col("chapter_id"), F.col("segment_index")).alias("audio_key"))

@@ -38,12 +38,43 @@ def page_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
-def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], version: str):
-    """SS3 on a stream: every micro-batch is merged into a versioned Parquet table; returns the started query."""
+def reading_order(pages: DataFrame) -> DataFrame:
+    """SS1: the pages that are read in line (``linear`` is not 'no'), numbered anew in their book."""
+    kept = pages.where(F.coalesce(F.lower("linear"), F.lit("yes")) != "no").drop("linear")
+    return kept.withColumn("spine_index", F.row_number().over(Window.partitionBy("book_id").orderBy("spine_index")))
+
+
+def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], version: str, parts: int = 64):
+    """SS3 on a stream; returns the started query.
+
+    The table lies in ``parts`` folders by a hash of the key. A micro-batch rewrites only the parts that it touches, each
+    as a new version, then names the versions that hold; a batch that is repeated after a failure writes the same again.
+    """
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, keys, version).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        fresh = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        held = current(spark, folder, number - 1)
+        touched = [r.part for r in fresh.select("part").distinct().collect()]  # at most ``parts``
+        paths = [f"{folder}/part={p}/v{held[p]}" for p in touched if p in held]
+        old = spark.read.schema(", ".join(names)).parquet(*paths) if paths else batch.limit(0)
+        old = old.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        merged = upsert(old, fresh, ["part", *keys], version).persist()
+        for p in touched:
+            merged.where(F.col("part") == p).drop("part").write.mode("overwrite").parquet(f"{folder}/part={p}/v{number}")
+        merged.unpersist()
+        state = held | {p: number for p in touched}
+        spark.createDataFrame(list(state.items()), "part int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/b{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """The version of each part after batch ``number``; none before the first."""
+    return {} if number < 0 else {r.part: r.version for r in spark.read.parquet(f"{folder}/versions/b{number}").collect()}
+
+
+def upserted(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The table that ``upsert_stream`` holds after batch ``number``."""
+    return spark.read.parquet(*[f"{folder}/part={p}/v{v}" for p, v in current(spark, folder, number).items()])

@@ -1,10 +1,11 @@
 """Operators against plain folds and literal rows."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import annotations, packing, pages
+from quillspark.operators import annotations, packing, pages, search, status
 from quillspark.sources import sinks
 from quillspark.streaming import keyed
 
@@ -115,3 +116,127 @@ def test_anchored_windows_as_batch_and_as_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("anchored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.event_id: (r.in_window, r.opens) for r in spark.table("anchored").collect()} == want
+
+
+def read(body):
+    return pages.read_page(f"<html><body>{body}</body></html>")
+
+
+def test_page_breaks_and_note_marks_go_with_all_inside():
+    texts = lambda body: [b["text"] for b in read(body)[0]]
+    assert texts("<p>a</p><div class='page'><p>Page 14</p></div><p class='x pagebreak'>15</p><span epub:type='pagebreak'><p>16</p></span><p class='pages'>b</p>") == ["a", "b"]
+    assert texts("<p>word<sup><span><a href='#n'>7</a></span></sup> end x<sup>2</sup></p>") == ["word end x2"]
+    assert pages.read_page("<p>no body at all</p>")[0] == [] and read("<p>one</p>")[3] == ""
+
+
+def test_block_types_read_classes_and_kinds(spark):
+    body = "<p epub:type='poem'>Kind only.</p><p class='a-poem'>Verse.</p><p epub:type='footnote'>Note.</p><p class='epistle'>Dear you.</p><p epub:type='letter'>Not one.</p><blockquote>Said.</blockquote><h4>Head</h4>"
+    df = spark.createDataFrame([page("b", 1, "c1.xhtml", body)], "book_id string, spine_index int, path string, html string")
+    assert [b.type for b in pages.parsed(df).select(pages.typed_blocks(F.lit("")).alias("b")).first().b] == ["narration", "poem", "footnote", "letter", "narration", "poem", "heading"]
+
+
+def test_short_books_have_no_chapters(spark):
+    body = f"<h1>Chapter 1</h1><p>{'few words here ' * 40}</p>"
+    df = spark.createDataFrame([page("b", 1, "c1.xhtml", body)], "book_id string, spine_index int, path string, html string")
+    assert pages.chapters(df).count() == 0
+
+
+def test_reading_order_drops_pages_out_of_line(spark):
+    df = spark.createDataFrame([("b", 1, "no", "a"), ("b", 2, None, "b"), ("b", 3, "yes", "c"), ("b", 4, "NO", "d")], "book_id string, spine_index int, linear string, path string")
+    assert sorted((r.spine_index, r.path) for r in sinks.reading_order(df).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_submission_kinds(spark):
+    books = spark.createDataFrame([(1, "u", "h1", "ready", None), (2, "u", "h2", "failed", "k"), (3, "u", "h3", "failed", None), (4, "v", "h4", "ready", "k")], "book_id int, user_id string, source_hash string, status string, file_key string")
+    new = spark.createDataFrame([("u", "h1"), ("u", "h2"), ("u", "h3"), ("u", "h4")], "user_id string, source_hash string")
+    assert {r.source_hash: r.kind for r in status.submissions(new, books).collect()} == {"h1": "existing", "h2": "retryable", "h3": "conflict", "h4": "new"}
+
+
+def test_keys_by_name_and_by_column(spark):
+    books = spark.createDataFrame([(1, "u", "cov", "file")], "book_id int, user_id string, cover_key string, file_key string")
+    chapters = spark.createDataFrame([(5, 1, "ch")], "chapter_id int, book_id int, audio_key string")
+    segments = spark.createDataFrame([(5, "seg"), (5, None)], "chapter_id int, audio_key string")
+    keys = spark.createDataFrame([(k,) for k in ("books/1/x", "books/2/x", "cov", "file", "ch", "seg", "none")], "key string")
+    got = {r.key: r.owner for r in status.key_owners(keys, books, chapters, segments, "^books/([0-9]+)/").collect()}
+    assert got == {"books/1/x": "u", "books/2/x": None, "cov": "u", "file": "u", "ch": "u", "seg": "u", "none": None}
+
+
+def test_common_words_join_only_queries_without_a_rarer_one(spark):
+    c = spark.createDataFrame([(i, f"the w{i}", None, ["a"], None, "en", "epub", 5) for i in range(30)], "id int, title string, subtitle string, authors array<string>, isbn string, language string, format string, filesize long")
+    q = spark.createDataFrame([(1, "The w7"), (2, "The")], "query_id int, q_title string").selectExpr("*", "'' AS q_author", "cast(null AS string) AS q_isbn", "array('en') AS q_languages", "array('epub') AS q_formats")
+    got = search.blocked_pairs(q, c, common=10).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {1: 1, 2: 30}
+    assert search.blocked_pairs(q, c).where("query_id = 1").count() == 30
+
+
+def test_forced_events_pass_a_throttle_without_a_mark(spark):
+    df = spark.createDataFrame([(i, "k", t, f) for i, (t, f) in enumerate([(0, False), (5, True), (9, False), (10, False), (12, True), (19, False), (20, False)])], "event_id long, k string, s long, f boolean").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.event_id for r in keyed.throttled(df, "k", 10, F.col("f")).collect()) == [0, 1, 3, 4, 6]
+
+
+def streamed(spark, tmp_path, df, make, mode="append", files=6):
+    """All that a stream over ``df`` emits, its rows in as many files in order of time, a file a micro-batch."""
+    rows = df.orderBy("ts", "event_id").collect()
+    folder = tmp_path / "in"
+    for i in range(files):
+        spark.createDataFrame(rows[i * len(rows) // files : (i + 1) * len(rows) // files], df.schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    name = f"s{abs(hash(str(tmp_path)))}"
+    q = make(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return spark.table(name).collect()
+
+
+def event_rows(spark, n=240):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abcd"), 60 + i * 60 + rng.randint(0, 40), rng.choice(["discovering", "in_progress", "segment_ready", "ready", "failed", "voiced"]), rng.choice([None, 5, 7]), rng.choice([None, "x", "y"]), rng.choice([None, 0, 3, 9]), rng.choice([1, 2, 8]), rng.randint(0, 3)) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, k string, s long, status string, duration_ms int, audio_key string, total int, done int, part int").withColumn("ts", F.timestamp_seconds("s"))
+
+
+def test_current_state_as_batch_and_as_stream(spark, tmp_path):
+    df = event_rows(spark)
+    last = {}
+    for r in streamed(spark, tmp_path, df, lambda s: keyed.current_stream(s, "k"), "update"):
+        last[r.k] = r
+    for r in keyed.current_status(df, "k").collect():
+        assert (r.status, r.duration_ms, r.audio_key) == (last[r.k].status, last[r.k].duration_ms, last[r.k].audio_key)
+    assert {r.k: r.total for r in keyed.progress(df, "k").collect()} == {k: r.total for k, r in last.items()}
+    assert all(r.done <= r.total for r in last.values() if r.total)
+
+
+def test_progress_without_a_total_keeps_done(spark):
+    df = spark.createDataFrame([(1, "k", 0, 5), (2, "m", 3, 5), (3, "n", 9, 5)], "event_id long, k string, total int, done int").withColumn("ts", F.timestamp_seconds("event_id"))
+    assert {r.k: (r.total, r.done) for r in keyed.progress(df, "k").collect()} == {"k": (0, 5), "m": (3, 3), "n": (9, 5)}
+
+
+def test_counters_as_batch_and_as_stream(spark, tmp_path):
+    df = event_rows(spark)
+    total = {}
+    for r in streamed(spark, tmp_path, df, lambda s: keyed.once_only_stream(s, "k", "part")):
+        v, f = total.get(r.k, (0, 0))
+        total[r.k] = v + r.voiced, f + r.failed
+    assert total == {r.k: (r.voiced, r.failed) for r in keyed.once_only(df, "k", "part").collect()}
+
+
+def test_submissions_as_batch_and_as_stream(spark, tmp_path):
+    df, submits, ends = event_rows(spark), F.col("status").isin("discovering", "in_progress"), F.col("status").isin("ready", "failed")
+    got = streamed(spark, tmp_path, df, lambda s: keyed.accepted_stream(s, "k", submits, ends))
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in keyed.accepted_submissions(df, "k", submits, ends).collect())
+
+
+def test_stuck_keys_are_found_by_the_watermark(spark, tmp_path):
+    rows = [(1, "a", 5, "discovering"), (2, "b", 10, "discovering"), (3, "b", 600, "ready"), (4, "c", 20, "discovering"), (5, "d", 30, "discovering"), (6, "z", 9000, "ready"), (7, "z", 20_000, "ready"), (8, "z", 30_000, "ready")]
+    df = spark.createDataFrame(rows, "event_id long, k string, s long, status string").withColumn("ts", F.timestamp_seconds("s"))
+    got = streamed(spark, tmp_path, df, lambda s: keyed.stuck_stream(s, F.col("k") == "d", key="k"), files=8)
+    assert sorted((r.k, int(r.since.timestamp())) for r in got) == [("a", 5), ("c", 20)]
+
+
+def test_upserts_of_a_stream_touch_only_their_parts(spark, tmp_path):
+    schema = "k long, v long, x string"
+    for i, rows in enumerate(([(k, 1, "a") for k in range(40)], [(3, 2, "b"), (3, 1, "old"), (99, 1, "c")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sinks.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], "v", 8).awaitTermination(180)
+        got = {r.k: (r.v, r.x) for r in sinks.upserted(spark, str(tmp_path / "t"), i).collect()}
+    assert got == {k: (1, "a") for k in range(40)} | {3: (2, "b"), 99: (1, "c")}
+    assert list(sinks.current(spark, str(tmp_path / "t"), 1).values()).count(1) in (1, 2)

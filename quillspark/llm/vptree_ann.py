@@ -35,6 +35,8 @@ K = 20
 #: Rows whose distances give each query its first bound.
 SAMPLE = 2048
 SHARD_ROWS = 4096
+#: Shards of a table too small for that many of ``SHARD_ROWS``, so that its work spreads; none under 256 rows.
+LEAST_SHARDS = 16
 #: Shards that the sample's tree makes; further ones by row numbers.
 MOST_SHARDS = 256
 LEAF = 128
@@ -204,7 +206,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     def placed(x: np.ndarray) -> np.ndarray:
         return np.column_stack((x, np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0))))
 
-    tree = upper_tree(placed(sample), min(MOST_SHARDS, max(1, -(-total // shard_rows))))
+    each = min(shard_rows, max(256, -(-total // LEAST_SHARDS)))
+    tree = upper_tree(placed(sample), min(MOST_SHARDS, max(1, -(-total // each))))
 
     def deal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -244,7 +247,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
 
     numbered = rows.withColumn("number", F.monotonically_increasing_id())
     homes = numbered.mapInPandas(deal_rows, f"{key} long, {vector} array<double>, number long, leaf int")
-    large = {r.leaf: -(-r.n // shard_rows) for r in homes.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows).collect()}  # at most MOST_SHARDS rows
+    large = {r.leaf: -(-r.n // each) for r in homes.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * each).collect()}  # at most MOST_SHARDS rows
     parts = F.coalesce(F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("leaf")], F.lit(1)) if large else F.lit(1)
     left = homes.select("leaf", F.pmod(F.xxhash64("number"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), key, vector, F.lit(0.0).alias("bound"))
     asked = queries.mapInPandas(deal_queries, f"{key} long, {vector} array<double>, bound double, leaf int")

@@ -11,7 +11,9 @@ rank; byte offsets of the ids are kept, so that any id range can be decoded.
 The automaton stands for the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 Rows: a null text encodes as the empty one, to no ids. Special tokens never
-appear: their strings are ordinary text.
+appear: their strings are ordinary text. ``encode`` and ``decode`` keep other
+columns but for their own results (``ids``, ``offsets``, ``decoded``), which they
+replace. Repeated rows are each encoded; a very long text is taken whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ cosine with it.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0. Ties go to
 the alphabetically first language. With no training rows every document is
-``und``. Repeated rows are scored one by one; other columns play no part.
+``und``. Repeated rows are scored one by one; other columns play no part, and
+``predict`` keeps them but for its own results, ``lang_pred`` and ``score``, which
+it replaces. Very long texts are taken whole, one at a time.
 """
 
 from __future__ import annotations

@@ -58,6 +58,39 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got) > 0
 
 
+def test_language_vectors_equal_brute_force(spark):
+    """Bundles of bound letters, prototypes and cosines, recomputed letter by letter."""
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+    rows = [(i, " ".join(word("abcé" if i % 2 else "cdeß") for _ in range(12)) + (", X1!" if i % 3 else ""), "ab"[i % 2]) for i in range(40)] + [(40, "12 !", "a"), (41, None, "b"), (42, "x", None)]
+    vector = {c: language_id.letter_vectors(np.array([ord(c)], np.uint32))[0].astype(int) for c in "abcdeéßx \0"}
+
+    def document(text):
+        letters = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        total = np.zeros(language_id.DIMS)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if b != " ":
+                total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+        return total
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in docs.where(language_id.held_out(F.col("doc_id"))).collect()}
+    assert held == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    prototypes = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and i not in held:
+            prototypes[lang] = prototypes.get(lang, 0) + unit(document(t))
+    for r in language_id.identify(docs).collect():
+        text = rows[r.doc_id][1] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {lang: float(unit(document(text)) @ unit(p)) for lang, p in sorted(prototypes.items())}
+        best = max(cosine, key=cosine.get)
+        assert r.lang_pred == best and abs(r.score - max(cosine[best], 0)) < 1e-4
+
+
 def test_byte_bpe_equals_the_library():
     import tiktoken
 
@@ -563,6 +596,38 @@ def test_flac_blocks_can_be_sought(spark):
     assert b"".join(bytes(b.pcm) for b in blocks) == flac_media.payload_of("lorem ipsum " * 200)
 
 
+def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
+    """The stages between language ID and packing, each against brute force on what the one before kept."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs]
+    for i in range(12):  # near copies, copies, and texts that share a passage
+        w = rows[i][1].split(" ")
+        w[len(w) // 2] = "changed"
+        rows.append((10_000 + i, " ".join(w) if i % 2 else rows[i][1], "en", "s", 1))
+        rows.append((20_000 + i, f"A text of its own number {i}. " + rows[3][1][:300] + " and so it ends.", "en", "s", 1))
+    rows += [(30_000, "12 34", "en", "s", 5), (30_001, None, "en", "s", 0)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, DOC)
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language_id"](spark, frame, SF).collect()
+    assert {30_000, 30_001}.isdisjoint(r.doc_id for r in first) and len(first) >= 70
+    kept = spark.createDataFrame(first, DOC)
+    second = stages["simhash_near_dedup"](spark, kept, SF).collect()
+    classes = brute_force_classes([(r.doc_id, r.text) for r in first])
+    short = {r.doc_id for r in first if len(r.text.split()) < 5}
+    assert {r.doc_id for r in second} - short == {i for i, c in classes.items() if i == c} - short
+    third = stages["suffix_array_dedup"](spark, spark.createDataFrame(second, DOC), SF).collect()
+    want = without_repeated_bytes([(r.doc_id, r.text) for r in second], 200)
+    left = {i: (n, gone) for i, n, gone, _, _ in want}
+    assert {r.doc_id for r in third} == {i for i, (n, gone) in left.items() if n > gone}
+    for r in third:
+        n, gone = left[r.doc_id]
+        assert n - gone - 3 <= len(r.text.encode()) <= n - gone and r.n_chars == len(r.text)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

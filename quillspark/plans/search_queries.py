@@ -77,7 +77,14 @@ def f15(spark, d):
     return p.select("p_partkey", key.alias("cache_key"))
 
 
-@query("F18_query_variants")
+_WORDLY = r"trim(regexp_replace(regexp_replace(strip_accents({}), '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("F18_query_variants", f"""WITH q AS (SELECT min(p_partkey) AS query_id, {_WORDLY.format('p_name')} AS title, {_WORDLY.format("'Brand#2'")} AS author FROM part GROUP BY p_name),
+k AS (SELECT *, string_split(author, ' ')[-1] AS surname, list_filter(string_split(title, ' '), lambda w: length(w) > 2 AND lower(w) NOT IN {tuple(S.STOP_WORDS)}) AS keys FROM q),
+v AS (SELECT query_id, unnest([title || ' ' || author, title || ' ' || surname, title, array_to_string(keys[1:5], ' ') || ' ' || surname, array_to_string(keys[1:2], ' ')]) AS v, unnest(range(5)) AS place FROM k),
+d AS (SELECT query_id, trim(regexp_replace(v || ' epub', '\\s+', ' ', 'g')) AS variant, min(place) AS place FROM v GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS INTEGER) AS place, variant FROM d WHERE variant <> 'epub'""")
 def f18(spark, d):
     q = queries_in(spark, d)
     return q.select("query_id", F.posexplode(S.query_variants(F.col("q_title"), F.col("q_author"))).alias("place", "variant"))

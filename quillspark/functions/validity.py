@@ -39,10 +39,11 @@ def is_index(c: Column) -> Column:
 
 
 def is_safe_key(key: Column) -> Column:
-    """PF7."""
+    """PF7. The pattern and the length are fixed values."""
     return F.coalesce((F.length(key).between(1, 512)) & ~F.contains(key, F.lit("..")) & ~key.startswith("/") & key.rlike(r"^[a-zA-Z0-9/_.-]+$"), F.lit(False))
 
 
+# The ranges are fixed values.
 def _private_v4(a: Column, b: Column) -> Column:
     return (
         a.isin(10, 127, 0) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168))

@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -37,6 +37,7 @@ from pyspark.sql.types import IntegralType
 from quillspark.llm.contexts import chunks, classes, radix_order
 from quillspark.llm.scratch import stored
 from quillspark.llm.suffix_radix import spread
+from quillspark.llm.word_hash import word_digests
 from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, covered, dealt, packed, seed_length, twice
 
 LENGTH = 20
@@ -45,6 +46,29 @@ CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary,
 ANSWERS = "bucket int, shard int, found binary, firsts binary"
 
 
+def digests_of(documents: list[bytes], run: int = 1 << 18) -> list[np.ndarray]:
+    """For each text the digests of its words, made for many texts at once, and for pieces of a long one. They only sift."""
+
+    def made(some: list[bytes]) -> list[np.ndarray]:
+        start, _, digest = word_digests(np.frombuffer(b"\n".join([*some, b""]), np.uint8))
+        return np.split(digest, np.searchsorted(start, np.cumsum([len(d) + 1 for d in some]))[:-1])
+
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+    for d in documents:
+        if group and held + len(d) > run:
+            out += made(group)
+            group, held = [], 0
+        if len(d) > run:
+            words = d.split()
+            out.append(np.concatenate([np.zeros(0, np.uint64), *(made([b" ".join(words[a : a + 4096])])[0] for a in range(0, len(words), 4096))]))
+        else:
+            group.append(d)
+            held += len(d)
+    return out + made(group) if group else out
+
+
 class Words:
     """A shard's distinct texts in order of their least id, their words one after another, and the windows of those."""
 
@@ -62,14 +86,15 @@ class Words:
         self.copied = np.array([least[t][2] > 1 for t in self.texts], bool)
         at = {t: i for i, t in enumerate(self.texts)}
         self.row_text = [at[t] for t in texts]
-        documents = [t.encode("utf-8", "replace").split() for t in self.texts]
-        self.words = [w for d in documents for w in d]
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        self.ends = np.cumsum([0, *map(len, documents)])[1:]
-        self.digests = np.split(digests, self.ends[:-1]) if documents else []
+        self.digests = digests_of([t.encode("utf-8", "replace") for t in self.texts])
+        self.ends = np.cumsum([0, *map(len, self.digests)])[1:]
         self.windows = Shard(self.digests, np.concatenate, 1, length)
         self.shard = table["shard"][0].as_py() if len(table) else 0
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return [w for t in self.texts for w in t.encode("utf-8", "replace").split()]
+
     def minimisers(self, buckets: int) -> pa.Table:
         """Packed minimisers; those of texts with copies recur."""
         copied = [d for d, c in zip(self.digests, self.copied) if c]

@@ -472,6 +472,15 @@ def test_different_words_of_equal_sums_stay(spark):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(short).collect()} == {1: 1, 2: 2}
 
 
+def test_word_digests_of_texts_together_and_in_pieces():
+    texts = [b"a b  c", b"", b" \n ", b"word " * 5000 + b"end", b"c b a", b"x" * 300]
+    found = phrase_automata.digests_of(texts, 100)
+    assert [len(d) for d in found] == [len(t.split()) for t in texts]
+    one = {w: d for t, digests in zip(texts, found) for w, d in zip(t.split(), digests.tolist())}
+    assert all(one[w] == d for t, digests in zip(texts, phrase_automata.digests_of(texts)) for w, d in zip(t.split(), digests.tolist()))
+    assert len(set(one.values())) == len(one)
+
+
 def test_automaton_finds_all_occurrences():
     table = pa.table({"shard": [0, 0], "id": [1, 2], "text": ["a b c d a b c", "z a b c d"], "copies": [1, 1]})
     words = phrase_automata.Words(table, 3)

@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
-from quillspark.llm.scratch import table
+from quillspark.llm.scratch import spread, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to byte-level BPE ids and decoded again."""
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+    return byte_bpe.round_trip(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    found = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash_vptree.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash_vptree.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
 def op4_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens."""
-    return kk_packing.pack_documents(table(spark, sf_dir, "documents"))
+    return kk_packing.pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return html_blocks.extract(pages, html_blocks.fit(pages))
 
 
@@ -59,7 +59,7 @@ def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a FLAC stream and read back."""
-    return flac_media.round_trip(table(spark, sf_dir, "documents"))
+    return flac_media.round_trip(spread(table(spark, sf_dir, "documents")))
 
 
 _OP5 = """

@@ -214,7 +214,7 @@ class Dealt(NamedTuple):
     context_buckets: int
 
 
-def dealt(docs: DataFrame, key: str, text: str, others: list[str] = []) -> Dealt:
+def dealt(docs: DataFrame, key: str, text: str, others: tuple[str, ...] | list[str] = ()) -> Dealt:
     """Documents by shard. Every text of which heavy copies are told apart from is compared by itself or its SHA-256."""
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     kind = F.xxhash64("text")

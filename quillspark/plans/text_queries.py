@@ -54,7 +54,7 @@ _PROTECT = "(^|[^A-Za-z0-9_])(" + "|".join(text.ABBREVIATIONS) + r")\."
 SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_PROTECT}', '\\1\\2' || chr(57344), 'g'),
 '([.!?])\\s+([A-Z"“''‘—])', '\\1' || chr(57345) || '\\2', 'g'), chr(57344), '.', 'g'), chr(57345)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents)""")
 def f8(spark, d):
-    s = M.table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    s = M.spread(M.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n\n").cast("binary")).alias("sentences_md5"))
 
 

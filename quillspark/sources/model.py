@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is read in fewer than half as many: a small file is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def _case(column: str, pairs: dict[str, str]) -> Column:
     out = None
     for k, v in pairs.items():
@@ -71,7 +77,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, chapter_id, text): documents as chapters of the book that their source stands for."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
     return d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), "text")
 
 

@@ -476,7 +476,7 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample_pages
                 yield pd.DataFrame({"key": k, "text": [b.text[:2000] for b in blocks[::every]][:SAMPLE_BLOCKS]})
 
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    drawn = rows.where(F.pmod(F.xxhash64(name, F.lit(6)), F.lit(1 << 30)) < share).select(name.alias("key"), html)
+    drawn = rows.where(F.pmod(F.xxhash64(name, F.lit(6)), F.lit(1 << 30)) < share).groupBy(name.alias("key")).agg(F.min(html).alias(html))  # one of each id
     return train(sorted(r.text for r in drawn.mapInPandas(some, "key string, text string").collect()))
 
 

@@ -199,7 +199,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     top, dims = top or 0.0, dims or 0
     rows, queries = rows.where(F.size(vector) == dims), queries.where(F.size(vector) == dims)
     share = int(min(1.0, sample_rows / max(total, 1)) * (1 << 30))
-    drawn = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < share).collect()  # about sample_rows
+    drawn = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < share).groupBy(key).agg(F.first(vector).alias(vector)).collect()  # about sample_rows, one of each id
     sample_ids = np.array([r[key] for r in drawn], np.int64)
     sample = np.array([r[vector] for r in drawn], float).reshape(len(drawn), dims)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, suffix_radix, vptree_ann
+from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, spelling_variants, suffix_radix, vptree_ann
 from quillspark.llm.scratch import spread, table
 
 
@@ -62,6 +62,11 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.round_trip(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of all documents."""
+    return spelling_variants.variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 _OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -125,9 +130,36 @@ FROM w LEFT JOIN listed ON w.doc_id = listed.doc_id LEFT JOIN kept ON w.doc_id =
 """
 
 
+def _op11_sql() -> str:
+    """The checksum goes byte by byte; near words meet by what is left without one letter, and are compared in an alphabet of one byte a letter."""
+    upper, lower = spelling_variants.UPPER, spelling_variants.LOWER
+    wide = "".join(map(chr, range(0xC0, 0x100)))
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).islower() and chr(c) != "'")[:64]
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in table]
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents),
+crc AS (SELECT {table}::BIGINT[] AS t),
+runs AS (SELECT doc_id, translate(raw, '{upper}', '{lower}') AS run, count(*) AS times FROM d WHERE length(raw) >= 7 GROUP BY ALL),
+sums AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(b), 2), lambda i: ('0x' || b[i : i + 1])::BIGINT)), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM (SELECT run, times, hex(doc_id || ':' || run) AS b FROM runs), crc),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM sums),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+sig AS (SELECT word, n, word AS s FROM v UNION SELECT word, n, word[1 : i - 1] || word[i + 1 :] FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+met AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM sig a JOIN sig b USING (s) WHERE a.word <> b.word),
+link AS (SELECT * FROM met WHERE levenshtein(translate(word, '{wide}', '{narrow}'), translate(near, '{wide}', '{narrow}')) = 1),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM link GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, ends.root FROM f JOIN ends USING (word)
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vptree_ann": _OP5, "op7_license_scan": _op7_sql(), "op8_phrase_automata": _OP8}
+    return {"op5_vptree_ann": _OP5, "op7_license_scan": _op7_sql(), "op8_phrase_automata": _OP8, "op11_spelling_variants": _op11_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, spelling_variants, suffix_radix, vptree_ann
+from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, spelling_variants, suffix_radix, token_transducer, vptree_ann
 from quillspark.llm.scratch import spread, table
 
 
@@ -67,6 +67,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by transducers."""
+    return token_transducer.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 _OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, flac_media, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, spelling_variants, suffix_radix, token_transducer, vptree_ann
+from quillspark.llm import byte_bpe, flac_media, hard_negatives, html_blocks, kk_packing, language_id, license_scan, phrase_automata, simhash_vptree, spelling_variants, suffix_radix, token_transducer, vptree_ann
 from quillspark.llm.scratch import spread, table
 
 
@@ -72,6 +72,13 @@ def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, over whole-number vectors and some changed labels."""
+    i, each = F.col("vec_id"), lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(x.cast("double") * 256))
+    rows = table(spark, sf_dir, "embeddings").select(i, F.when(i % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), F.transform("embedding", each).alias("embedding"))
+    return hard_negatives.mine(spread(rows), F.col("vec_id") % 50 == 0)
+
+
 _OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -135,6 +142,20 @@ FROM w LEFT JOIN listed ON w.doc_id = listed.doc_id LEFT JOIN kept ON w.doc_id =
 """
 
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a, v c WHERE a.id % 50 = 0 AND a.id <> c.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def _op11_sql() -> str:
     """The checksum goes byte by byte; near words meet by what is left without one letter, and are compared in an alphabet of one byte a letter."""
     upper, lower = spelling_variants.UPPER, spelling_variants.LOWER
@@ -167,4 +188,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vptree_ann": _OP5, "op7_license_scan": _op7_sql(), "op8_phrase_automata": _OP8, "op11_spelling_variants": _op11_sql()}
+    return {"op5_vptree_ann": _OP5, "op7_license_scan": _op7_sql(), "op8_phrase_automata": _OP8, "op11_spelling_variants": _op11_sql(), "op13_hard_negatives": _OP13}

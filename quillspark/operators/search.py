@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.sources.shared import Steps
+
 #: Weights and bounds of the scores. Fixed values.
 WEIGHTS = {"isbn": 1000, "title": 180, "title_token": 18, "author_token": 12, "language": 25, "format": 40, "filesize": 10}
 STOP_WORDS = ["the", "and", "for", "with"]
 MIB = 1024 * 1024
 LIMIT = 25
-#: Candidates that a title token may have before it counts as a common word.
-COMMON = 100_000
+#: Candidates of a title word that meet a query in one group of the join; a word of more is dealt to several.
+HOT_ROWS = 50_000
 
 
 @F.pandas_udf(StringType())
@@ -78,42 +80,85 @@ def prepared_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates (title, subtitle, authors, isbn, language, format, ...) with their normalised forms, each made once."""
     bare = F.regexp_replace(F.lower("isbn"), "[^a-z0-9]", "")
     whole = F.concat_ws(" ", "title", F.coalesce("subtitle", F.lit("")))
-    return candidates.withColumns({"_t": normalized(whole), "_tt": tokens(normalized(F.col("title"))), "_a": normalized(F.concat_ws(" ", "authors")), "_l": normalized(F.col("language")), "_f": normalized(F.col("format")), "_ci": bare})
+    fits = F.coalesce((F.col("filesize") > 10_000) & (F.col("filesize") < 100 * MIB), F.lit(False))
+    return candidates.withColumns({
+        "_t": normalized(whole), "_a": normalized(F.concat_ws(" ", "authors")), "_l": F.when(F.col("language") != "", normalized(F.col("language"))).otherwise(""), "_f": normalized(F.col("format")),
+        "_named": F.coalesce(F.col("language") != "", F.lit(False)), "_fits": fits, "_ci": F.when(F.col("isbn") != "", bare)})
 
 
-def score(pairs: DataFrame, languages: tuple[str, ...] = ("en",), formats: tuple[str, ...] = ("epub",)) -> DataFrame:
-    """F16: pairs of prepared queries (with q_languages, q_formats) and prepared candidates, with ``score``."""
+def attribute_points(languages: tuple[str, ...] = ("en",), formats: tuple[str, ...] = ("epub",)) -> Column:
+    """F16: the points that a candidate's language, format and size give for a query (q_languages, q_formats)."""
     w = WEIGHTS
     given = lambda c, default: F.when(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(F.lit(list(default)))
     place = F.array_position(F.transform(given("q_formats", formats), F.lower), F.col("_f"))
+    return (
+        F.when(F.col("_named") & F.array_contains(F.transform(given("q_languages", languages), F.lower), F.col("_l")), w["language"]).otherwise(0)
+        + F.when(place > 0, F.greatest(F.lit(1), w["format"] - 5 * (place - 1))).otherwise(0)
+        + F.when(F.col("_fits"), w["filesize"]).otherwise(0)
+    )
+
+
+def score(pairs: DataFrame, languages: tuple[str, ...] = ("en",), formats: tuple[str, ...] = ("epub",)) -> DataFrame:
+    """F16: pairs of prepared queries (with q_languages, q_formats) and prepared candidates, with ``score``."""
+    w = WEIGHTS
     total = (
-        F.when((F.col("q_isbn") != "") & (F.col("isbn") != "") & (F.col("_qi") == F.col("_ci")), w["isbn"]).otherwise(0)
+        F.when((F.col("q_isbn") != "") & (F.col("_qi") == F.col("_ci")), w["isbn"]).otherwise(0)
         + F.when((F.col("_q") != "") & (F.col("_t") == F.col("_q")), w["title"]).otherwise(0)
         + w["title_token"] * _count_inside(tokens(F.col("_q")), F.col("_t"))
         + w["author_token"] * _count_inside(tokens(F.col("_qa")), F.col("_a"))
-        + F.when((F.col("language") != "") & F.array_contains(F.transform(given("q_languages", languages), F.lower), F.col("_l")), w["language"]).otherwise(0)
-        + F.when(place > 0, F.greatest(F.lit(1), w["format"] - 5 * (place - 1))).otherwise(0)
-        + F.when((F.col("filesize") > 10_000) & (F.col("filesize") < 100 * MIB), w["filesize"]).otherwise(0)
+        + attribute_points(languages, formats)
     )
-    return pairs.withColumn("score", total.cast("int")).drop("_t", "_tt", "_q", "_qa", "_a", "_l", "_f", "_qi", "_ci")
+    return pairs.withColumn("score", total.cast("int")).drop("_t", "_q", "_qa", "_a", "_l", "_f", "_qi", "_ci", "_named", "_fits")
+
+
+def containing_words(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word): every word in which a token stands, from two lists of distinct texts without blanks.
+
+    An index of the words' runs of three letters (two for tokens of two) with their places; a token asks for the rarest
+    of its own runs only, and is compared letter by letter at the place where that must lie.
+    """
+
+    def grams(text: str, size: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(text) - size + 1)
+        made = F.transform(at, lambda i: F.struct(F.substring(text, i, F.lit(size)).alias("gram"), i.alias("at")))
+        return F.when(F.length(text) >= size, made).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
+
+    index = words.select("word", F.explode(F.concat(grams("word", 3), grams("word", 2))).alias("g")).select("word", "g.gram", "g.at")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = found.select("token", F.explode(F.when(F.length("token") == 2, grams("token", 2)).otherwise(grams("token", 3))).alias("g")).select("token", "g.gram", F.col("g.at").alias("offset"))
+    rarest = own.join(often, "gram", "left").groupBy("token").agg(F.min_by(F.struct("gram", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset")).alias("g")).select("token", "g.gram", "g.offset")
+    start = F.col("at") - F.col("offset") + 1
+    met = rarest.join(index, "gram").where((start >= 1) & (F.substring("word", start, F.length("token")) == F.col("token")))
+    return met.select("token", "word").distinct()
+
+
+def query_words(queries: DataFrame, candidates: DataFrame, column: str = "_q", text: str = "_t") -> DataFrame:
+    """(query_id, token, times, word): the distinct tokens of prepared queries, how often each stands there, and the candidates' words that hold it."""
+    asked = queries.select("query_id", F.explode(tokens(F.col(column))).alias("token")).groupBy("query_id", "token").agg(F.count("*").cast("int").alias("times"))
+    words = candidates.select(F.explode(tokens(F.col(text))).alias("word")).distinct()
+    return asked.join(containing_words(asked.select("token").distinct(), words), "token")
+
+
+def isbn_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, _row): the prepared queries and candidates of one ISBN."""
+    return queries.where((F.col("q_isbn") != "") & (F.col("_qi") != "")).select("query_id", F.col("_qi").alias("_ci")).join(candidates.where("_ci <> ''").select("_ci", "_row"), "_ci").select("query_id", "_row")
 
 
-def blocked_pairs(queries: DataFrame, candidates: DataFrame, common: int = COMMON) -> DataFrame:
-    """JN8: prepared pairs of a query and a candidate that share a title token or the ISBN; an equi-join on the token, never all with all.
+def blocked_pairs(queries: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """JN8: all prepared pairs of a query and a candidate whose title holds one of the query's title tokens (within a word too), or that share the ISBN.
 
-    A token that more than ``common`` candidates have joins only queries without a rarer one, so that a word like "the"
-    doesn't bring nearly all candidates to nearly all queries; its candidates would rank behind those of a rarer token.
+    The join is on words; one that more than ``hot_rows`` candidates have is dealt to as many groups as it needs, its queries
+    copied to each. All of them meet; for the best few of each query ``top_candidates`` meets far fewer.
     """
-    queries, candidates = prepared_queries(queries), prepared_candidates(candidates)
-    with_isbn = lambda words, isbn: F.explode(F.array_distinct(F.concat(words, F.array_compact(F.array(F.concat(F.lit("isbn:"), isbn))))))
-    q = queries.select("query_id", with_isbn(tokens(F.col("_q")), "q_isbn").alias("token"))
-    c = candidates.select("id", with_isbn(F.col("_tt"), "isbn").alias("token"))
-    often = c.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > common).select("token", F.lit(True).alias("often"))
-    q = q.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(False)))
-    rarer = q.groupBy("query_id").agg(F.bool_or(~F.col("often")).alias("rarer"))
-    q = q.join(rarer, "query_id").where(~(F.col("often") & F.col("rarer"))).select("query_id", "token")
-    pairs = q.join(c, "token").select("query_id", "id").distinct()
-    return pairs.join(queries, "query_id").join(candidates, "id")
+    steps = Steps(queries.sparkSession)
+    q, c = prepared_queries(queries), steps.keep(prepared_candidates(candidates).withColumn("_row", F.monotonically_increasing_id()))
+    postings = c.select("_row", F.explode(F.array_distinct(tokens(F.col("_t")))).alias("word"))
+    hot = postings.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("word", F.ceil(F.col("n") / hot_rows).cast("int").alias("deals"))
+    asks = query_words(q, c).select("query_id", "word").distinct().join(hot, "word", "left")
+    asks = asks.select("query_id", "word", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+    dealt = postings.join(hot, "word", "left").select("_row", "word", F.pmod(F.xxhash64("_row"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    pairs = asks.join(dealt, ["word", "deal"]).select("query_id", "_row").unionByName(isbn_pairs(q, c)).distinct()
+    return pairs.join(q, "query_id").join(c, "_row").drop("_row")
 
 
 def ranked(scored: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -9,6 +9,7 @@ from quillspark.functions import validity as V
 from quillspark.operators import annotations as A
 from quillspark.operators import search as S
 from quillspark.operators import status as O
+from quillspark.operators.top_candidates import top_candidates
 from quillspark.plans.registry import query
 from quillspark.sources import model as M
 from quillspark.sources.model import with_model
@@ -33,8 +34,8 @@ def queries_in(spark: SparkSession, d: str) -> DataFrame:
 
 _C = f"""WITH c AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, '978-' || p_partkey AS isbn, lower(p_type) AS language, {_FORMATS}[p_size % 4 + 1] AS format, CAST(p_retailprice * 1000 AS BIGINT) AS filesize, p_size % 3 AS source FROM part),
 q AS (SELECT min(p_partkey) AS query_id, p_name AS q_title, CASE WHEN min(p_partkey) % 2 = 0 THEN '978' || min(p_partkey) END AS q_isbn FROM part GROUP BY p_name),
-qt AS (SELECT query_id, unnest(string_split(q_title, ' ')) AS t FROM q), ct AS (SELECT id, unnest(string_split(title, ' ')) AS t FROM c),
-pairs AS (SELECT DISTINCT query_id, id FROM qt JOIN ct USING (t) WHERE length(t) > 1 UNION SELECT query_id, id FROM q JOIN c ON q.q_isbn = c.isbn),
+qt AS (SELECT query_id, unnest(string_split(q_title, ' ')) AS t FROM q),
+pairs AS (SELECT DISTINCT query_id, id FROM qt JOIN c ON contains(title, t) WHERE length(t) > 1 UNION SELECT query_id, id FROM q JOIN c ON q.q_isbn = replace(c.isbn, '-', '')),
 scored AS (SELECT query_id, id, title, source, CASE WHEN q_isbn = replace(isbn, '-', '') THEN 1000 ELSE 0 END + CASE WHEN title = q_title THEN 180 ELSE 0 END
   + 18 * len(list_filter(string_split(q_title, ' '), lambda w: length(w) > 1 AND contains(title, w))) + 12 * CASE WHEN contains(lower(author), 'brand') THEN 1 ELSE 0 END
   + CASE WHEN language IN ('economy', 'standard') THEN 25 ELSE 0 END + CASE format WHEN 'pdf' THEN 40 WHEN 'epub' THEN 35 ELSE 0 END + CASE WHEN filesize > 10000 AND filesize < 104857600 THEN 10 ELSE 0 END AS score
@@ -54,14 +55,14 @@ def jn8(spark, d):
 
 @query("TK1_ranked", _C + _RANKED.format("scored"))
 def tk1(spark, d):
-    return S.ranked(scored(spark, d)).select("query_id", "id", "title", "score", "rank")
+    return top_candidates(queries_in(spark, d), candidates(spark, d)).select("query_id", "id", "title", "score", "rank")
 
 
 @query("SO1_UD1_all_sources", _C + _RANKED.format("(SELECT * FROM scored WHERE source IN (0, 2))"))
 def so1(spark, d):
     c = candidates(spark, d)
     parts = {f"s{i}": c.where(F.col("source") == i) for i in range(3)}
-    return S.ranked(S.score(S.blocked_pairs(queries_in(spark, d), S.all_sources(parts, ["s0", "s2"])))).select("query_id", "id", "title", "score", "rank")
+    return top_candidates(queries_in(spark, d), S.all_sources(parts, ["s0", "s2"])).select("query_id", "id", "title", "score", "rank")
 
 
 @query("F14_normalized", """SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(lower(text))), '[^a-z0-9]+', ' ', 'g'))) AS normal_md5 FROM documents""")

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import annotations, packing, pages, search, status
+from quillspark.operators import annotations, packing, pages, status
 from quillspark.sources import sinks
 from quillspark.streaming import keyed
 
@@ -161,14 +161,6 @@ def test_keys_by_name_and_by_column(spark):
     assert got == {"books/1/x": "u", "books/2/x": None, "cov": "u", "file": "u", "ch": "u", "seg": "u", "none": None}
 
 
-def test_common_words_join_only_queries_without_a_rarer_one(spark):
-    c = spark.createDataFrame([(i, f"the w{i}", None, ["a"], None, "en", "epub", 5) for i in range(30)], "id int, title string, subtitle string, authors array<string>, isbn string, language string, format string, filesize long")
-    q = spark.createDataFrame([(1, "The w7"), (2, "The")], "query_id int, q_title string").selectExpr("*", "'' AS q_author", "cast(null AS string) AS q_isbn", "array('en') AS q_languages", "array('epub') AS q_formats")
-    got = search.blocked_pairs(q, c, common=10).groupBy("query_id").count().collect()
-    assert {r.query_id: r["count"] for r in got} == {1: 1, 2: 30}
-    assert search.blocked_pairs(q, c).where("query_id = 1").count() == 30
-
-
 def test_forced_events_pass_a_throttle_without_a_mark(spark):
     df = spark.createDataFrame([(i, "k", t, f) for i, (t, f) in enumerate([(0, False), (5, True), (9, False), (10, False), (12, True), (19, False), (20, False)])], "event_id long, k string, s long, f boolean").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(r.event_id for r in keyed.throttled(df, "k", 10, F.col("f")).collect()) == [0, 1, 3, 4, 6]

@@ -1,4 +1,4 @@
-"""Text functions: cleaning, dialogue, word counts, sentences, line and heading classes. White space is Unicode's."""
+"""Text functions: cleaning, dialogue, word counts, sentences, line and heading classes."""
 
 from __future__ import annotations
 
@@ -41,12 +41,14 @@ TOC_LINES = [
 ]
 PAGE_NUMBER = r"^\d{1,4}$"
 PAGE_TAIL = r"^[.…·•\-\s]*\d{1,4}\s*$"
-SPACES = r"(?U)\s+"
-SENTENCE_GAP = r"(?<=[.!?])(?<!(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)(?U:\s)+(?=[" + OPENERS + "])"  # the cheap test stands first
+#: White space: Unicode's spaces and line ends, and the byte order mark, but not U+0085. Fixed values.
+SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = SPACE + "+"
+SENTENCE_GAP = r"(?<=[.!?])(?<!(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)" + SPACES + "(?=[" + OPENERS + "])"  # the cheap test stands first
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^(?U:\s)+|(?U:\s)+$", "")
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
 
 
 def clean_text(text: Column) -> Column:
@@ -74,7 +76,7 @@ def sentences(text: Column) -> Column:
 def is_scene_break(text: Column) -> Column:
     """three or more stars, or --- or ___."""
     t = trimmed(text)
-    return t.rlike(r"^(\*\s*){3,}$") | t.isin("---", "___")
+    return t.rlike(r"^(\*" + SPACE + "*){3,}$") | t.isin("---", "___")
 
 
 def is_toc_line(text: Column) -> Column:

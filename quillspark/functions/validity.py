@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import trimmed
+
 #: Patterns of identifiers. Fixed values.
 UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -26,7 +28,7 @@ def is_email(c: Column) -> Column:
 
 def bounded(c: Column, most: int) -> Column:
     """A text of at most ``most`` characters that isn't blank."""
-    return (F.length(c) <= most) & (F.trim(c) != "")
+    return (F.length(c) <= most) & (trimmed(c) != "")
 
 
 def is_position(ms: Column) -> Column:
@@ -73,7 +75,7 @@ def url_problem(url: Column, allowed: list[str]) -> Column:
 
 def client_ip(forwarded: Column, connection: Column, trusted_hops: int = 1) -> Column:
     """PF10: the n-th hop from the right; a shorter chain isn't trusted."""
-    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda h: F.trim(h)), lambda h: h != "")
+    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), trimmed), lambda h: h != "")
     return F.when(F.size(hops) >= trusted_hops, F.try_element_at(hops, F.lit(-trusted_hops))).otherwise(connection)
 
 
@@ -84,7 +86,7 @@ def is_older(ts: Column, as_of: Column, seconds: int) -> Column:
 
 def first_text(*keys: Column) -> Column:
     """PF12: the first that isn't blank, trimmed; else empty."""
-    return F.coalesce(*[F.nullif(F.trim(k), F.lit("")) for k in keys], F.lit(""))
+    return F.coalesce(*[F.nullif(trimmed(k), F.lit("")) for k in keys], F.lit(""))
 
 
 def first_number(*keys: Column) -> Column:
@@ -96,5 +98,5 @@ def first_number(*keys: Column) -> Column:
 def listed(json: Column, item: str) -> Column:
     """PF12: an array of ``item`` from a bare JSON list or one under ``torrents`` or ``results``."""
     wrapped = F.from_json(json, f"torrents array<{item}>, results array<{item}>")
-    bare = F.when(F.trim(json).startswith("["), F.from_json(json, f"array<{item}>"))
+    bare = F.when(trimmed(json).startswith("["), F.from_json(json, f"array<{item}>"))
     return F.coalesce(bare, wrapped["torrents"], wrapped["results"])

@@ -18,6 +18,11 @@ from quillspark.functions import text as T
 
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 SILENT = {"script", "style", "svg"}
+#: Tags that end an open paragraph. Fixed values.
+ENDS_PARAGRAPH = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "main menu nav ol p pre search section summary table ul"
+).split()
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Words of a book, words of a chapter, share of the pages behind which back matter may begin. Fixed values, as are the bounds in the page tests.
 LEAST_WORDS, LEAST_PROSE, LATE = 500, 50, 0.6
@@ -41,19 +46,18 @@ class _Reader(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag in SILENT:
             self.quiet += 1
+        if tag in ENDS_PARAGRAPH and self.open and self.open[-1]["tag"] == "p":  # an element left open in a paragraph holds what follows
+            self.handle_endtag("p")
         if tag in VOID:
             return
         if tag == "body":
             self.page_type = a.get("epub:type", "")
-        if tag in BLOCK_TAGS and self.open and self.open[-1]["tag"] == "p":
-            self.handle_endtag("p")
         classes, kinds = a.get("class", ""), a.get("epub:type", "")
-        names = f"{classes} {kinds}"
         item = {"tag": tag, "classes": classes, "kinds": kinds, "id": a.get("id", ""), "text": [], "link": tag == "a", "gone": False, "place": len(self.found)}
         item["skip"] = kinds == "pagebreak" or not {"pagebreak", "page"}.isdisjoint(classes.split())
-        item["contents"] = tag == "nav" or "toc" in names.split() or item["id"] in ("toc", "contents")
+        item["contents"] = tag != "body" and (tag == "nav" or kinds == "toc" or "toc" in classes.split() or item["id"] in ("toc", "contents"))
         item["in_list"] = tag == "li" and any(x["tag"] in ("ol", "ul") for x in self.open[-1:])
-        item["in_contents"] = any(x["contents"] for x in self.open)
+        item["within"] = [x["place"] for x in self.open if x["contents"]]
         self.open.append(item)
         self.found.append(item)
 
@@ -92,7 +96,8 @@ def read_page(html: str) -> tuple:
     blocks = [{"tag": x["tag"], "classes": x["classes"], "kinds": x["kinds"], "text": whole[id(x)]} for x in found if x["tag"] in BLOCK_TAGS]
     headings = [whole[id(x)].strip() for x in found if x["tag"] in ("h1", "h2", "h3")]
     titled = [whole[id(x)].strip() for x in found if x["tag"] in ("p", "div", "span") and re.search("title|head", x["classes"], re.I)]
-    links = [whole[id(x)] for x in found if x["tag"] == "a" and x["in_contents"]]
+    first = next((x["place"] for x in found if x["contents"]), None)  # of several contents lists only the first counts
+    links = [whole[id(x)] for x in found if x["tag"] == "a" and first in x["within"]]
     items = [whole[id(x)] for x in found if x["in_list"]]
     return blocks, headings, titled, r.page_type or "", links, items
 

@@ -173,16 +173,30 @@ def all_sources(sources: dict[str, DataFrame], enabled: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def gated_pairs(queries: DataFrame, releases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """queries (query_id, q_title, q_author) with the releases (id, name) that name the rarest token of the title, as the gate asks for all
+    of them; or any token of the author, where the title has none. A token of more than ``hot_rows`` releases is dealt to several groups of the join."""
+    title, author = name_tokens(F.col("q_title")), name_tokens(F.col("q_author"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(F.when(F.size(title) > 0, title).otherwise(author))).alias("token"), (F.size(title) > 0).alias("all"))
+    named = releases.select("id", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token"))
+    often = named.groupBy("token").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / hot_rows).cast("int"))
+    rarest = Window.partitionBy("query_id").orderBy(F.col("n").asc_nulls_first(), "token")
+    asks = wanted.join(often, "token", "left").withColumn("place", F.row_number().over(rarest)).where((F.col("place") == 1) | ~F.col("all"))
+    asks = asks.where("n IS NOT NULL").select("query_id", "token", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    dealt = named.join(often.where("deals > 1"), "token", "left").select("id", "token", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    return asks.join(dealt, ["token", "deal"]).select("query_id", "id").distinct().join(queries, "query_id").join(releases, "id")
+
+
 # The numbers in the release score and its gate are fixed values.
 def release_score(pairs: DataFrame) -> DataFrame:
     """(q_title, q_author) against releases (name, hash, size, seeds): ``score``, and ``fits`` for the gate."""
     p = pairs.withColumns({"_n": F.lower("name"), "_nt": name_tokens(F.col("name")), "_tt": name_tokens(F.col("q_title")), "_at": name_tokens(F.col("q_author"))})
-    n, size = F.col("_n"), F.col("size")
+    n, size = F.col("_n"), F.coalesce("size", F.lit(0))  # unknown sizes and seeds count as none
     epub = n.rlike(r"\bepub\b")
     total = (
         F.when(epub, 50).otherwise(0) - F.when(n.rlike(r"\.pdf\b"), 20).otherwise(0) - F.when(n.rlike(r"\.mobi\b|\.azw"), 5).otherwise(0)
         - F.when(n.rlike(r"\baudiobook\b|\bmp3\b|\bm4b\b"), 40).otherwise(0)
-        + 8 * _count_inside(F.col("_tt"), n) + 4 * _count_inside(F.col("_at"), n) + F.least("seeds", F.lit(50))
+        + 8 * _count_inside(F.col("_tt"), n) + 4 * _count_inside(F.col("_at"), n) + F.least(F.coalesce("seeds", F.lit(0)), F.lit(50))
         + F.when((size > 0) & (size < 20 * MIB), 10).otherwise(0) - F.when(size > 50 * MIB, 10).otherwise(0)
     )
     named = F.when(F.size("_tt") > 0, F.forall("_tt", lambda t: F.array_contains("_nt", t))).otherwise(F.exists("_at", lambda t: F.array_contains("_nt", t)))
@@ -192,7 +206,7 @@ def release_score(pairs: DataFrame) -> DataFrame:
 
 def best_release(scored: DataFrame, *keys: str) -> DataFrame:
     """TK2: of each key's fitting releases the best by score, then seeds, then id."""
-    by = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("seeds"), "id")
+    by = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc(F.coalesce("seeds", F.lit(0))), "id")
     return scored.where("fits").withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
 
 

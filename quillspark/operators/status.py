@@ -131,7 +131,7 @@ def chapter_playable(counted: DataFrame) -> DataFrame:
 
 def valid_sessions(sessions: DataFrame, users: DataFrame, as_of: Column, max_days: int = 7) -> DataFrame:
     """JN3: sessions (user_id, created_at, expires_at) that hold at ``as_of`` and are young enough, of users that aren't disabled."""
-    holds = (F.col("created_at") <= as_of) & (F.col("expires_at") > as_of) & (F.col("created_at") > as_of - F.make_interval(days=F.lit(max_days)))
+    holds = (F.col("created_at") <= as_of) & (F.col("expires_at") > as_of) & (F.col("created_at") >= as_of - F.make_interval(days=F.lit(max_days)))
     return sessions.where(holds).join(users.where(~F.col("disabled")).select("user_id"), "user_id")
 
 
@@ -150,13 +150,14 @@ def storage_keys(books: DataFrame, chapters: DataFrame, segments: DataFrame) ->
 def key_owners(keys: DataFrame, books: DataFrame, chapters: DataFrame, segments: DataFrame, pattern: str) -> DataFrame:
     """JN4: ``keys`` with ``owner``, the user of the book that a key names by ``pattern``, or else that holds it in one of four columns.
 
-    A key under the pattern whose book is unknown has no owner, whatever the columns hold.
+    A key has a row for each user who holds it, and one without an owner if none does. A key under the pattern whose book is
+    unknown has no owner, whatever the columns hold.
     """
     named = keys.withColumn("book", F.regexp_extract("key", pattern, 1))
     users = books.select(F.col("book_id").cast("string").alias("book"), F.col("user_id").alias("owner"))
     direct = named.where("book <> ''").join(users, "book", "left").select(*keys.columns, "owner")
     other = named.where("book = ''").drop("book")
-    held = stored_keys(books, chapters, segments).join(books.select("book_id", F.col("user_id").alias("owner")), "book_id").groupBy("key").agg(F.min("owner").alias("owner"))
+    held = stored_keys(books, chapters, segments).join(books.select("book_id", F.col("user_id").alias("owner")), "book_id").select("key", "owner").distinct()
     return direct.unionByName(other.join(held, "key", "left").select(*keys.columns, "owner"))
 
 

@@ -95,20 +95,16 @@ def releases(spark: SparkSession, d: str) -> DataFrame:
     p = M.table(spark, d, "part")
     tail = F.element_at(F.lit([" epub", ".pdf", " audiobook mp3 epub", ".mobi epub"]), (F.col("p_size") % 4 + 1))
     return p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), "p_brand", tail).alias("name"), F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("hash"),
-                    (F.col("p_retailprice") * 40000).cast("long").alias("size"), F.col("p_size").alias("seeds"), (F.col("p_size") % 3).alias("source_rank"))
+                    F.when(F.col("p_partkey") % 13 != 7, (F.col("p_retailprice") * 40000).cast("long")).alias("size"), F.when(F.col("p_partkey") % 11 != 5, F.col("p_size")).alias("seeds"), (F.col("p_size") % 3).alias("source_rank"))
 
 
 def release_pairs(spark, d):
-    """Releases paired with the queries whose first title token they name, as the gate asks for all of them; or any author token, where the title has none."""
-    title, author = S.name_tokens(F.col("q_title")), F.array_distinct(S.name_tokens(F.col("q_author")))
+    """Releases scored against queries, some of whose titles have no token of their own."""
     q = queries_in(spark, d).select("query_id", F.when(F.col("query_id") % 9 == 4, "of it").otherwise(F.col("q_title")).alias("q_title"), "q_author")
-    q = q.withColumn("token", F.explode(F.when(F.size(title) > 0, F.slice(title, 1, 1)).otherwise(author)))
-    r = releases(spark, d).withColumn("token", F.explode(F.array_distinct(S.name_tokens(F.col("name")))))
-    pairs = q.join(r, "token").drop("token").dropDuplicates(["query_id", "id"])
-    return S.release_score(pairs)
+    return S.release_score(S.gated_pairs(q, releases(spark, d)))
 
 
-_R = """WITH r AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || [' epub', '.pdf', ' audiobook mp3 epub', '.mobi epub'][p_size % 4 + 1] AS name, CAST(p_retailprice * 40000 AS BIGINT) AS size, p_size AS seeds, p_size % 3 AS source_rank FROM part),
+_R = """WITH r AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || [' epub', '.pdf', ' audiobook mp3 epub', '.mobi epub'][p_size % 4 + 1] AS name, CASE WHEN p_partkey % 13 <> 7 THEN CAST(p_retailprice * 40000 AS BIGINT) ELSE 0 END AS size, CASE WHEN p_partkey % 11 <> 5 THEN p_size ELSE 0 END AS seeds, p_size % 3 AS source_rank FROM part),
 q AS (SELECT min(p_partkey) AS query_id, CASE WHEN min(p_partkey) % 9 = 4 THEN 'of it' ELSE p_name END AS q_title FROM part GROUP BY p_name),
 tok AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')) AS nt FROM r),
 qtok AS (SELECT *, list_filter(string_split(q_title, ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')) AS tt FROM q),
@@ -192,7 +188,7 @@ def jn9(spark, d):
 AS_OF = "2024-01-20 00:00:00"
 
 
-@query("JN3_valid_sessions", f"""SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal >= 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts + to_hours(CAST(floor(value) AS BIGINT)) > TIMESTAMP '{AS_OF}' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
+@query("JN3_valid_sessions", f"""SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal >= 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts + to_hours(CAST(floor(value) AS BIGINT)) > TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
 def jn3(spark, d):
     e = M.table(spark, d, "events")
     sessions = e.select("event_id", "user_id", F.col("ts").alias("created_at"), (F.col("ts") + F.make_interval(hours=F.floor("value").cast("int"))).alias("expires_at"))
@@ -204,7 +200,7 @@ def jn3(spark, d):
 s AS (SELECT chapter_id, 'part-' || chapter_id || '-' || segment_index AS audio_key, segment_index FROM segments),
 stored AS (SELECT cover_key AS key, user_id FROM b UNION ALL SELECT file_key, user_id FROM b UNION ALL SELECT audio_key, user_id FROM c JOIN b USING (book_id) UNION ALL SELECT s.audio_key, user_id FROM s JOIN c USING (chapter_id) JOIN b USING (book_id)),
 k AS (SELECT CASE chapter_id % 5 WHEN 0 THEN 'books/' || book_id || '/x' WHEN 1 THEN 'cover-' || book_id WHEN 2 THEN 'file-' || book_id WHEN 3 THEN 'audio-' || chapter_id ELSE 'books/0/' || chapter_id END AS key FROM chapters UNION ALL SELECT audio_key FROM s WHERE segment_index = 2),
-o AS (SELECT key, min(user_id) AS owner FROM stored GROUP BY key)
+o AS (SELECT DISTINCT key, user_id AS owner FROM stored)
 SELECT k.key, CASE WHEN regexp_matches(k.key, '^books/') THEN b.user_id ELSE o.owner END AS owner FROM k LEFT JOIN o USING (key) LEFT JOIN b ON regexp_extract(k.key, '^books/([0-9]+)/', 1) = CAST(b.book_id AS VARCHAR)""")
 def jn4(spark, d):
     text = lambda p, *c: F.concat_ws("-", F.lit(p), *[F.col(x).cast("string") for x in c])

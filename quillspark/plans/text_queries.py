@@ -76,10 +76,15 @@ def f12(spark, d):
     return M.pages(spark, d).select("page_id", text.is_matter_path(F.col("path")).alias("matter"))
 
 
-@query("F13_heading_classes", f"""WITH {LINES} SELECT * FROM (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '(?i){_q(text.FRONT_HEADINGS)}') THEN 'front' WHEN regexp_matches(line, '(?i){_q(text.BACK_HEADINGS)}') THEN 'back'
+#: What is put before lines, by their position, so that they are headings of all classes.
+_HEADS = ["Chapter One ", "", "Contents ", "  prologue: ", "Notes ", "About the author ", "chapters ", "INDEX "]
+
+
+@query("F13_heading_classes", f"""WITH {LINES.replace("parts[i] AS line", f"{_HEADS}[(i - 1) % 8 + 1] || parts[i] AS line")} SELECT * FROM (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '(?i){_q(text.FRONT_HEADINGS)}') THEN 'front' WHEN regexp_matches(line, '(?i){_q(text.BACK_HEADINGS)}') THEN 'back'
 WHEN regexp_matches(line, '(?i){text.START_HEADINGS}') THEN 'start' END AS heading_class FROM lines) WHERE heading_class IS NOT NULL""")
 def f13(spark, d):
-    return lines(spark, d).select("doc_id", "pos", text.heading_class(F.col("line")).alias("heading_class")).where("heading_class IS NOT NULL")
+    headed = F.concat(F.element_at(F.lit(_HEADS), (F.col("pos") % 8 + 1).cast("int")), "line")
+    return lines(spark, d).select("doc_id", "pos", text.heading_class(headed).alias("heading_class")).where("heading_class IS NOT NULL")
 
 
 @query("F23_durations", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN ms < 0 THEN '--:--' ELSE (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS short,

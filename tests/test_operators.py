@@ -146,6 +146,31 @@ def test_reading_order_drops_pages_out_of_line(spark):
     assert sorted((r.spine_index, r.path) for r in sinks.reading_order(df).collect()) == [(1, "b"), (2, "c")]
 
 
+def test_block_tags_end_a_paragraph():
+    texts = lambda body: [b["text"] for b in read(body)[0]]
+    assert texts("<p>three<div>four</div><p>five") == ["three", "five"]
+    assert texts("<p>a<ul><li>b</li></ul><p>c<section>d</section>") == ["a", "c"]
+    assert texts("<p>a<span>b<p>c") == ["abc", "c"]  # the open span holds the rest
+
+
+def test_only_the_first_contents_list_counts(spark):
+    links = lambda n: "".join(f"<a href='#'>x{i}</a>" for i in range(n))
+    bodies = [
+        f"<nav>{links(4)}</nav><nav>{links(4)}</nav>", f"<nav>{links(2)}</nav><p>{PROSE}</p><div class='a toc'>{links(9)}</div>", f"<div class='a toc'>{links(8)}</div>",
+        f"<div epub:type='toc x'>{links(9)}</div>", f"<div epub:type='toc'>{links(9)}</div>", f"<div class='page'><nav>{links(2)}</nav></div><nav>{links(9)}</nav>",
+    ]
+    df = spark.createDataFrame([page("b", i, "c.xhtml", b) for i, b in enumerate(bodies)], "book_id string, spine_index int, path string, html string")
+    assert {r.spine_index: r.link_list for r in pages.page_facts(df).collect()} == {0: False, 1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_sessions_of_exactly_the_greatest_age_hold(spark):
+    rows = spark.createDataFrame([(1, "u", 7 * 86_400), (2, "u", 7 * 86_400 + 1), (3, "v", 5)], "i int, user_id string, age int")
+    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    sessions = rows.select("i", "user_id", (as_of - F.make_interval(secs="age")).alias("created_at"), (as_of + F.make_interval(days=F.lit(1))).alias("expires_at"))
+    users = spark.createDataFrame([("u", False), ("v", True)], "user_id string, disabled boolean")
+    assert [r.i for r in status.valid_sessions(sessions, users, as_of).collect()] == [1]
+
+
 def test_submission_kinds(spark):
     books = spark.createDataFrame([(1, "u", "h1", "ready", None), (2, "u", "h2", "failed", "k"), (3, "u", "h3", "failed", None), (4, "v", "h4", "ready", "k")], "book_id int, user_id string, source_hash string, status string, file_key string")
     new = spark.createDataFrame([("u", "h1"), ("u", "h2"), ("u", "h3"), ("u", "h4")], "user_id string, source_hash string")
@@ -157,6 +182,8 @@ def test_keys_by_name_and_by_column(spark):
     chapters = spark.createDataFrame([(5, 1, "ch")], "chapter_id int, book_id int, audio_key string")
     segments = spark.createDataFrame([(5, "seg"), (5, None)], "chapter_id int, audio_key string")
     keys = spark.createDataFrame([(k,) for k in ("books/1/x", "books/2/x", "cov", "file", "ch", "seg", "none")], "key string")
+    two = books.union(spark.createDataFrame([(2, "w", "cov", None), (3, "u", "cov", None)], books.schema))
+    assert sorted((r.key, r.owner) for r in status.key_owners(keys.where("key = 'cov'"), two, chapters, segments, "^books/([0-9]+)/").collect()) == [("cov", "u"), ("cov", "w")]
     got = {r.key: r.owner for r in status.key_owners(keys, books, chapters, segments, "^books/([0-9]+)/").collect()}
     assert got == {"books/1/x": "u", "books/2/x": None, "cov": "u", "file": "u", "ch": "u", "seg": "u", "none": None}
 

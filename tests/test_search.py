@@ -115,3 +115,22 @@ def test_nothing_to_search(spark):
     q, c = frames(spark, [], catalogue(5, 5))
     assert top_candidates(q, c).count() == 0
     assert {r.title for r in spark.createDataFrame(catalogue(3, 5), CANDIDATE).select("title").where(F.col("title") == "").collect()} == {""}
+
+
+def test_unknown_seeds_and_sizes_of_releases_count_as_none(spark):
+    h = "a" * 32
+    r = spark.createDataFrame([(1, "dune herbert epub", h, None, None), (2, "dune herbert epub", h, 5 << 20, 0), (3, "dune herbert epub", h, 5 << 20, 49), (4, "dune herbert epub", h, 300 << 20, 49), (5, "dune pdf", h, 5, 5)], "id int, name string, hash string, size long, seeds int")
+    q = spark.createDataFrame([(1, "Dune", "Herbert")], "query_id int, q_title string, q_author string")
+    got = search.release_score(search.gated_pairs(q, r))
+    assert {x.id: (x.score, x.fits) for x in got.collect()} == {1: (62, True), 2: (72, True), 3: (121, True), 4: (101, False), 5: (23, False)}
+    assert [x.id for x in search.best_release(got, "query_id").collect()] == [3]
+    assert [x.id for x in search.best_release(got.where("id < 3"), "query_id").collect()] == [2]
+
+
+def test_releases_meet_the_queries_whose_rarest_token_they_name(spark):
+    names = [(i, f"the {w} hound") for i, w in enumerate(["red", "blue", "red blue", "green"] * 10)]
+    r = spark.createDataFrame(names, "id int, name string")
+    q = spark.createDataFrame([(1, "Red Hound", "x"), (2, "of it", "Green Blue"), (3, "red missing", "x"), (4, None, None)], "query_id int, q_title string, q_author string")
+    for hot_rows in (50_000, 3):
+        got = sorted((x.query_id, x.id) for x in search.gated_pairs(q, r, hot_rows).collect())
+        assert got == sorted([(1, i) for i, n in names if "red" in n] + [(2, i) for i, n in names if "green" in n or "blue" in n])

@@ -85,3 +85,20 @@ def test_release_gate_needs_every_title_token(spark):
     names = ["Lord of the Mysteries epub", "Think Like a Lord epub", "Lord of the Mysteries.pdf"]
     rows = spark.createDataFrame([(i, "Lord of the Mysteries", "Cuttlefish", n, "a" * 32, 1000, 5) for i, n in enumerate(names)], "id int, q_title string, q_author string, name string, hash string, size long, seeds int")
     assert [r.fits for r in search.release_score(rows).orderBy("id").collect()] == [True, False, False]
+
+
+def test_white_space_is_that_of_the_rules(spark):
+    """The byte order mark, tabs and no-break spaces are white space, U+0085 isn't."""
+    rows = spark.createDataFrame([("\ufeff",), ("\ufeff***",), ("a\u00a0b\ufeff\tc",), ("\x85",)], "t string")
+    t = F.col("t")
+    got = rows.select(text.clean_text(t).alias("c"), text.count_words(t).alias("n"), text.is_scene_break(t).alias("b"), validity.bounded(t, 9).alias("ok")).collect()
+    assert [tuple(r) for r in got] == [("", 0, False, False), ("***", 1, True, True), ("a b c", 3, False, True), ("\x85", 1, False, True)]
+    chain = spark.createDataFrame([("a,\t b\u00a0",)], "c string")
+    assert chain.select(validity.client_ip(F.col("c"), F.lit("x"), 1)).first()[0] == "b"
+    assert chain.select(validity.first_text(F.lit("\t\u00a0"), F.lit("\tv "))).first()[0] == "v"
+
+
+def test_heading_classes(spark):
+    heads = ["Contents", "  prologue one", "Chapter 2", "NOTES", "Glossary", "A note on the text", "chapters", "Sample", "", None, "About the author"]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in heads], "h string").select(text.heading_class(F.col("h"))).collect()]
+    assert got == ["front", "start", "start", "back", "back", "front", None, "front", None, None, "front"]

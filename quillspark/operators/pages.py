@@ -1,7 +1,7 @@
 """Pages of a book structured into chapters.
 
 Only reading one page's HTML is Python (F1, F2); what is decided over a page's blocks is array functions on its row,
-and what is decided over a book's pages is windows by book, after the html is gone.
+and what is decided along a book's pages runs on numbers and flags, in parts of a book.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import scan
+from quillspark.sources.shared import Steps
 
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 SILENT = {"script", "style", "svg"}
@@ -189,23 +191,33 @@ def page_facts(pages: DataFrame, title: str | None = None) -> DataFrame:
     return p.withColumns({"words": F.aggregate("blocks", F.lit(0), lambda a, b: a + b["words"]), "front_body": is_front_matter()})
 
 
-def chapters(pages: DataFrame, title: str | None = None) -> DataFrame:
-    """WN1 to WN3, AG4: (book_id, chapter_index, title, path, words, blocks) of the pages that are chapters; books of under 500 words have none."""
-    p = page_facts(pages, title)
-    order = Window.partitionBy("book_id").orderBy("spine_index")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("fraction", F.row_number().over(order) / F.count("*").over(Window.partitionBy("book_id")))
-    counted = ~(F.col("matter_path") | F.col("front_heading") | F.col("landmark") | F.col("link_list") | F.col("toc_page")) & (F.size("blocks") > 0)
-    p = p.withColumn("counted", counted).withColumn("words_before", F.coalesce(F.sum(F.when(F.col("counted"), F.col("words")).otherwise(0)).over(before), F.lit(0)))
-    ends = ~F.col("matter_path") & F.col("heading").rlike("(?i)" + T.BACK_HEADINGS) & (F.col("fraction") >= LATE) & (F.col("words_before") >= LEAST_WORDS)
-    p = p.withColumn("over", F.max(F.coalesce(ends, F.lit(False))).over(so_far))
+def chapters(pages: DataFrame, title: str | None = None, width: int = scan.WIDTH) -> DataFrame:
+    """WN1 to WN3, AG4: (book_id, chapter_index, title, path, words, blocks) of the pages that are chapters; books of under 500 words have none.
+
+    ``spine_index`` is a whole number, unique in its book. Pages are read once and written with their blocks; what is decided along a
+    book runs on numbers and flags, in parts of ``width`` pages, and the blocks are joined to what is left, by page.
+    """
+    steps = Steps(pages.sparkSession)
+    read = steps.keep(page_facts(pages, title).withColumn("_page", F.monotonically_increasing_id()))
+    p = read.withColumn("n_blocks", F.size("blocks")).drop("blocks")
+    counted = ~(F.col("matter_path") | F.col("front_heading") | F.col("landmark") | F.col("link_list") | F.col("toc_page")) & (F.col("n_blocks") > 0)
+    p = p.withColumn("counted", counted)
+    one = F.lit(1)
+    p = scan.running(p, "book_id", "spine_index", width, place=scan.total(one), pages=scan.whole(one), words_before=scan.before(F.when(F.col("counted"), F.col("words")).otherwise(0)))
+    ends = ~F.col("matter_path") & F.col("heading").rlike("(?i)" + T.BACK_HEADINGS) & (F.col("place") / F.col("pages") >= LATE) & (F.col("words_before") >= LEAST_WORDS)
     starts = F.col("heading").rlike("(?i)" + T.START_HEADINGS) | F.col("path").rlike("(?i)" + T.START_PATHS) | ((F.col("words") >= 400) & ~F.col("front_body"))
-    p = p.where(F.col("counted") & ~F.col("over") & (F.col("words") > LEAST_PROSE)).withColumn("starts", starts)
-    p = p.withColumn("begun", F.max("starts").over(so_far)).where("begun")
-    p = p.withColumn("book_words", F.sum("words").over(Window.partitionBy("book_id"))).where(F.col("book_words") >= LEAST_WORDS)
-    number = F.row_number().over(order)
+    p = steps.keep(p.withColumns({"ends": F.coalesce(ends, F.lit(False)), "starts": F.coalesce(starts, F.lit(False))}))
+
+    # what is latched along a book holds from its first page on: the least index of a book, which combines before the shuffle
+    over = p.where("ends").groupBy("book_id").agg(F.min("spine_index").alias("over"))
+    long = p.join(over, "book_id", "left").where(F.col("counted") & (F.col("over").isNull() | (F.col("spine_index") < F.col("over"))) & (F.col("words") > LEAST_PROSE))
+    begun = long.where("starts").groupBy("book_id").agg(F.min("spine_index").alias("begun"))
+    told = steps.keep(long.join(begun, "book_id").where(F.col("spine_index") >= F.col("begun")))
+    enough = told.groupBy("book_id").agg(F.sum("words").alias("book_words")).where(F.col("book_words") >= LEAST_WORDS).select("book_id")
+    told = scan.running(told.join(enough, "book_id", "left_semi"), "book_id", "spine_index", width, number=scan.total(one))
+    number = F.col("number").cast("int")
     name = F.when((F.col("heading") != "") & ~F.col("front_heading"), F.col("heading")).otherwise(F.concat(F.lit("Chapter "), number.cast("string")))
     if title:
         name = F.when(F.lower("heading") == F.lower(title), F.concat(F.lit("Chapter "), number.cast("string"))).otherwise(name)
-    return p.select("book_id", number.alias("chapter_index"), name.alias("title"), "path", "words", "blocks")
+    kept = told.select("_page", number.alias("chapter_index"), name.alias("_title"))
+    return read.join(kept, "_page").select("book_id", "chapter_index", F.col("_title").alias("title"), "path", "words", "blocks")

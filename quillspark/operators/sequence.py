@@ -1,13 +1,17 @@
-"""Ordered-sequence operators: contexts, look-ahead, timelines, positions. All windows are bounded by chapter or book."""
+"""Ordered-sequence operators: contexts, look-ahead, timelines, positions. Sums along a chapter run in parts (``scan``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import scan
 from quillspark.operators.status import DEFAULT_SUMMARY, TERMINAL
 
+#: Gaps between segments. Fixed values.
 GAP_MS, SCENE_GAP_MS = 350, 700
+#: Groups that a book's segments are dealt to before its first few are taken.
+DEALS = 32
 
 
 def _chapter() -> Window:
@@ -27,12 +31,13 @@ def running_summary(segments: DataFrame) -> DataFrame:
 
 def lookahead(segments: DataFrame, chapters: DataFrame, anchors: DataFrame, k: int = 4) -> DataFrame:
     """WN7: of the first k open segments at or after each book's anchor (chapter_index, segment_index), the pending ones."""
-    s = segments.join(chapters.select("chapter_id", "book_id", "chapter_index"), "chapter_id")
-    a = anchors.select("book_id", F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s")).alias("anchor"))
+    c = chapters.select("chapter_id", "book_id", "chapter_index").withColumn("deal", F.pmod(F.xxhash64("chapter_id"), F.lit(DEALS)))
+    at = anchors.select("book_id", F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s")).alias("anchor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal"))
     here = F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s"))
-    s = s.join(a, "book_id").where((here >= F.col("anchor")) & ~F.col("status").isin(*TERMINAL))
-    s = s.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_index", "segment_index")))
-    return s.where((F.col("place") <= k) & (F.col("status") == "pending")).select("book_id", "chapter_id", "segment_index", "place")
+    s = segments.where(~F.col("status").isin(*TERMINAL)).select("chapter_id", "segment_index", "status").join(c.join(at, ["book_id", "deal"]), "chapter_id").where(here >= F.col("anchor"))
+    for by in (["book_id", "deal"], ["book_id"]):  # the first few of each deal, then of the book
+        s = s.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("chapter_index", "segment_index"))).where(F.col("place") <= k)
+    return s.where(F.col("status") == "pending").select("book_id", "chapter_id", "segment_index", "place")
 
 
 def chapter_lookahead(segments: DataFrame, chapters: DataFrame, listeners: DataFrame) -> DataFrame:
@@ -56,42 +61,35 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(by)).where("place = 1").drop("place")
 
 
-def timeline(segments: DataFrame) -> DataFrame:
+def timeline(segments: DataFrame, width: int = scan.WIDTH) -> DataFrame:
     """WN11: start of every voiced segment in its chapter's audio; a longer gap follows a scene break."""
-    by = _chapter()
-    before = F.lag("is_scene_break").over(by)
     v = segments.where((F.col("status") == "voiced") & F.col("duration_ms").isNotNull())
-    v = v.withColumn("gap_ms", F.when(before.isNull(), 0).when(before, SCENE_GAP_MS).otherwise(GAP_MS))
-    end = F.sum(F.col("gap_ms") + F.col("duration_ms")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(F.col("gap_ms") + F.col("duration_ms")).over(Window.partitionBy("chapter_id"))
-    return v.select("chapter_id", "segment_index", "gap_ms", (end - F.col("duration_ms")).alias("start_ms"), total.alias("chapter_ms"))
+    v = v.select("chapter_id", "segment_index", "duration_ms", F.when(F.col("is_scene_break"), SCENE_GAP_MS).when(~F.col("is_scene_break"), GAP_MS).otherwise(0).alias("then"))
+    step = F.col("duration_ms") + F.col("then")
+    v = scan.running(v, "chapter_id", "segment_index", width, gap_ms=scan.latest(F.col("then")), start_ms=scan.before(step), _all=scan.whole(step), _last=scan.final(F.col("then")))
+    return v.select("chapter_id", "segment_index", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "start_ms", (F.col("_all") - F.col("_last")).alias("chapter_ms"))
 
 
-def _placed(segments: DataFrame) -> DataFrame:
-    d = F.coalesce("duration_ms", F.lit(0))
-    by = _chapter()
-    return segments.select(
-        "chapter_id", "segment_index", d.alias("d"), (F.col("status") == "voiced").alias("ok"),
-        F.sum(d).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("end"), F.sum(d).over(Window.partitionBy("chapter_id")).alias("all"))
+def _placed(segments: DataFrame, width: int) -> DataFrame:
+    s = segments.select("chapter_id", "segment_index", F.coalesce("duration_ms", F.lit(0)).alias("d"), (F.col("status") == "voiced").alias("ok"))
+    return scan.running(s, "chapter_id", "segment_index", width, end=scan.total(F.col("d")), all=scan.whole(F.col("d")))
 
 
-def resume_at(segments: DataFrame, positions: DataFrame) -> DataFrame:
-    """WN12: the segment where each chapter's saved position resumes."""
-    s = _placed(segments).join(positions.select("chapter_id", "position_ms"), "chapter_id")
-    agg = s.groupBy("chapter_id", "position_ms").agg(
+def resume_at(segments: DataFrame, positions: DataFrame, width: int = scan.WIDTH) -> DataFrame:
+    """WN12: the segment where each chapter's saved position resumes: the first that plays at or behind the position, else the first that plays."""
+    s = _placed(segments, width).join(positions.select("chapter_id", "position_ms"), "chapter_id")
+    land = s.groupBy("chapter_id", "position_ms").agg(
         F.min(F.when((F.col("d") > 0) & (F.col("end") > F.col("position_ms")), F.col("segment_index"))).alias("hit"),
-        F.max("segment_index").alias("last"),
-        F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("segment_index")))).alias("playable"))
-    land = F.when(F.col("position_ms") <= 0, F.lit(0)).otherwise(F.coalesce("hit", "last"))
-    agg = agg.withColumn("land", land)
-    first = F.try_element_at("playable", F.lit(1))
-    nxt = F.try_element_at(F.filter("playable", lambda p: p >= F.col("land")), F.lit(1))
-    return agg.select("chapter_id", "position_ms", F.coalesce(nxt, first).alias("segment_index"))
+        F.max("segment_index").alias("last"), F.min(F.when(F.col("ok"), F.col("segment_index"))).alias("first"))
+    land = land.withColumn("land", F.when(F.col("position_ms") <= 0, F.lit(0)).otherwise(F.coalesce("hit", "last")))
+    plays = segments.where(F.col("status") == "voiced").select("chapter_id", F.col("segment_index").alias("plays")).join(land.select("chapter_id", "position_ms", "land"), "chapter_id")
+    next_ = plays.where(F.col("plays") >= F.col("land")).groupBy("chapter_id", "position_ms").agg(F.min("plays").alias("next"))
+    return land.join(next_, ["chapter_id", "position_ms"], "left").select("chapter_id", "position_ms", F.coalesce("next", "first").alias("segment_index"))
 
 
-def seek(segments: DataFrame, ratios: DataFrame) -> DataFrame:
+def seek(segments: DataFrame, ratios: DataFrame, width: int = scan.WIDTH) -> DataFrame:
     """WN13: the segment and the offset in it at a share of each chapter."""
-    s = _placed(segments).join(ratios, "chapter_id").withColumn("target", F.col("ratio") * F.col("all"))
+    s = _placed(segments, width).join(ratios, "chapter_id").withColumn("target", F.col("ratio") * F.col("all"))
     hit = F.when((F.col("d") > 0) & (F.col("end") >= F.col("target")), F.struct("segment_index", "d", "end"))
     agg = s.groupBy("chapter_id", "target").agg(F.min(hit).alias("hit"), F.max(F.struct("segment_index", "d", "end")).alias("last"))
     at = F.coalesce("hit", "last")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import scan
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,8 +73,10 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    by = Window.partitionBy("book_id").orderBy("page_id")
-    return p.select(host.alias("book_id"), "page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"), "url", "html").withColumn("spine_index", F.row_number().over(by))
+    place = scan.running(p.select(host.alias("book_id"), "page_id"), "book_id", "page_id", spine_index=scan.total(F.lit(1)))  # without the html
+    read = p.select(host.alias("book_id"), "page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"), "url", "html")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return read.repartition(tasks, "page_id").join(place.select("page_id", F.col("spine_index").cast("int").alias("spine_index")), "page_id").select(*read.columns, "spine_index")
 
 
 def chapter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

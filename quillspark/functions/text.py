@@ -42,7 +42,7 @@ TOC_LINES = [
 PAGE_NUMBER = r"^\d{1,4}$"
 PAGE_TAIL = r"^[.…·•\-\s]*\d{1,4}\s*$"
 #: White space: Unicode's spaces and line ends, and the byte order mark, but not U+0085. Fixed values.
-SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACE = r"[\p{IsWhite_Space}\ufeff&&[^\x85]]"
 SPACES = SPACE + "+"
 SENTENCE_GAP = r"(?<=[.!?])(?<!(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)" + SPACES + "(?=[" + OPENERS + "])"  # the cheap test stands first
 

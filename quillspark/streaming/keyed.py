@@ -1,9 +1,8 @@
 """Keyed event streams: anchored windows, throttles, caches, folds, de-duplication.
 
 The sequential rules (ST4 to ST6) are one helper. As a batch job a key's events lie sorted in one partition and pass
-by in Arrow batches, the state of the current key carried along, so a hot key needs no more memory than others; its
-time is that of its events, as each window begins where the last one's end lets it. The other batch rules are group
-extremes, which combine before the shuffle.
+by in Arrow batches, the state of the current key carried along; keys of too many events for one task are worked in
+ranges (``hot_keys``). The other batch rules are group extremes, which combine before the shuffle.
 
 As streams all rules run on keyed state, by one helper: a micro-batch's events of a key are folded in order of time.
 Every stream has a watermark on its event time, an hour by default: later events are left out, and state that has been
@@ -18,7 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.streaming.hot_keys import anchored_by_doubling
+
 DELAY = "1 hour"
+#: Events of a key that one task folds in order; a key of more is worked in ranges.
+HOT_ROWS = 2_000_000
 DAY = 86_400.0
 
 
@@ -29,13 +32,17 @@ def step(opened: int, count: int, at: int, span: int) -> tuple[int, int, bool]:
     return opened, count + 1, False
 
 
-def anchored(events: DataFrame, key: str, span_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def anchored(events: DataFrame, key: str, span_seconds: float, ts: str = "ts", tie: str = "event_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``events`` with ``window_start``, ``in_window`` (1, 2, ...) and ``opens``, windows anchored at each key's own events.
 
-    ST4: over a limit where in_window > limit. ST5: passes where opens. ST6: a miss where opens, else a hit.
+    ST4: over a limit where in_window > limit. ST5: passes where opens. ST6: a miss where opens, else a hit. Events without a
+    key or time are left out. Keys of more than ``hot_rows`` events are worked in ranges (``hot_keys``); the result is the same.
     """
     span = round(span_seconds * 1_000_000)
-    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    every = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    hot = every.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key)
+    most = every.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = every if most <= hot_rows else every.join(hot, key, "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, opened, count = None, -1, 0
@@ -54,13 +61,16 @@ def anchored(events: DataFrame, key: str, span_seconds: float, ts: str = "ts", t
     for name, kind in (("_start", "long"), ("in_window", "long"), ("opens", "boolean")):
         schema = schema.add(name, kind)
     out = rows.repartition(key).sortWithinPartitions(key, "_at", tie).mapInPandas(run, schema)
+    if most > hot_rows:
+        parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // hot_rows))
+        out = out.unionByName(anchored_by_doubling(every.join(hot, key, "left_semi"), key, span, tie, parts))
     return out.withColumn("window_start", F.timestamp_micros("_start")).drop("_at", "_start")
 
 
-def throttled(events: DataFrame, key: str, span_seconds: float, forced: Column, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def throttled(events: DataFrame, key: str, span_seconds: float, forced: Column, ts: str = "ts", tie: str = "event_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """ST5: events that pass a throttle: the first of a key, and each that comes a span after the last that passed; forced ones always, without a mark."""
     free = F.coalesce(forced, F.lit(False))
-    passed = anchored(events.where(~free), key, span_seconds, ts, tie).where("opens").drop("window_start", "in_window", "opens")
+    passed = anchored(events.where(~free), key, span_seconds, ts, tie, hot_rows).where("opens").drop("window_start", "in_window", "opens")
     return passed.unionByName(events.where(free))
 
 

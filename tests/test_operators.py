@@ -118,6 +118,20 @@ def test_anchored_windows_as_batch_and_as_stream(spark, tmp_path):
     assert {r.event_id: (r.in_window, r.opens) for r in spark.table("anchored").collect()} == want
 
 
+def test_hot_keys_have_the_same_windows(spark):
+    rng = random.Random(9)
+    events = [(i, k, rng.choice([t, t // 300 * 300, 7000 + t // 50])) for i, (k, t) in enumerate((rng.choice("aaab"), rng.randint(0, 6000)) for _ in range(500))] + [(900, "c", 5), (901, None, 6), (902, "a", 40_000)]
+    want = fold([e for e in events if e[1]], 170)
+    df = spark.createDataFrame(events, "event_id long, k string, s long").select("event_id", "k", F.timestamp_seconds("s").alias("ts"))
+    for hot_rows in (1, 200):
+        got = keyed.anchored(df, "k", 170, hot_rows=hot_rows)
+        starts = {(r.k, r.window_start): r.event_id for r in got.where("opens").collect()}
+        assert {r.event_id: (r.in_window, r.opens) for r in got.collect()} == want
+        assert all((r.k, r.window_start) in starts for r in got.collect())
+    forced = F.col("event_id") % 10 == 3
+    assert sorted(r.event_id for r in keyed.throttled(df, "k", 170, forced, hot_rows=5).collect()) == sorted(r.event_id for r in keyed.throttled(df, "k", 170, forced).collect())
+
+
 def read(body):
     return pages.read_page(f"<html><body>{body}</body></html>")
 

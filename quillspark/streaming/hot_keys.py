@@ -31,10 +31,10 @@ def next_outside(events: DataFrame, key: str, span: int, parts: int, steps: Step
     both = steps.keep(in_ranges(at.unionByName(ends), parts, F.col("k"), F.col("t"), F.col("event"), F.col("e")))
     cut = both.withColumn("part", F.floor(F.col("_row") / RANGE))
     seen = F.when(F.col("event") == 1, F.col("e"))
-    here = Window.partitionBy("k", "part").orderBy("_row").rowsBetween(0, Window.unboundedFollowing)
+    here = Window.partitionBy("k", "part").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)  # backwards: a frame that grows at its end is read once
     firsts = cut.groupBy("k", "part").agg(F.min(seen).alias("first"))
-    later = firsts.select("k", "part", F.first("first", ignorenulls=True).over(Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    found = cut.withColumn("near", F.first(seen, ignorenulls=True).over(here)).where("event = 0").join(later, ["k", "part"])
+    later = firsts.select("k", "part", F.last("first", ignorenulls=True).over(Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    found = cut.withColumn("near", F.last(seen, ignorenulls=True).over(here)).where("event = 0").join(later, ["k", "part"])
     out = steps.keep(found.select(F.col("e").alias("_row"), F.coalesce("near", "later").alias("next")))
     steps.drop(both)
     return out

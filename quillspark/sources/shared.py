@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _file_system(spark: SparkSession, path: str) -> tuple:
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(the file system of a path, the path) of the JVM."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     folder = f"{folder}/steps-{sc.applicationId}"
-    files, at = _file_system(spark, folder)
+    files, at = file_system(spark, folder)
     if not files.exists(at):
         files.mkdirs(at)
         files.deleteOnExit(at)
@@ -48,5 +49,5 @@ class Steps:
     def drop(self, *tables: DataFrame | None) -> None:
         for df in tables:
             if path := getattr(df, "_kept_at", None):
-                files, at = _file_system(self.spark, path)
+                files, at = file_system(self.spark, path)
                 files.delete(at, True)

@@ -60,7 +60,8 @@ def anchored(events: DataFrame, key: str, span_seconds: float, ts: str = "ts", t
     schema = rows.schema
     for name, kind in (("_start", "long"), ("in_window", "long"), ("opens", "boolean")):
         schema = schema.add(name, kind)
-    out = rows.repartition(key).sortWithinPartitions(key, "_at", tie).mapInPandas(run, schema)
+    # by an expression of the key: a join's partitions, which adaptive execution may split, would stand in for those of the key itself
+    out = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, "_at", tie).mapInPandas(run, schema)
     if most > hot_rows:
         parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // hot_rows))
         out = out.unionByName(anchored_by_doubling(every.join(hot, key, "left_semi"), key, span, tie, parts))

@@ -265,11 +265,34 @@ def test_stuck_keys_are_found_by_the_watermark(spark, tmp_path):
     assert sorted((r.k, int(r.since.timestamp())) for r in got) == [("a", 5), ("c", 20)]
 
 
-def test_upserts_of_a_stream_touch_only_their_parts(spark, tmp_path):
-    schema = "k long, v long, x string"
-    for i, rows in enumerate(([(k, 1, "a") for k in range(40)], [(3, 2, "b"), (3, 1, "old"), (99, 1, "c")])):
+def test_upserts_of_a_stream_are_a_log_that_does_not_grow(spark, tmp_path):
+    schema, where = "k long, v long, x string", str(tmp_path / "t")
+    want, sizes, rng = {}, [], random.Random(5)
+    for i in range(7):
+        rows = [(rng.randint(0, 9), rng.choice([None, i, i - 1]), f"b{i}-{j}") for j in range(12)] + [(i, 100 + i, "own")] * 2
+        for k, v, x in rows:
+            want[k] = max((y for y in (want.get(k), v) if y is not None), default=None)
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        sinks.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], "v", 8).awaitTermination(180)
-        got = {r.k: (r.v, r.x) for r in sinks.upserted(spark, str(tmp_path / "t"), i).collect()}
-    assert got == {k: (1, "a") for k in range(40)} | {3: (2, "b"), 99: (1, "c")}
-    assert list(sinks.current(spark, str(tmp_path / "t"), 1).values()).count(1) in (1, 2)
+        sinks.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), where, str(tmp_path / "c"), ["k"], "v", every=3).awaitTermination(180)
+        got = {r.k: r.v for r in sinks.upserted(spark, where, schema, ["k"], "v").collect()}
+        assert got == want
+        sizes.append(sum(1 for _ in (tmp_path / "t").rglob("*.parquet")))
+    assert sinks.log_parts(spark, where) == (5, [6]) and max(sizes) <= 2 + 2 * 3 + 2 * 3  # two bases, the deltas and names of two rounds
+    assert {r.k for r in sinks.upserted(spark, where, schema, ["k"], "v", 5).collect()} <= set(want)
+
+
+def test_structured_books_are_written_in_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(c, 1, [("narration", "word " * 400)]) for c in range(20)] + [(99, 1, [])], "chapter_id long, book_id int, blocks array<struct<type:string,text:string>>")
+    made = packing.segments(rows)
+    chapters, segments = packing.structured_book(rows, made)
+    sinks.write_structured(chapters, segments, str(tmp_path), 4)
+    back = spark.read.parquet(str(tmp_path / "segments"))
+    assert sorted(map(tuple, back.select(segments.columns).collect())) == sorted(map(tuple, segments.collect()))
+    assert back.withColumn("file", F.input_file_name()).groupBy("chapter_id").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0 and len(list((tmp_path / "segments").glob("bucket=*"))) <= 4
+    assert spark.read.parquet(str(tmp_path / "chapters")).where("status = 'failed'").count() == 1
+
+
+def test_page_files_are_a_row_each(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.xhtml").write_text(f"<p>{n}\n2</p>")
+    assert sorted((r.path[-7:], r.html) for r in sinks.page_files(spark, str(tmp_path / "*.xhtml")).collect()) == [("a.xhtml", "<p>a\n2</p>"), ("b.xhtml", "<p>b\n2</p>")]

@@ -6,6 +6,7 @@ parallel. The fold looks ahead by one block.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,6 +57,19 @@ def units(text: str, most: int = HARD_MOST) -> list[str]:
     return [*out, " ".join(held)] if held else out
 
 
+def oversized_units(texts: DataFrame, most: int = HARD_MOST) -> DataFrame:
+    """F9 over a table (doc_id, text): how many units each text has, the words of the largest, and a digest of them in order. Null texts are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [units(t, most) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "n_units": [len(u) for u in made], "largest": [max((len(x.split()) for x in u), default=0) for u in made],
+                "units_md5": [hashlib.md5("\n".join(u).encode()).hexdigest() for u in made]})
+
+    return texts.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, n_units long, largest long, units_md5 string")
+
+
 @dataclass
 class _Packer:
     done: list[tuple[str, bool]] = field(default_factory=list)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import packing
 from quillspark.operators import pages as P
+from quillspark.plans import packing_sql
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import DIALOGUE, WORDS
 from quillspark.sources import model as M
@@ -64,7 +65,7 @@ def ag13(spark, d):
     return P.page_facts(M.pages(spark, d)).select("book_id", "spine_index", "toc_page", "front_body", "link_list", "words")
 
 
-@query("WN1_WN2_WN3_WN4_chapters", _FACTS + rf""", stems AS (SELECT *, lower(regexp_replace(string_split(path, '/')[-1], '(?i)\.[a-z0-9]+$', '')) AS stem, spine_index / count(*) OVER (PARTITION BY book_id) AS fraction FROM facts),
+_CHAPTERS = _FACTS + rf""", stems AS (SELECT *, lower(regexp_replace(string_split(path, '/')[-1], '(?i)\.[a-z0-9]+$', '')) AS stem, spine_index / count(*) OVER (PARTITION BY book_id) AS fraction FROM facts),
 flags AS (SELECT *, regexp_matches(stem, '^(?:{T.MATTER_STEMS})') OR len(list_intersect(regexp_split_to_array(stem, '[^a-z0-9]+'), {T.MATTER_WORDS})) > 0 AS matter, regexp_matches(heading, {_FRONT}) AS front FROM stems),
 counted AS (SELECT *, NOT (matter OR front OR link_list OR toc_page) AND n > 0 AS counted FROM flags),
 before AS (SELECT *, coalesce(sum(CASE WHEN counted THEN words ELSE 0 END) OVER (PARTITION BY book_id ORDER BY spine_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM counted),
@@ -73,12 +74,17 @@ likely AS (SELECT *, regexp_matches(heading, {_START}) OR regexp_matches(path, {
 begun AS (SELECT * FROM (SELECT *, bool_or(starts) OVER (PARTITION BY book_id ORDER BY spine_index) AS begun FROM likely) WHERE begun),
 long AS (SELECT * FROM (SELECT *, sum(words) OVER (PARTITION BY book_id) AS book_words FROM begun) WHERE book_words >= 500),
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_index) AS INTEGER) AS chapter_index FROM long)
-SELECT book_id, chapter_index, CASE WHEN heading <> '' THEN heading ELSE 'Chapter ' || chapter_index END AS title, path, words, n AS n_blocks FROM numbered""")
+"""
+
+
+@query("WN1_WN2_WN3_WN4_chapters", _CHAPTERS + """SELECT book_id, chapter_index, CASE WHEN heading <> '' THEN heading ELSE 'Chapter ' || chapter_index END AS title, path, words, n AS n_blocks FROM numbered""")
 def wn1(spark, d):
     return P.chapters(M.pages(spark, d)).select("book_id", "chapter_index", "title", "path", "words", F.size("blocks").alias("n_blocks"))
 
 
-@query("E1_pages_to_segments")
+@query("E1_pages_to_segments", _CHAPTERS.replace("WITH", "WITH RECURSIVE", 1) + f""", ids AS (SELECT *, row_number() OVER (ORDER BY book_id, chapter_index) AS ch FROM numbered),
+told AS (SELECT ch, blk.n AS b, type AS kind, line FROM ids JOIN blk USING (book_id, spine_index)), {packing_sql.segments("told")}
+SELECT book_id, chapter_index, segment_index, CAST(n_words AS INTEGER) AS n_words, is_scene_break FROM seg JOIN ids USING (ch)""")
 def e1(spark, d):
     c = P.chapters(M.pages(spark, d)).select("book_id", "chapter_index", F.transform("blocks", lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"))).alias("blocks"))
     return packing.segments(c).select("book_id", "chapter_index", "segment_index", "n_words", "is_scene_break")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import formats, text
 from quillspark.operators import packing
 from quillspark.operators import status as O
+from quillspark.plans import packing_sql
 from quillspark.plans.registry import query
 from quillspark.sources import model as M
 from quillspark.sources import sinks
@@ -131,22 +132,35 @@ def f28(spark, d):
     return M.table(spark, d, "events").select(i, formats.is_retryable(F.when(i % 11 != 0, 400 + i % 120), i % 7 == 0).alias("retryable"))
 
 
-@query("WN17_segment_packing")
+#: Documents as chapters, packed.
+_PACKED = f"""WITH RECURSIVE {LINES}, blocks AS (SELECT doc_id AS ch, pos AS b, CASE WHEN {DIALOGUE} THEN 'dialogue' ELSE 'narration' END AS kind, line FROM lines), {packing_sql.segments("blocks")}
+"""
+
+
+@query("F9_oversized_units", f"""WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {packing_sql.units("docs", "doc_id")}
+SELECT doc_id, count(*) AS n_units, CAST(max({WORDS.format("piece")}) AS BIGINT) AS largest, md5(string_agg(piece, chr(10) ORDER BY u)) AS units_md5 FROM docs_unit GROUP BY doc_id""")
+def f9(spark, d):
+    return packing.oversized_units(M.spread(M.table(spark, d, "documents").select("doc_id", "text")))
+
+
+@query("WN17_segment_packing", _PACKED + "SELECT source AS book_id, ch AS chapter_id, segment_index, CAST(n_words AS INTEGER) AS n_words, is_scene_break, md5(raw_text) AS text_md5 FROM seg JOIN documents ON doc_id = ch")
 def wn17(spark, d):
     return packing.segments(chapter_blocks(spark, d)).select("book_id", "chapter_id", "segment_index", "n_words", "is_scene_break", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
 
 
-@query("WN17_segment_summary")
+@query("WN17_segment_summary", _PACKED + "SELECT source AS book_id, ch AS chapter_id, count(*) AS n_segments, CAST(sum(n_words) AS BIGINT) AS n_words, CAST(max(n_words) AS INTEGER) AS largest, count(*) FILTER (n_words > 250) AS over_budget FROM seg JOIN documents ON doc_id = ch GROUP BY ALL")
 def wn17_summary(spark, d):
     s = packing.segments(chapter_blocks(spark, d))
     return s.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n_segments"), F.sum("n_words").alias("n_words"), F.max("n_words").alias("largest"), F.count_if(F.col("n_words") > 250).alias("over_budget"))
 
 
-@query("SS2_structured_book")
+@query("SS2_structured_book", _PACKED + """SELECT source AS book_id, doc_id AS chapter_id, CAST(NULL AS INTEGER) AS segment_index, count(ch) AS total_count, CASE WHEN count(ch) = 0 THEN 'failed' ELSE 'queued' END AS status, CAST(NULL AS VARCHAR) AS text_md5 FROM documents LEFT JOIN seg ON ch = doc_id GROUP BY ALL
+UNION ALL SELECT source, ch, segment_index, NULL, 'pending', md5(raw_text) FROM seg JOIN documents ON doc_id = ch""")
 def ss2(spark, d):
+    """Chapter rows and segment rows, one below the other."""
     blocks = chapter_blocks(spark, d)
-    chapters, _ = packing.structured_book(blocks, packing.segments(blocks))
-    return chapters
+    chapters, segments = packing.structured_book(blocks, packing.segments(blocks))
+    return chapters.unionByName(segments.select("book_id", "chapter_id", "segment_index", "status", F.md5(F.col("raw_text").cast("binary")).alias("text_md5")), allowMissingColumns=True)
 
 
 @query("SS3_upsert", with_model("playback") + """SELECT book_id, event_id, ts, position_ms FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, fresh DESC, event_id DESC) AS place

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 MAX_BEATS, MAX_TEXT, MAX_FIELD, MAX_SUMMARY = 12, 4000, 500, 2000
 STYLE, EMOTION, INTENSITY, PACE = "warm neutral storyteller", "steady narrative flow", 0.3, "normal"
 SUMMARY = "A scene in the book."
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _kind(v: Column) -> Column:
@@ -67,6 +73,70 @@ def substituted(text: Column, dictionary: Column) -> Column:
     return F.aggregate(F.coalesce(dictionary, F.array().cast("array<struct<pos:int,term:string,hint:string>>")), text, lambda t, d: F.regexp_replace(t, pattern(d["term"]), plain(d["hint"])))
 
 
+class _Dictionary:
+    """A dictionary's terms as one automaton that says which of them stand in a text; only those are replaced, in their order."""
+
+    def __init__(self, terms: list[tuple[str | None, str | None]]):
+        self.broken = any(t is None or h is None for t, h in terms)
+        self.hints = [h for _, h in terms]
+        self.patterns = [t if t is None else re.compile(r"(?<!\w)" + re.escape(t) + r"(?!\w)", re.IGNORECASE | re.ASCII) for t, _ in terms]
+        self.always = [i for i, (t, _) in enumerate(terms) if t == ""]
+        places: dict[str, list[int]] = {}
+        for i, (t, _) in enumerate(terms):
+            if t:
+                places.setdefault(t.translate(_LOWER), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for term, at in places.items():
+            self.automaton.add_word(term, at)
+        if places:
+            self.automaton.make_automaton()
+
+    def _standing(self, text: str) -> list[int]:
+        found = set(self.always)
+        if len(self.automaton):
+            for _, at in self.automaton.iter(text.translate(_LOWER)):
+                found.update(at)
+        return sorted(found)
+
+    def apply(self, text: str | None) -> str | None:
+        if text is None or self.broken:
+            return None
+        done, waiting = -1, self._standing(text)
+        while waiting:
+            done = waiting.pop(0)
+            new = self.patterns[done].sub(lambda m: self.hints[done], text)
+            if new != text:  # a replacement may bring terms that come later
+                text, waiting = new, [i for i in self._standing(new) if i > done]
+        return text
+
+
+def substitute(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", deals: int = 16) -> DataFrame:
+    """F19 over tables, for dictionaries of many terms: ``texts`` with ``text`` replaced by the terms (key, pos, term, hint) of its ``key``, as ``substituted`` does it.
+
+    A text costs one pass of its dictionary's automaton and one for each term that stands in it, whatever the number of terms. A key's texts
+    are dealt to ``deals`` groups, each with a copy of the dictionary, which a task holds while the group's texts pass. Texts without a
+    key or dictionary stay as they are; a dictionary with a null term or hint makes its texts null.
+    """
+    rows = texts.withColumn("_deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(deals)))
+    held = dictionaries(terms.where(F.col(key).isNotNull()), key).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    both = rows.withColumn("_asks", F.lit(1)).unionByName(held.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+
+    names = texts.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known = None, None
+        for pdf in batches:
+            out = []
+            for k, deal, asks, value, listed in zip(pdf[key], pdf["_deal"], pdf["_asks"], pdf[text], pdf["dictionary"]):
+                if not asks:
+                    at, known = (k, deal), _Dictionary([(t["term"], t["hint"]) for t in listed])
+                out.append(known.apply(value) if asks and at == (k, deal) else value)
+            yield pdf.assign(**{text: out}).loc[pdf["_asks"] == 1, names]
+
+    # by an expression that no join is dealt by, so that a dictionary and its texts stay together
+    return both.repartition(F.xxhash64(F.col(key), "_deal")).sortWithinPartitions(key, "_deal", "_asks").mapInPandas(run, texts.schema)
+
+
 def voice_contexts(books: DataFrame, cast: DataFrame, terms: DataFrame) -> DataFrame:
     """JN9: book_id with its narrator (by name, else the first of the cast, else defaults) and dictionary."""
     rank = F.struct(F.when(F.lower("name") == "narrator", 0).otherwise(1).alias("r"), F.col("pos"))

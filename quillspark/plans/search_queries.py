@@ -14,6 +14,7 @@ from quillspark.plans.registry import query
 from quillspark.sources import model as M
 from quillspark.sources.model import with_model
 from quillspark.streaming import keyed as K
+from quillspark.streaming import stateful as X
 
 _FORMATS = ["epub", "pdf", "mobi", "azw3"]
 
@@ -344,3 +345,22 @@ def st9(spark, d):
 def ss5(spark, d):
     sent = M.event_log(spark, d).select(F.to_json(F.struct("event_id", "book_id", F.col("status").alias("type"))).alias("value"))
     return K.parsed_events(sent, "event_id long, book_id long, type string").where("type <> 'in_progress'")
+
+
+@query("SS5_ST1_fan_out", with_model("event_log") + """, subs AS (SELECT 'l' || (c_custkey % 97) AS listener, CAST(c_custkey % 50 AS BIGINT) AS book_id, CASE WHEN c_custkey % 3 > 0 THEN [['ready', 'failed'], ['segment_ready']][c_custkey % 3] END AS types FROM customer)
+SELECT listener, event_id, event_log.book_id, status AS type FROM event_log JOIN subs USING (book_id) WHERE types IS NULL OR list_contains(types, status)""")
+def ss5_fan_out(spark, d):
+    k = F.col("c_custkey")
+    types = F.when(k % 3 == 1, F.lit(["ready", "failed"])).when(k % 3 == 2, F.lit(["segment_ready"]))
+    subscriptions = M.table(spark, d, "customer").select(F.concat(F.lit("l"), (k % 97).cast("string")).alias("listener"), (k % 50).alias("book_id"), types.alias("types"))
+    events = M.event_log(spark, d).select("event_id", "book_id", F.col("status").alias("type"))
+    return X.fan_out(events, subscriptions).select("listener", "event_id", "book_id", "type")
+
+
+@query("ST9_unanswered", with_model("event_log") + """, live AS (SELECT book_id, ts, event_id FROM event_log WHERE event_id % 3 = 0)
+SELECT event_id, book_id FROM event_log a WHERE status = 'discovering' AND NOT EXISTS (SELECT 1 FROM (SELECT book_id, ts, event_id FROM event_log UNION ALL SELECT * FROM live) b
+WHERE b.book_id = a.book_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts <= a.ts + INTERVAL 1440 MINUTE)""")
+def st9_unanswered(spark, d):
+    e = M.event_log(spark, d)
+    jobs = e.where("event_id % 3 = 0").select("book_id", "ts", "event_id", F.lit("active").alias("state"))
+    return X.stuck_stream(e, jobs, 1440).select("event_id", "book_id")

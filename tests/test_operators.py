@@ -58,6 +58,16 @@ def test_dictionary_edges(spark):
     assert rows.select(annotations.substituted(F.col("t"), F.col("d"))).first()[0] == "Mister $1 Darcy, Mister $1 X; smr. co\\w cats"
 
 
+def test_long_dictionaries_by_an_automaton(spark):
+    rng = random.Random(11)
+    terms = [("a", i, f"w{i}", f"w{i + rng.choice([1, 2])} x") for i in range(0, 1000, 3)] + [("a", 1000, "x x", "yy"), ("a", 1001, "W5", "$1\\"), ("b", 1, "", "-"), ("b", 2, "the", "a"), ("c", 1, "the", None), (None, 1, "the", "z")]
+    texts = [(i, rng.choice("abcd"), " ".join(rng.choice(["w%d" % rng.randint(0, 999), "W3.", "the", "xw6", "é", "ſ"]) for _ in range(8))) for i in range(80)] + [(90, "a", None), (91, None, "the"), (92, "a", ""), (93, "b", "")]
+    df, words = spark.createDataFrame(texts, "i int, k string, text string"), spark.createDataFrame(terms, "k string, pos int, term string, hint string")
+    want = df.join(annotations.dictionaries(words.where("k IS NOT NULL"), "k"), "k", "left").select("i", annotations.substituted(F.col("text"), F.col("dictionary")).alias("t"))
+    got = annotations.substitute(df, words, "k", deals=3)
+    assert got.columns == df.columns and {r.i: r.text for r in got.collect()} == {r.i: r.t for r in want.collect()}
+
+
 PROSE = "He walked on and the road was long and nothing moved there. " * 50
 
 

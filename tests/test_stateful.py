@@ -12,10 +12,13 @@ from quillspark.streaming import keyed, stateful
 
 @pytest.fixture(scope="module", autouse=True)
 def rocksdb(spark):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
     stateful.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a state store and a Python worker each
     yield
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    for n, value in before.items():
+        spark.conf.set(n, value)
 
 
 def source(spark, folder, df, files, *last):

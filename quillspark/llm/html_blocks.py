@@ -42,11 +42,13 @@ from quillspark.llm.word_hash import word_digests
 
 #: Expected number of pages whose texts train the labeller, drawn by a hash of the id, and the texts of one page.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 100, 30
-LAYOUTS, EPOCHS, RATE = 1280, 10, 0.02
+LAYOUTS, EPOCHS, RATE, LAST = 1600, 10, 0.02, 3
 HIDDEN = 32
 _PATH, _OWN, _WORDS, _SHARES = 96, 32, 16, 9
 INPUTS = _PATH + _OWN + _WORDS + _SHARES
 BATCH, STEP = 256, 4096
+#: A page of which no block is likely to be main text gives its likeliest run of blocks, if that is likelier than this.
+DOUBT = 0.1
 
 BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,6 +331,8 @@ _AROUND = {
     "share": ["div.share", "div.social", "ul.sharing", "div.tags", "ul.share-links", "div.share-buttons"],
 }
 _COMMENT = ["article.comment", "div.comment", "li.comment", "div.reply", "div.comment-body", "article", "li"]
+#: How an article's text is set: most often as blocks of several tags.
+_FORMS = ["mixed"] * 10 + ["lines", "lines", "lines", "divs", "divs", "items", "items", "sections", "sections", "cells"]
 _JOINERS = ["with", "has", "no", "left", "is", "page", "site"]
 
 
@@ -374,7 +378,9 @@ class _Layout:
         top = self.element(rng.choice(_AROUND[kind]), within, invent)
         if rng.random() < 0.2:
             top = self.element("div", top)
-        if kind in ("nav", "share"):
+        if kind in ("nav", "share") and rng.random() < 0.12:  # links that only line breaks part
+            self.add(top, " ".join(self.words(3) for _ in range(rng.randint(2, 9))), False, rng.choice([0.8, 1.0]))
+        elif kind in ("nav", "share"):
             inner = rng.choice(["li", "li", "div", ""])
             listed = self.element("ul", top) if inner == "li" and self.elements[top[-1]][0] not in ("ul", "menu") else top
             for _ in range(rng.randint(1, 9)):
@@ -407,37 +413,92 @@ class _Layout:
 
     def article(self, within: tuple) -> None:
         rng = self.rng
-        body = self.element(rng.choice(_MAIN), within, 0.3)
-        for _ in range(rng.choice([0, 0, 1, 2])):
-            body = self.element(rng.choice([*_MAIN, "div", "div"]), body, 0.3)
+        form = rng.choice(_FORMS)
+        if form == "divs":  # nothing but its place and its text tells such an article from what is around it
+            body = within
+            for _ in range(rng.randint(1, 3)):
+                body = self.element("div", body)
+        else:
+            body = self.element(rng.choice(_MAIN), within, 0.3)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                body = self.element(rng.choice([*_MAIN, "div", "div"]), body, 0.3)
         tag, names, parent = self.elements[body[-1]]
-        if rng.random() < 0.25:
+        if form != "divs" and rng.random() < 0.25:
             self.elements[body[-1]] = tag, tuple(sorted({*names, *_SPLIT.split(self.misleading())})), parent
-        if rng.random() < 0.85:
+        if rng.random() < (0.5 if form in ("lines", "divs") else 0.85):
             at = within if rng.random() < 0.08 else body
-            self.add(self.element(rng.choice(["h1", "h1", "h1", "h2"]), at), self.words(12), True)
-        asides = rng.random() < 0.4  # in the article only names and texts tell them: few are without
-        for _ in range(rng.choice([1, 2, 4, 8, 8, 16, 30])):
-            inner = rng.choice(["p"] * 8 + ["h2", "blockquote", "li", "pre", "", "td", "dd", "div", "figcaption"])
-            text = rng.choice(self.texts) if rng.random() < 0.75 else self.words(rng.choice([2, 6, 25]))
-            path = self.element("ul", body) if inner == "li" else self.element("tr", self.element("table", body)) if inner == "td" else body
-            self.add(self.element(inner, path) if inner else path, text, True, 1.0 if rng.random() < 0.03 else rng.choice([0.0] * 5 + [0.2]))
-            if asides and rng.random() < 0.2:
+            self.add(self.element("div" if form == "divs" and rng.random() < 0.7 else rng.choice(["h1", "h1", "h1", "h2"]), at), self.words(12), True)
+        asides = rng.random() < 0.5  # in the article only names and texts tell them: few are without
+        made = {"mixed": self.mixed, "lines": self.lines, "divs": self.divs, "items": self.items, "sections": self.sections, "cells": self.cells}[form]
+        for _ in range(rng.choice([1, 2, 4, 8, 8, 16, 30]) if form in ("mixed", "divs") else rng.randint(1, 5) if form == "sections" else rng.choice([1, 1, 2])):
+            made(body)
+            if asides and rng.random() < 0.25:
                 self.around(rng.choice(["ad", "ad", "side", "share", "form", "notice"]), body, 0.02)
         if asides:
-            for kind in rng.sample(["share", "side", "form", "comments", "notice", "ad"], rng.randint(0, 2)):
+            for kind in rng.sample(["share", "side", "form", "comments", "notice", "ad"], rng.randint(0, 3)):
                 self.around(kind, body, 0.02)
 
+    def prose(self) -> str:
+        return self.rng.choice(self.texts) if self.rng.random() < 0.75 else self.words(self.rng.choice([2, 6, 25]))
+
+    def mixed(self, body: tuple) -> None:
+        """A block of any tag."""
+        inner = self.rng.choice(["p"] * 8 + ["h2", "blockquote", "li", "pre", "", "td", "dd", "div", "figcaption"])
+        path = self.element("ul", body) if inner == "li" else self.element("tr", self.element("table", body)) if inner == "td" else body
+        self.add(self.element(inner, path) if inner else path, self.prose(), True, 1.0 if self.rng.random() < 0.03 else self.rng.choice([0.0] * 5 + [0.2]))
+
+    def lines(self, body: tuple) -> None:
+        """Paragraphs that only line breaks part: one block, right in the container."""
+        self.add(body, " ".join(self.prose() for _ in range(self.rng.randint(1, 8))), True, self.rng.choice([0.0, 0.0, 0.1]))
+
+    def divs(self, body: tuple) -> None:
+        """A paragraph as a ``div`` without a name."""
+        self.add(self.element("div", body), self.prose(), True, self.rng.choice([0.0] * 5 + [0.2]))
+
+    def items(self, body: tuple) -> None:
+        """A list of short or long items, with a paragraph before it at times."""
+        rng = self.rng
+        if rng.random() < 0.4:
+            self.add(self.element("p", body), self.prose(), True)
+        listed, most = self.element(rng.choice(["ul", "ul", "ol", "dl"]), body), rng.choice([3, 5, 12, 25])
+        for _ in range(rng.randint(3, 20)):
+            if self.elements[listed[-1]][0] == "dl":
+                self.add(self.element("dt", listed), self.words(3), True)
+            self.add(self.element("dd" if self.elements[listed[-1]][0] == "dl" else "li", listed), self.words(most), True, 1.0 if rng.random() < 0.03 else 0.0)
+
+    def sections(self, body: tuple) -> None:
+        """A section, with a heading at times."""
+        part = self.element(self.rng.choice(["section", "section", "div", "article"]), body)
+        if self.rng.random() < 0.5:
+            self.add(self.element(self.rng.choice(["h2", "h3"]), part), self.words(6), True)
+        for _ in range(self.rng.choice([1, 1, 2, 4])):
+            self.add(self.element("p", part), self.prose(), True)
+
+    def cells(self, body: tuple) -> None:
+        """A table, between paragraphs at times."""
+        rng = self.rng
+        for _ in range(rng.choice([0, 1, 3])):
+            self.add(self.element("p", body), self.prose(), True)
+        table, columns = self.element("table", body), rng.randint(2, 4)
+        if rng.random() < 0.3:
+            self.add(self.element("caption", table), self.words(6), True)
+        for row in range(rng.randint(2, 7)):
+            line = self.element("tr", table)
+            for _ in range(columns):
+                self.add(self.element("th" if row == 0 and rng.random() < 0.8 else "td", line), self.words(rng.choice([1, 2, 4, 12])), True)
+        for _ in range(rng.choice([0, 1, 3])):
+            self.add(self.element("p", body), self.prose(), True)
+
 
 def composed(texts: list[str], rng: random.Random) -> _Layout:
     """A layout of known labels: an article (seldom none) with other elements around it, inside wrappers of any name."""
     page = _Layout(texts, rng)
-    outer = page.element("body", page.element("html", ()))
+    outer = page.element("body", page.element("html", ())) if rng.random() < 0.8 else ()
     for _ in range(rng.choice([0, 0, 1, 2])):
         outer = page.element(rng.choice(["div", "div.wrapper", "div#page", "form", "form#main-form", "main", "section", "div.container", "center", "td"]), outer, 0.2)
-    for e in outer[1:]:
+    for e in outer:
         tag, names, parent = page.elements[e]
-        if rng.random() < 0.45:
+        if tag != "html" and rng.random() < 0.45:
             page.elements[e] = tag, tuple(sorted({*names, *(n for _ in range(rng.randint(1, 3)) for n in _SPLIT.split(page.misleading()))})), parent
     for kind in [k for k in ("notice", "header", "nav", "ad", "form", "side") if rng.random() < 0.4]:
         page.around(kind, outer)
@@ -456,10 +517,15 @@ def train(texts: list[str], seed: int = 7, layouts: int = LAYOUTS, epochs: int =
     data = sorted(((vectors_of(p.blocks, p.elements), np.array(p.labels, np.float32)) for p in pages if p.blocks), key=lambda d: len(d[1]))
     parts = [data[low : low + batch] for low in range(0, len(data), batch)]  # like lengths, so that little is padded
     adam: dict = {}
+    mean, steps = {k: np.zeros_like(w) for k, w in model.weights.items()}, 0  # of the last epochs' steps, so that no single batch decides
     for epoch in range(epochs):
         rng.shuffle(parts)
         for part in parts:
-            model.step([x for x, _ in part], [y for _, y in part], adam, RATE if epoch < epochs - 3 else RATE / 4)
+            model.step([x for x, _ in part], [y for _, y in part], adam, RATE if epoch < epochs - LAST else RATE / 4)
+            if epoch >= epochs - LAST:
+                mean, steps = {k: m + model.weights[k] for k, m in mean.items()}, steps + 1
+    if steps:
+        model.weights = {k: m / np.float32(steps) for k, m in mean.items()}
     return model
 
 
@@ -503,7 +569,14 @@ def texts_of(pages: list[str], model: Labeller) -> list[str]:
 
 
 def _kept(blocks: list[Block], p: np.ndarray) -> str:
-    return "\n".join(b.text for b, keep in zip(blocks, p > 0.5) if keep)
+    """The texts of the blocks above a half; if there are none, of those around the likeliest one, if it is above ``DOUBT``."""
+    keep = p > 0.5
+    if not keep.any() and p.max() > DOUBT:
+        near = p > max(DOUBT, p.max() / 2)
+        top = int(p.argmax())
+        run = np.cumsum(np.diff(near, prepend=False))
+        keep = near & (run == run[top])
+    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html") -> DataFrame:

@@ -45,6 +45,31 @@ LAYOUTS = [
 ("two headings",f"<body>{NAV}<div class=entry>{H1}{ART}<h2>What comes next</h2><p>{P[0]}</p></div>{SIDE}{FOOT}</body>",W+"\nWhat comes next\n"+P[0]),
 ]
 
+# articles set by line breaks, as bare divs, as lists, sections and tables
+ITEMS = ["A warm coat", "Two pairs of strong shoes", "A knife", "Matches in a tin", "Rope of ten metres", "A map of the hills", "Dry socks", "Bread and cheese for a day", "A lamp", "A tent for two"]
+T = "A new bridge for the town\n"
+MENU, FOOTER = "<div class=menu><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div>", "<div class=footer>© 2024 The Daily Post. All rights reserved.</div>"
+divs, items = "".join(f"<div>{x}</div>" for x in P), "".join(f"<li>{i}</li>" for i in ITEMS)
+PLAIN = [
+    ("line breaks", f"<html><body>{MENU}<div class=text>{P[0]}<br><br>{P[1]}<br><br>{P[3]}</div>{FOOTER}</body></html>", f"{P[0]} {P[1]} {P[3]}"),
+    ("line breaks, odd name", f"<body>{NAV}<div id=x>{'<br>'.join(P)}</div>{FOOT}</body>", " ".join(P)),
+    ("line breaks in a cell", f"<body><table><tr><td class=menu><a href=1>Home</a><br><a href=2>News</a></td><td>{'<br><br>'.join(P)}</td></tr></table></body>", " ".join(P)),
+    ("line breaks alone", "<br>".join(P), " ".join(P)),
+    ("line breaks and a heading", f"<body>{NAV}<div class=content>{H1}{'<br><br>'.join(P)}</div>{SIDE}{FOOT}</body>", T + " ".join(P)),
+    ("bare divs", f"<div><div><div><div>{T.strip()}</div>{divs}</div></div></div>", W),
+    ("bare divs after a menu", f"<body>{NAV}<div><div>{divs}</div></div>{FOOT}</body>", B),
+    ("bare divs and a heading", f"<body>{NAV}<div>{H1}{divs}</div>{SIDE}{FOOTER}</body>", W),
+    ("items", f"<body>{NAV}<article><h1>Twelve things to pack</h1><ul>{items}</ul></article>{FOOT}</body>", "\n".join(["Twelve things to pack", *ITEMS])),
+    ("items after a paragraph", f"<body>{NAV}<main><h1>Twelve things to pack</h1><p>{P[0]}</p><ol>{items}</ol></main>{SIDE}{FOOT}</body>", "\n".join(["Twelve things to pack", P[0], *ITEMS])),
+    ("sections", f"<body>{NAV}<main>{H1}{''.join(f'<section><p>{x}</p></section>' for x in P)}</main>{FOOT}</body>", W),
+    ("sections alone", f"<main>{H1}{''.join(f'<section><p>{x}</p></section>' for x in P)}</main>", W),
+    ("sections with headings", f"<body>{NAV}<article>{H1}{''.join(f'<section><h2>Part {i}</h2><p>{x}</p></section>' for i, x in enumerate(P))}</article>{FOOT}</body>", T + "\n".join(f"Part {i}\n{x}" for i, x in enumerate(P))),
+    ("table", f"<body>{NAV}<article>{H1}<p>{P[0]}</p><table><tr><th>Year</th><th>Cost</th></tr><tr><td>2024</td><td>Two million</td></tr></table><p>{P[3]}</p></article>{FOOT}</body>", f"{T}{P[0]}\nYear\nCost\n2024\nTwo million\n{P[3]}"),
+    ("one paragraph", f"<body>{NAV}<div class=content><p>{P[3]}</p></div>{FOOT}</body>", P[3]),
+    ("terms", f"<body>{NAV}<article>{H1}<dl>{''.join(f'<dt>Word {i}</dt><dd>{x}</dd>' for i, x in enumerate(P))}</dl></article>{FOOT}</body>", T + "\n".join(f"Word {i}\n{x}" for i, x in enumerate(P))),
+    ("no article", f"<body>{NAV}{FOOT}</body>", ""),
+]
+
 SF = "/root/testdata/sf0.001"
 PAGE = "page_id long, url string, html string"
 
@@ -54,9 +79,55 @@ def model(spark):
     return html_blocks.fit(spark.read.parquet(f"{SF}/pages.parquet"))
 
 
-def test_ordinary_layouts(model):
-    got = html_blocks.texts_of([page for _, page, _ in LAYOUTS], model)
-    assert [(name, text) for (name, _, _), text in zip(LAYOUTS, got)] == [(name, want) for name, _, want in LAYOUTS]
+@pytest.mark.parametrize("layouts", [LAYOUTS, PLAIN])
+def test_ordinary_layouts(model, layouts):
+    got = html_blocks.texts_of([page for _, page, _ in layouts], model)
+    assert [(name, text) for (name, _, _), text in zip(layouts, got)] == [(name, want) for name, _, want in layouts]
+
+
+def test_doubtful_pages_give_their_likeliest_run():
+    blocks = [html_blocks.Block((), t, 0) for t in "abcde"]
+    assert html_blocks._kept(blocks, np.array([0.05, 0.25, 0.4, 0.1, 0.3])) == "b\nc"
+    assert html_blocks._kept(blocks, np.array([0.05, 0.09, 0.01, 0.1, 0.0])) == ""
+
+
+def _plain(weights, x):
+    """Probabilities by the formulas of an LSTM, block by block."""
+    n, sigmoid = weights["u"].shape[1], lambda z: 1 / (1 + np.exp(-z))
+    states = []
+    for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+        h, c, found = np.zeros(n), np.zeros(n), {}
+        for t in order:
+            z = x[t] @ weights["w"][d] + h @ weights["u"][d] + weights["b"][d, 0]
+            c = sigmoid(z[n : 2 * n]) * c + sigmoid(z[:n]) * np.tanh(z[3 * n :])
+            h = found[t] = sigmoid(z[2 * n : 3 * n]) * np.tanh(c)
+        states.append(found)
+    return np.array([sigmoid(np.concatenate((states[0][t], states[1][t])) @ weights["out"] + weights["bias"][0]) for t in range(len(x))])
+
+
+def test_labeller_equals_a_plain_loop():
+    """Probabilities, and gradients by differences of the loss, of two pages of unlike length."""
+    rng = np.random.default_rng(5)
+    labeller = html_blocks.Labeller(3, hidden=4)
+    pages = [rng.normal(0, 1, (n, html_blocks.INPUTS)).astype(np.float32) for n in (7, 4)]
+    labels = [rng.integers(0, 2, len(x)).astype(np.float32) for x in pages]
+    weights = {k: w.astype(np.float64) for k, w in labeller.weights.items()}
+    for x, found in zip(pages, labeller.probabilities(pages)):
+        assert np.allclose(found, _plain(weights, x), atol=1e-5)
+
+    def loss():
+        return -np.concatenate([np.log(np.where(y > 0, p, 1 - p)) for y, p in ((y, _plain(weights, x)) for x, y in zip(pages, labels))]).mean()
+
+    adam: dict = {}
+    labeller.step(pages, labels, adam, 0.01)
+    for k, w in weights.items():
+        for at in rng.choice(w.size, min(w.size, 12), replace=False):
+            kept, differences = w.flat[at], []
+            for change in (1e-5, -1e-5):
+                w.flat[at] = kept + change
+                differences.append(loss())
+            w.flat[at] = kept
+            assert np.isclose(np.asarray(adam[k][0]).flat[at] / 0.1, (differences[0] - differences[1]) / 2e-5, atol=2e-5, rtol=1e-3), k
 
 
 def test_names_never_seen(model, monkeypatch):

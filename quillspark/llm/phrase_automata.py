@@ -30,6 +30,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -38,12 +39,12 @@ from quillspark.llm.contexts import chunks, classes, radix_order
 from quillspark.llm.scratch import stored
 from quillspark.llm.suffix_radix import spread
 from quillspark.llm.word_hash import word_digests
-from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, covered, dealt, packed, seed_length, twice
+from quillspark.llm.windows import PACKED, SEEDS, SIEVED, Shard, all_of, bucket_of, by_bucket, covered, dealt, packed, placed, recurring_runs, seed_length, sieved, twice
 
 LENGTH = 20
 _LAST = np.iinfo(np.int64).max
 CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary, many binary, orders binary, places binary, body binary"
-ANSWERS = "bucket int, shard int, found binary, firsts binary"
+ANSWERS = "bucket int, shard int, found binary, firsts binary, hot binary"
 
 
 def digests_of(documents: list[bytes], run: int = 1 << 18) -> list[np.ndarray]:
@@ -105,7 +106,7 @@ class Words:
         """The words of so many windows from a place on, joined by one space."""
         return b" ".join(self.words[begin : begin + windows + self.length - 1])
 
-    def contexts(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    def contexts(self, recurring: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """(first window, windows, offset, seed, bucket, whether it occurs twice) of the distinct contexts, each at its first place."""
         at, count, offset, seed = self.windows.contexts(recurring)
         known: dict[tuple, int] = {}
@@ -113,7 +114,7 @@ class Words:
         document = np.searchsorted(self.ends, at, "right")
         weight = np.bincount(number, 1 + self.copied[document].astype(np.int64), minlength=len(known)) if len(number) else np.zeros(0)
         first = np.unique(number, return_index=True)[1]
-        return at[first], count[first], offset[first], seed[first], bucket_of(seed[first], buckets), weight > 1
+        return at[first], count[first], offset[first], seed[first], placed(seed[first], hot, buckets, self.shard), weight > 1
 
     def occurrences(self, passages: set[bytes]) -> np.ndarray:
         """Places of all windows of these passages, found by one automaton over the documents, their words joined by one space."""
@@ -137,30 +138,62 @@ class Words:
         return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
 
 
-def send(words: Words, recurring: np.ndarray, buckets: int) -> pa.Table:
-    """The shard's distinct contexts as words, a row for each bucket."""
-    at, count, offset, seed, bucket, many = words.contexts(recurring, buckets)
-    order = words.orders[np.searchsorted(words.ends, at, "right")] if len(at) else np.zeros(0, np.int64)
+def _rows(shard: int, bucket: np.ndarray, seed: np.ndarray, offset: np.ndarray, count: np.ndarray, many: np.ndarray, order: np.ndarray, place: np.ndarray, body: list[bytes]) -> pa.Table:
+    """Contexts as a row for each bucket."""
     out: dict[str, list] = {name: [] for name in ("bucket", "shard", "seeds", "offsets", "counts", "many", "orders", "places", "body")}
     for b, some in by_bucket(bucket):
-        values = (b, words.shard, seed[some].astype("<u8").tobytes(), offset[some].astype("<u4").tobytes(), count[some].astype("<u4").tobytes(), many[some].astype("u1").tobytes(), order[some].astype("<i8").tobytes(), (at + offset)[some].astype("<i8").tobytes())
-        body = b"\n".join([words.passage(a, c) for a, c in zip(at[some].tolist(), count[some].tolist())])
-        for name, value in zip(out, (*values, body)):
+        values = [v[some].astype(t).tobytes() for v, t in ((seed, "<u8"), (offset, "<u4"), (count, "<u4"), (many, "u1"), (order, "<i8"), (place, "<i8"))]
+        for name, value in zip(out, (b, shard, *values, b"\n".join([body[i] for i in some.tolist()]))):
             out[name].append(value)
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), types)})
+    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), [pa.int32(), pa.int32(), *[pa.binary()] * 7])})
+
+
+def send(words: Words, recurring: np.ndarray, hot: np.ndarray, buckets: int) -> pa.Table:
+    """The shard's distinct contexts as words, a row for each bucket."""
+    at, count, offset, seed, bucket, many = words.contexts(recurring, hot, buckets)
+    order = words.orders[np.searchsorted(words.ends, at, "right")] if len(at) else np.zeros(0, np.int64)
+    return _rows(words.shard, bucket, seed, offset, count, many, order, at + offset, [words.passage(a, c) for a, c in zip(at.tolist(), count.tolist())])
+
+
+def _opened(row: dict) -> tuple:
+    """(seeds, offsets, counts, many, orders, places) of a sent row, and the bodies."""
+    values = [np.frombuffer(row[c], t) for c, t in (("seeds", "<u8"), ("offsets", "<u4"), ("counts", "<u4"), ("many", "u1"), ("orders", "<i8"), ("places", "<i8"))]
+    return *(v if v.dtype == np.uint64 else v.astype(np.int64) for v in values), row["body"].split(b"\n")
+
+
+def window_digests(body: list[bytes], length: int) -> np.ndarray:
+    """Digests of the windows of passages."""
+    found = []
+    for words in (b.split(b" ") for b in body):
+        found += [xxhash.xxh64_intdigest(b" ".join(words[i : i + length])) for i in range(len(words) - length + 1)]
+    return np.array(found, np.uint64)
+
+
+def _digests(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    _, _, count, many, _, _, body = _opened(row)
+    found = window_digests(body, length)
+    return found, found[np.repeat(many > 0, count)]
+
+
+def _part(row: dict, kept: np.ndarray, length: int, buckets: int) -> pa.Table:
+    """A waiting row's contexts, cut to the windows whose digest is in ``kept``, in buckets behind all others."""
+    seed, offset, count, many, order, place, body = _opened(row)
+    of, skip, n = recurring_runs(count, window_digests(body, length), kept)
+    cut = [b" ".join(body[i].split(b" ")[a : a + k + length - 1]) for i, a, k in zip(of.tolist(), skip.tolist(), n.tolist())]
+    return _rows(row["shard"], buckets + bucket_of(seed[of], buckets), seed[of], offset[of] - skip, n, many[of], order[of], place[of], cut)
 
 
 def decide(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """(bucket, shard, found and firsts: a bit for each window of the contexts that the shard sent, in order)."""
     known: dict[tuple, int] = {}
     seeds, offsets, counts, weights, bodies, owners, sent = [], [], [], [], [], [], []
-    for number, row in enumerate(pdf.itertuples(index=False)):
-        values = [np.frombuffer(b, t).tolist() for b, t in ((row.seeds, "<u8"), (row.offsets, "<u4"), (row.counts, "<u4"), (row.many, "u1"), (row.orders, "<i8"), (row.places, "<i8"))]
+    pdf = pdf[pdf["bucket"] >= 0]  # the others wait for the second sieve
+    for number, row in enumerate(pdf.to_dict("records")):
+        *values, body_of = _opened(row)
         mine = []
-        for s, o, c, m, order, place, body in zip(*values, row.body.split(b"\n")):
+        for j, (s, o, c, m, order, place, body) in enumerate(zip(*(v.tolist() for v in values), body_of)):
             i = known.setdefault((s, o, body), len(known))
-            owner = (order, row.shard, place, number)
+            owner = (order, row["shard"], place, number, j)
             if i == len(weights):
                 seeds.append(s)
                 offsets.append(o)
@@ -201,10 +234,10 @@ def decide(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     found, firsts = [], []
     for number, mine in enumerate(sent):
         where = spread(start[mine], count[mine])
-        owns = np.repeat([owners[i][3] == number for i in mine.tolist()], count[mine]).astype(bool)
+        owns = np.repeat([owners[i][3:] == (number, j) for j, i in enumerate(mine.tolist())], count[mine]).astype(bool)
         found.append(np.packbits(repeated[where]).tobytes())
         firsts.append(np.packbits(first[where] & owns).tobytes())
-    return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found, "firsts": firsts})
+    return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found, "firsts": firsts, "hot": None})
 
 
 def removed_words(rows, length: int, finish: Callable, schema: str) -> DataFrame:
@@ -215,20 +248,29 @@ def removed_words(rows, length: int, finish: Callable, schema: str) -> DataFrame
         return Words(table, length).minimisers(buckets)
 
     def candidates(table: pa.Table, seeds: pa.Table) -> pa.Table:
-        return send(Words(table, length), all_of(seeds["found"].to_pylist()), wide)
+        return send(Words(table, length), all_of(seeds["found"].to_pylist()), all_of(seeds["hot"].to_pylist()), wide)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(table, length)
         given = answers.to_pydict()
-        recurring = all_of([f for b, f in zip(given["bucket"], given["found"]) if b < 0])
-        at, count, _, _, bucket, _ = words.contexts(recurring, wide)
+        recurring, hot, kept = (all_of([f for b, f in zip(given["bucket"], given[c]) if b == which]) for c, which in (("found", SEEDS), ("hot", SEEDS), ("found", SIEVED)))
+        at, count, _, seed, bucket, _ = words.contexts(recurring, hot, wide)
         found = {b: (f, g) for b, f, g in zip(given["bucket"], given["found"], given["firsts"]) if b >= 0}
         start = np.cumsum(count) - count
         repeated, first = np.zeros(int(count.sum()), bool), np.zeros(int(count.sum()), bool)
-        for b, some in by_bucket(bucket):
-            where = spread(start[some], count[some])
+
+        def take(b: int, where: np.ndarray) -> None:
             for bits, packed_bits in zip((repeated, first), found[b]):
                 bits[where] = np.unpackbits(np.frombuffer(packed_bits, np.uint8), count=len(where)).astype(bool)
+
+        for b, some in by_bucket(bucket):
+            if b >= 0:
+                take(b, spread(start[some], count[some]))
+                continue
+            body = [words.passage(a, c) for a, c in zip(at[some].tolist(), count[some].tolist())]
+            of, skip, n = recurring_runs(count[some], window_digests(body, length), kept)
+            for late, runs in by_bucket(wide + bucket_of(seed[some][of], wide)):
+                take(late, spread(start[some][of[runs]] + skip[runs], n[runs]))
         places = spread(at, count)
         edge = np.ones(len(places), bool)  # a passage: repeated windows of a context that follow one another
         edge[1:] = ~repeated[:-1]
@@ -243,8 +285,10 @@ def removed_words(rows, length: int, finish: Callable, schema: str) -> DataFrame
 
     seeds = twice(shards.groupBy("shard").applyInArrow(minimisers, PACKED))
     sent = shards.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(candidates, CONTEXTS)
-    found = sent.groupBy("bucket").applyInPandas(lambda pdf: decide(pdf, length), ANSWERS)
-    answers = found.unionByName(seeds.select(F.lit(-1).alias("bucket"), "shard", "found", F.lit(None).cast("binary").alias("firsts")))
+    left, kept = sieved(sent, buckets, lambda row: _digests(row, length), lambda row, kept: _part(row, kept, length, wide), CONTEXTS)
+    found = [some.groupBy("bucket").applyInPandas(lambda pdf: decide(pdf, length), ANSWERS) for some in (sent, left)]
+    none = F.lit(None).cast("binary").alias("firsts")
+    answers = found[0].unionByName(found[1]).unionByName(seeds.select(F.lit(SEEDS).alias("bucket"), "shard", "found", none, "hot")).unionByName(kept.select("bucket", "shard", "found", none, "hot"))
     return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, schema)
 
 

@@ -26,11 +26,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.contexts import byte_order, chunks, classes
-from quillspark.llm.windows import PACKED, Shard, all_of, bucket_of, by_bucket, byte_grams, covered, dealt, packed, seed_length, twice
+from quillspark.llm.windows import PACKED, SEEDS, SIEVED, Shard, all_of, bucket_of, by_bucket, byte_grams, covered, dealt, packed, placed, recurring_runs, seed_length, sieved, twice
 
 LENGTH = 200
 CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary, many binary, body binary"
@@ -62,7 +63,7 @@ class Texts:
         again = Shard(copied, lambda some: byte_grams(b"".join(some)), 8, self.length).values() if copied else np.zeros(0, np.uint64)
         return packed(self.windows.values(), again, buckets, self.shard)
 
-    def contexts(self, recurring: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    def contexts(self, recurring: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """(first window, windows, offset, seed, number of the distinct context) of every context, and of the distinct ones (bucket, first place among all, whether it occurs twice)."""
         at, count, offset, seed = self.windows.contexts(recurring)
         data = b"".join(self.parts)
@@ -72,25 +73,51 @@ class Texts:
         document = np.searchsorted(self.windows.ends, at, "right")
         weight = np.bincount(number, 1 + self.copied[document].astype(np.int64), minlength=len(known)) if len(number) else np.zeros(0)
         first = np.unique(number, return_index=True)[1]
-        return at, count, offset, seed, number, bucket_of(seed[first], buckets), first, weight > 1
+        return at, count, offset, seed, number, placed(seed[first], hot, buckets, self.shard), first, weight > 1
 
 
-def send(texts: Texts, recurring: np.ndarray, buckets: int) -> pa.Table:
-    """The shard's distinct contexts, a row for each bucket."""
-    at, count, offset, seed, _, bucket, first, many = texts.contexts(recurring, buckets)
-    data, tail = b"".join(texts.parts), texts.length - 1
+def _rows(shard: int, bucket: np.ndarray, seed: np.ndarray, offset: np.ndarray, count: np.ndarray, many: np.ndarray, body: list[bytes]) -> pa.Table:
+    """Contexts as a row for each bucket."""
     out: dict[str, list] = {name: [] for name in ("bucket", "shard", "seeds", "offsets", "counts", "many", "body")}
     for b, some in by_bucket(bucket):
-        rows = first[some]
-        out["bucket"].append(b)
-        out["shard"].append(texts.shard)
-        out["seeds"].append(seed[rows].astype("<u8").tobytes())
-        out["offsets"].append(offset[rows].astype("<u4").tobytes())
-        out["counts"].append(count[rows].astype("<u4").tobytes())
-        out["many"].append(many[some].astype("u1").tobytes())
-        out["body"].append(b"".join([data[a : a + c + tail] for a, c in zip(at[rows].tolist(), count[rows].tolist())]))
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), types)})
+        values = (b, shard, seed[some].astype("<u8").tobytes(), offset[some].astype("<u4").tobytes(), count[some].astype("<u4").tobytes(), many[some].astype("u1").tobytes(), b"".join([body[i] for i in some.tolist()]))
+        for name, value in zip(out, values):
+            out[name].append(value)
+    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), [pa.int32(), pa.int32(), *[pa.binary()] * 5])})
+
+
+def send(texts: Texts, recurring: np.ndarray, hot: np.ndarray, buckets: int) -> pa.Table:
+    """The shard's distinct contexts, a row for each bucket."""
+    at, count, offset, seed, _, bucket, first, many = texts.contexts(recurring, hot, buckets)
+    data, tail = b"".join(texts.parts), texts.length - 1
+    body = [data[a : a + c + tail] for a, c in zip(at[first].tolist(), count[first].tolist())]
+    return _rows(texts.shard, bucket, seed[first], offset[first], count[first], many, body)
+
+
+def _opened(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(seeds, offsets, counts, many, bodies) of a sent row."""
+    seed, offset, count = np.frombuffer(row["seeds"], "<u8"), np.frombuffer(row["offsets"], "<u4").astype(np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
+    size = count + length - 1
+    body = [row["body"][e - n : e] for e, n in zip(np.cumsum(size).tolist(), size.tolist())]
+    return seed, offset, count, np.frombuffer(row["many"], "u1"), body
+
+
+def window_digests(body: list[bytes], count: np.ndarray, length: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(b[i : i + length]) for b, c in zip(body, count.tolist()) for i in range(c)), np.uint64, int(count.sum()))
+
+
+def _digests(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    _, _, count, many, body = _opened(row, length)
+    found = window_digests(body, count, length)
+    return found, found[np.repeat(many > 0, count)]
+
+
+def _part(row: dict, kept: np.ndarray, length: int, buckets: int) -> pa.Table:
+    """A waiting row's contexts, cut to the windows whose digest is in ``kept``, in buckets behind all others."""
+    seed, offset, count, many, body = _opened(row, length)
+    of, skip, n = recurring_runs(count, window_digests(body, count, length), kept)
+    cut = [body[i][a : a + k + length - 1] for i, a, k in zip(of.tolist(), skip.tolist(), n.tolist())]
+    return _rows(row["shard"], buckets + bucket_of(seed[of], buckets), seed[of], offset[of] - skip, n, many[of], cut)
 
 
 def repeated_in(seed: np.ndarray, offset: np.ndarray, count: np.ndarray, weight: np.ndarray, body: list[bytes], length: int) -> np.ndarray:
@@ -122,13 +149,11 @@ def decide(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """(bucket, shard, found: a bit for each window of the contexts that the shard sent, in order)."""
     known: dict[tuple, int] = {}
     numbers, seeds, offsets, counts, weights, bodies, answers = [], [], [], [], [], [], []
-    for row in pdf.itertuples(index=False):
-        seed, offset = np.frombuffer(row.seeds, "<u8"), np.frombuffer(row.offsets, "<u4").astype(np.int64)
-        count, many = np.frombuffer(row.counts, "<u4").astype(np.int64), np.frombuffer(row.many, "u1")
-        end = np.cumsum(count + length - 1)
+    pdf = pdf[pdf["bucket"] >= 0]  # the others wait for the second sieve
+    for row in pdf.to_dict("records"):
         mine = []
-        for s, o, c, m, e in zip(seed.tolist(), offset.tolist(), count.tolist(), many.tolist(), end.tolist()):
-            body = row.body[e - c - length + 1 : e]
+        seed, offset, count, many, sent = _opened(row, length)
+        for s, o, c, m, body in zip(seed.tolist(), offset.tolist(), count.tolist(), many.tolist(), sent):
             i = known.setdefault((s, o, body), len(known))
             if i == len(weights):
                 seeds.append(s)
@@ -160,20 +185,28 @@ def removed_bytes(rows, length: int, finish: Callable, schema: str) -> DataFrame
         return Texts(table, length).minimisers(buckets)
 
     def candidates(table: pa.Table, seeds: pa.Table) -> pa.Table:
-        return send(Texts(table, length), all_of(seeds["found"].to_pylist()), wide)
+        return send(Texts(table, length), all_of(seeds["found"].to_pylist()), all_of(seeds["hot"].to_pylist()), wide)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(table, length)
         given = answers.to_pydict()
-        recurring = all_of([f for b, f in zip(given["bucket"], given["found"]) if b < 0])
-        at, count, _, _, number, bucket, first, _ = texts.contexts(recurring, wide)
+        recurring, hot, kept = (all_of([f for b, f in zip(given["bucket"], given[c]) if b == which]) for c, which in (("found", SEEDS), ("hot", SEEDS), ("found", SIEVED)))
+        at, count, _, seed, number, bucket, first, _ = texts.contexts(recurring, hot, wide)
         found = {b: f for b, f in zip(given["bucket"], given["found"]) if b >= 0}
         sizes = count[first]
         start = np.cumsum(sizes) - sizes
         bits = np.zeros(int(sizes.sum()), bool)
         for b, some in by_bucket(bucket):
-            where = spread(start[some], sizes[some])
-            bits[where] = np.unpackbits(np.frombuffer(found[b], np.uint8), count=len(where)).astype(bool)
+            if b >= 0:
+                where = spread(start[some], sizes[some])
+                bits[where] = np.unpackbits(np.frombuffer(found[b], np.uint8), count=len(where)).astype(bool)
+                continue
+            data, rows = b"".join(texts.parts), first[some]
+            body = [data[a : a + c + length - 1] for a, c in zip(at[rows].tolist(), count[rows].tolist())]
+            of, skip, n = recurring_runs(count[rows], window_digests(body, count[rows], length), kept)
+            for late, runs in by_bucket(wide + bucket_of(seed[rows][of], wide)):
+                where = spread(start[some][of[runs]] + skip[runs], n[runs])
+                bits[where] = np.unpackbits(np.frombuffer(found[late], np.uint8), count=len(where)).astype(bool)
         hit = bits[spread(start[number], count)]
         gone = covered(spread(at, count)[hit], length, int(texts.windows.ends[-1]) if texts.parts else 0)
         ends = texts.windows.ends.tolist()
@@ -181,8 +214,9 @@ def removed_bytes(rows, length: int, finish: Callable, schema: str) -> DataFrame
 
     seeds = twice(shards.groupBy("shard").applyInArrow(minimisers, PACKED))
     sent = shards.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(candidates, CONTEXTS)
-    found = sent.groupBy("bucket").applyInPandas(lambda pdf: decide(pdf, length), "bucket int, shard int, found binary")
-    answers = found.unionByName(seeds.withColumn("bucket", F.lit(-1)))
+    left, kept = sieved(sent, buckets, lambda row: _digests(row, length), lambda row, kept: _part(row, kept, length, wide), CONTEXTS)
+    found = [some.groupBy("bucket").applyInPandas(lambda pdf: decide(pdf, length), "bucket int, shard int, found binary").withColumn("hot", F.lit(None).cast("binary")) for some in (sent, left)]
+    answers = found[0].unionByName(found[1]).unionByName(seeds.withColumn("bucket", F.lit(SEEDS))).unionByName(kept)
     return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, schema)
 
 

@@ -11,6 +11,9 @@ on as arrays of symbol hashes, in runs that a processor's cache can hold; a long
    contexts of recurring minimisers, and a bucket compares all contexts of a minimiser exactly (``contexts``).
 3. Shards turn the answers into spans.
 
+A minimiser of many different contexts, as in a line that many documents share, is hot. Its contexts first go through a
+second sieve: their shards send digests of the windows to buckets of those, and only what recurs is left to compare.
+
 A shard sends a minimiser or a context once however often it occurs there, so a hot passage is no hot key, and no pairs
 are made. There are as many buckets as the characters need (``BUCKET_CHARS``), and a shard packs what goes to a bucket
 into one row: there are never more rows than contexts.
@@ -35,6 +38,10 @@ LEAST_SHARDS = 48
 BUCKET_CHARS, CONTEXT_CHARS = 64_000_000, 16_000_000
 #: A text is heavy if its copies hold more characters than this; heavy texts are told by so many slots of a hash.
 HEAVY, SLOTS = SHARD_CHARS // 16, 1 << 20
+#: A minimiser is hot that has more places than this in a shard, or more shards than that (those of several places twice).
+CROWD, SPREAD = 32, 64
+#: Buckets of the answers that are no contexts': recurring minimisers, recurring windows of hot ones.
+SEEDS, SIEVED = -1, -2
 
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _32, _ONE = np.uint64(32), np.uint64(1)
@@ -236,33 +243,78 @@ def dealt(docs: DataFrame, key: str, text: str, others: tuple[str, ...] | list[s
 
 
 def twice(rows: DataFrame) -> DataFrame:
-    """(bucket, shard, found): of each shard's packed digests those that occur twice or more anywhere."""
+    """(bucket, shard, found, hot): of each shard's packed digests those that occur twice or more anywhere, and the hot ones among them."""
+
+    most = SPREAD
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = [np.frombuffer(b, "<u8") for b in pdf["once"]]
-        many = [np.frombuffer(b, "<u8") for b in pdf["many"]]
+        once, many, crowd = ([np.frombuffer(b, "<u8") for b in pdf[c]] for c in ("once", "many", "crowd"))
         values, counts = np.unique(np.concatenate((*once, *many, *many)), return_counts=True)
         repeated = values[counts > 1]
-        found = [np.union1d(a[member(a, repeated)], b).astype("<u8").tobytes() for a, b in zip(once, many)]
-        return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "found": found})[[bool(f) for f in found]]
+        hot = np.union1d(values[counts > most], np.concatenate(crowd))
+        found = [np.union1d(a[member(a, repeated)], b).astype("<u8") for a, b in zip(once, many)]
+        answers = {"found": [f.tobytes() for f in found], "hot": [f[member(f, hot)].tobytes() for f in found]}
+        return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], **answers})[[bool(len(f)) for f in found]]
 
-    return rows.groupBy("bucket").applyInPandas(decide, "bucket int, shard int, found binary")
+    return rows.groupBy("bucket").applyInPandas(decide, FOUND)
 
 
-PACKED = "bucket int, shard int, once binary, many binary"
+PACKED = "bucket int, shard int, once binary, many binary, crowd binary"
+FOUND = "bucket int, shard int, found binary, hot binary"
 
 
 def packed(values: np.ndarray, copied: np.ndarray, buckets: int, shard: int) -> pa.Table:
-    """A row for each bucket: the digests that occur once here, and those that occur more often or are in ``copied``."""
-    out: dict[str, list] = {"bucket": [], "shard": [], "once": [], "many": []}
+    """A row for each bucket: the digests that occur once here, those that occur more often or are in ``copied``, and those of more than ``CROWD`` places."""
+    out: dict[str, list] = {"bucket": [], "shard": [], "once": [], "many": [], "crowd": []}
     values, counts = np.unique(values, return_counts=True)
     several = (counts > 1) | member(values, np.unique(copied))
     for b, at in by_bucket(bucket_of(values, buckets)):
         out["bucket"].append(b)
         out["shard"].append(shard)
-        out["once"].append(values[at][~several[at]].astype("<u8").tobytes())
-        out["many"].append(values[at][several[at]].astype("<u8").tobytes())
-    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+        for name, which in (("once", ~several[at]), ("many", several[at]), ("crowd", counts[at] > CROWD)):
+            out[name].append(values[at][which].astype("<u8").tobytes())
+    return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), (pa.int32(), pa.int32(), *[pa.binary()] * 3))})
+
+
+def placed(seed: np.ndarray, hot: np.ndarray, buckets: int, shard: int) -> np.ndarray:
+    """Buckets of contexts by their seeds; those of ``hot`` ones wait in a negative bucket of their shard's own."""
+    return np.where(member(seed, hot), SIEVED - shard, bucket_of(seed, buckets))
+
+
+def recurring_runs(count: np.ndarray, digests: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window there, windows) of the runs of windows whose digest is in ``kept``; ``digests`` of ``count[0]`` windows, then ``count[1]``, ..."""
+    keep, start = member(digests, kept), np.cumsum(count) - count
+    begins, ends = keep.copy(), keep.copy()
+    begins[1:] &= ~keep[:-1]
+    ends[:-1] &= ~keep[1:]
+    begins[start], ends[start + count - 1] = keep[start], keep[start + count - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    owner = np.searchsorted(start, first, "right") - 1
+    return owner, first - start[owner], last - first + 1
+
+
+def sieved(sent: DataFrame, buckets: int, digests: Callable, part: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(what is left to compare of the waiting contexts in ``sent``, digests of their recurring windows by shard).
+
+    ``digests(row)`` gives those of a row's windows, and those of them that stand here twice; ``part(row, kept)`` its rows of
+    ``schema``, cut to the windows that ``kept`` has. Both read ``sent`` by bucket, as its comparison does: one shuffle serves all.
+    """
+
+    def waiting(table: pa.Table) -> list[dict]:
+        return table.to_pylist() if len(table) and table["bucket"][0].as_py() < 0 else []
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = [packed(*digests(row), buckets, row["shard"]) for row in waiting(table)]
+        return pa.concat_tables(rows) if rows else packed(np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets, 0)
+
+    def cut(table: pa.Table, found: pa.Table) -> pa.Table:
+        kept = all_of(found["found"].to_pylist())
+        rows = [part(row, kept) for row in waiting(table)] if len(kept) else []
+        return pa.concat_tables(rows) if rows else table.slice(0, 0)
+
+    kept = twice(sent.groupBy("bucket").applyInArrow(pack, PACKED)).withColumn("bucket", F.lit(SIEVED) - F.col("shard"))
+    left = sent.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(cut, schema)
+    return left, kept.withColumn("bucket", F.lit(SIEVED))
 
 
 def all_of(blobs: list[bytes]) -> np.ndarray:

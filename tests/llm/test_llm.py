@@ -447,9 +447,11 @@ def repeating_rows(seed, alphabet, heavy):
     return rows
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_repeated_phrases(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("heavy,spread", [(False, windows.SPREAD), (True, windows.SPREAD), (False, 0), (True, 3)])
+def test_repeated_phrases(spark, monkeypatch, heavy, spread):
+    """Without hot minimisers, with all hot, and with some."""
     monkeypatch.setattr(windows, "HEAVY", 60 if heavy else windows.HEAVY)
+    monkeypatch.setattr(windows, "SPREAD", spread)
     rows = repeating_rows(7, ["a ", "b ", "cc ", "é ", "\n", "d"], heavy)
     got = phrase_automata.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), 8)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == without_repeated_words(rows, 8)
@@ -488,9 +490,43 @@ def test_automaton_finds_all_occurrences():
     assert words.occurrences({b"a b c d"}).tolist() == [0, 1, 8, 9] and words.occurrences(set()).tolist() == []
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_repeated_bytes(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("operator,line", [(suffix_radix, "a line of one hundred and fifty bytes that stands in each of the documents, as footers do: " + "x" * 60), (phrase_automata, " ".join(f"line{i}" for i in range(14)))])
+def test_a_line_of_all_documents_makes_no_large_bucket(operator, line):
+    """Its contexts differ, so none is left to compare: they wait in rows of their shards, and none of their windows recurs."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(30))
+    made = suffix_radix.Texts if operator is suffix_radix else phrase_automata.Words
+    shards = [made(pa.table({"shard": [k] * 100, "id": list(range(100 * k, 100 * k + 100)), "text": [f"{text()} {line} {text()}" for _ in range(100)], "copies": [1] * 100}), operator.LENGTH) for k in range(4)]
+    crowd = windows.all_of([b for s in shards for b in s.minimisers(16)["crowd"].to_pylist()])
+    sent = [row for s in shards for row in operator.send(s, crowd, crowd, 16).to_pylist()]
+    assert len(crowd) and {r["bucket"] for r in sent} == {windows.SIEVED - k for k in range(4)}
+    digests = [operator._digests(row, operator.LENGTH)[0] for row in sent]
+    values, counts = np.unique(np.concatenate(digests), return_counts=True)
+    kept = values[counts > 1]
+    assert min(map(len, digests)) > 500 and sum(len(operator._part(row, kept, operator.LENGTH, 16)) for row in sent) == 0
+
+
+def test_short_templated_texts_meet_by_their_rarest_shingles():
+    """Sets that share half of their shingles, a few of them at 0.8: the links' components are those of all pairs."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(np.concatenate((np.arange(5), rng.choice(np.arange(10, 60), 5, replace=False)))).astype(np.uint64) for _ in range(400)]
+    sets += [np.unique(np.append(s[:-1], np.uint64(70 + i % 3))) for i, s in enumerate(sets[:60])] + [np.zeros(0, np.uint64)] * 2
+    frame = pd.DataFrame({"node": np.arange(len(sets)), "shard": 0, "i": 0, "j": 0, "shingles": [s.tobytes() for s in sets]})
+    for similarity in (0.8, 0.6):
+        links = near_copies._link_sets(frame, similarity)
+        forest, want = simhash_vptree.Forest(len(sets)), simhash_vptree.Forest(len(sets))
+        forest.link(links["a"].to_numpy(), links["b"].to_numpy())
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and len(c := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(c)) >= similarity]
+        want.link(*np.array(pairs).T)
+        every = np.arange(len(sets))
+        assert len(pairs) > 30 and (forest.roots(every) == want.roots(every)).all()
+
+
+@pytest.mark.parametrize("heavy,spread", [(False, windows.SPREAD), (True, windows.SPREAD), (False, 0), (True, 3)])
+def test_repeated_bytes(spark, monkeypatch, heavy, spread):
+    """Without hot minimisers, with all hot, and with some."""
     monkeypatch.setattr(windows, "HEAVY", 60 if heavy else windows.HEAVY)
+    monkeypatch.setattr(windows, "SPREAD", spread)
     rows = repeating_rows(8, "abé ", heavy)
     got = suffix_radix.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), 24)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == without_repeated_bytes(rows, 24)

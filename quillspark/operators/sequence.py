@@ -31,10 +31,10 @@ def running_summary(segments: DataFrame) -> DataFrame:
 
 def lookahead(segments: DataFrame, chapters: DataFrame, anchors: DataFrame, k: int = 4) -> DataFrame:
     """WN7: of the first k open segments at or after each book's anchor (chapter_index, segment_index), the pending ones."""
-    c = chapters.select("chapter_id", "book_id", "chapter_index").withColumn("deal", F.pmod(F.xxhash64("chapter_id"), F.lit(DEALS)))
-    at = anchors.select("book_id", F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s")).alias("anchor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal"))
+    at = anchors.select("book_id", F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s")).alias("anchor")).hint("merge")  # a row a book: sorted, not sent to all
+    c = chapters.select("chapter_id", "book_id", "chapter_index").withColumn("deal", F.pmod(F.xxhash64("chapter_id"), F.lit(DEALS))).join(at, "book_id")
     here = F.struct(F.col("chapter_index").alias("c"), F.col("segment_index").alias("s"))
-    s = segments.where(~F.col("status").isin(*TERMINAL)).select("chapter_id", "segment_index", "status").join(c.join(at, ["book_id", "deal"]), "chapter_id").where(here >= F.col("anchor"))
+    s = segments.where(~F.col("status").isin(*TERMINAL)).select("chapter_id", "segment_index", "status").join(c, "chapter_id").where(here >= F.col("anchor"))
     for by in (["book_id", "deal"], ["book_id"]):  # the first few of each deal, then of the book
         s = s.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("chapter_index", "segment_index"))).where(F.col("place") <= k)
     return s.where(F.col("status") == "pending").select("book_id", "chapter_id", "segment_index", "place")

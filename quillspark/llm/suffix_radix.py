@@ -38,21 +38,22 @@ CONTEXTS = "bucket int, shard int, seeds binary, offsets binary, counts binary,
 
 
 class Texts:
-    """A shard's distinct texts as bytes, their windows, and which of them have copies."""
+    """A shard's distinct texts as bytes, in their own order, their windows, and which of them have copies.
+
+    The answers are bits by place, and a shuffle's rows come in any order each time they are read.
+    """
 
     def __init__(self, table: pa.Table, length: int):
         self.rows = table
-        self.row_text = []
-        places: dict[str, int] = {}
-        copies: list[int] = []
-        for text, n in zip(table["text"].to_pylist(), table["copies"].to_pylist()):
-            at = places.setdefault(text, len(places))
-            if at == len(copies):
-                copies.append(0)
-            copies[at] += n
-            self.row_text.append(at)
-        self.parts = [t.encode("utf-8", "replace") for t in places]
-        self.copied = np.array(copies) > 1
+        texts = table["text"].to_pylist()
+        copies: dict[str, int] = {}
+        for text, n in zip(texts, table["copies"].to_pylist()):
+            copies[text] = copies.get(text, 0) + n
+        ordered = sorted(copies)
+        places = {t: i for i, t in enumerate(ordered)}
+        self.row_text = [places[t] for t in texts]
+        self.parts = [t.encode("utf-8", "replace") for t in ordered]
+        self.copied = np.array([copies[t] for t in ordered]) > 1
         self.length = length
         self.windows = Shard(self.parts, lambda some: byte_grams(b"".join(some)), 8, length)
         self.shard = table["shard"][0].as_py() if len(table) else 0

@@ -90,10 +90,11 @@ def resume_at(segments: DataFrame, positions: DataFrame, width: int = scan.WIDTH
 def seek(segments: DataFrame, ratios: DataFrame, width: int = scan.WIDTH) -> DataFrame:
     """WN13: the segment and the offset in it at a share of each chapter."""
     s = _placed(segments, width).join(ratios, "chapter_id").withColumn("target", F.col("ratio") * F.col("all"))
-    hit = F.when((F.col("d") > 0) & (F.col("end") >= F.col("target")), F.struct("segment_index", "d", "end"))
-    agg = s.groupBy("chapter_id", "target").agg(F.min(hit).alias("hit"), F.max(F.struct("segment_index", "d", "end")).alias("last"))
-    at = F.coalesce("hit", "last")
-    return agg.select("chapter_id", at["segment_index"].alias("segment_index"), F.greatest(F.lit(0.0), F.col("target") - (at["end"] - at["d"])).alias("offset_ms"))
+    index, start = F.col("segment_index"), F.col("end") - F.col("d")
+    hit = F.when((F.col("d") > 0) & (F.col("end") >= F.col("target")), index)
+    agg = s.groupBy("chapter_id", "target").agg(  # numbers, not structs: these are aggregated without sorting the segments
+        F.min(hit).alias("hit"), F.min_by(start, hit).alias("hit_start"), F.max(index).alias("last"), F.max_by(start, index).alias("last_start"))
+    return agg.select("chapter_id", F.coalesce("hit", "last").alias("segment_index"), F.greatest(F.lit(0.0), F.col("target") - F.coalesce("hit_start", "last_start")).alias("offset_ms"))
 
 
 def neighbours(segments: DataFrame) -> DataFrame:
